@@ -17,8 +17,8 @@ class Template:
     the role's name and the text, closing. loss: roles whose text counts for the loss. follows: per state the roles that may
     come next; the state is the role read last, or "" before the first turn. final: states in which a conversation may end.
 
-    No control string may hold the escape character, hold another one, or end as it begins; then a text in which all of them
-    are escaped can't be taken for one, nor can its border with what follows, and the formatted text can be read back.
+    No control string may hold the escape character, hold another one, or end as one begins; then a text in which all of them are
+    escaped holds none, nor do its borders with what stands around it, and the formatted text can be read back.
     """
 
     turns: dict[str, tuple[str, str]]
@@ -32,7 +32,7 @@ class Template:
     def __post_init__(self) -> None:
         flat = sorted({x for pair in [*self.turns.values(), self.other] for x in pair}, key=lambda x: (-len(x), x))
         for x in flat:
-            if not x or self.escape in x or any(x[:k] == x[-k:] for k in range(1, len(x))):
+            if not x or self.escape in x or any(x[-k:] == y[:k] for y in flat for k in range(1, min(len(x), len(y)))):
                 raise ValueError(f"not a usable control string: {x!r}")
             if any(x != y and x in y for y in flat):
                 raise ValueError(f"a control string holds another: {x!r}")
@@ -62,8 +62,8 @@ class Template:
 
 
 INSTRUCT = Template(
-    turns={"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>")},
-    other=("[ROLE] ", " [TEXT]", " [/ROLE]"),
+    turns={"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")},
+    other=("[ROLE]", "[TEXT]", "[/ROLE]"),
     loss=("assistant",),
     follows={"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)},
     final=("user", "assistant"),

@@ -3,11 +3,10 @@
 1. Documents with equal sets are one class; a class takes part once.
 2. Grams have a fixed order, the rarest first by a table of counters over all documents (an order only: any serves). Two sets
    that link share a gram among the first n - ceil(share * n) + 1 of either.
-3. Sets meet at such grams. Where at most `list_pairs` do, their pairs are candidates if sizes and positions allow a link; each
-   pair is then counted from the two sets.
-4. Longer lists are never made into pairs of rows. Those that share sets make a cluster, a cluster's sets are dealt into blocks,
-   and a task multiplies the incidence of two blocks by slices of grams, in memory bounded by the block, and gives a spanning
-   forest of the links it found.
+3. Sets meet at such grams. Where at most `list_pairs` do, their pairs are candidates if sizes and positions allow a link.
+   Longer lists are never made into pairs of rows; their sets are all candidates of each other.
+4. What candidates connect is a cluster. A cluster's sets are dealt into blocks; the incidence of each two blocks is multiplied by
+   slices of grams, in memory bounded by the block, and gives a spanning forest of the links found.
 5. Components of all links.
 
 A cluster of m different texts costs m * m / block^2 block products, shared among tasks; nothing is capped or sampled.
@@ -139,42 +138,65 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _product(num: int, den: int):
-    """A spanning forest of the links between the sets of two blocks (or within one), from rows (c, i, j, blk, sig, n, grams)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        blk, sig, size = (table.column(c).to_numpy() for c in ("blk", "sig", "n"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        size = size.astype(np.int64)
-        fits = den * np.minimum(size[left][:, None], size[right]) >= num * np.maximum(size[left][:, None], size[right])
-        if i == j:
-            fits &= sig[left][:, None] < sig[right]
-        a = b = np.zeros(0, np.int64)
-        if fits.any():
-            sets = table.column("grams").combine_chunks()
-            flat = sets.flatten().to_numpy()
-            row = np.repeat(np.arange(len(sig)), size)
-            _, col, seen = np.unique(flat, return_inverse=True, return_counts=True)
-            shared = seen[col] > 1
-            row, col = row[shared], (np.cumsum(seen > 1) - 1)[col[shared]]
-            order = np.argsort(col, kind="stable")
-            row, col = row[order], col[order]
-            overlap = np.zeros((len(left), len(right)), np.float32)
-            for k in range(0, int(col[-1]) + 1 if len(col) else 0, _SLICE):
-                part = slice(*np.searchsorted(col, [k, k + _SLICE]))
-                x = np.zeros((len(sig), _SLICE), np.float32)
-                x[row[part], col[part] - k] = 1
-                overlap += x[left] @ x[right].T
-            links = fits & (overlap >= _need(size[left][:, None] + size[right], num, den))
-            x, y = np.nonzero(links)
-            found = _forest(left[x], right[y])
-            a, b = sig[[p for p, _ in found]].astype(np.int64), sig[[q for _, q in found]].astype(np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _products(num: int, den: int):
+    """From rows (c, i, j, blk, sig, grams) in order of (c, i, j), a spanning forest of the links of each two blocks, or of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in _then_end(batches):
+            found: list[tuple[int, int]] = []
+            if b is None:
+                if held:
+                    found += _product(held, num, den)
+            elif b.num_rows:
+                key = np.stack([b.column(k).to_numpy() for k in range(3)])
+                cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+                if held and any(held[0].column(k)[0].as_py() != b.column(k)[0].as_py() for k in range(3)):
+                    found += _product(held, num, den)
+                    held = []
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                    held.append(b.slice(lo, hi - lo))
+                    if hi < b.num_rows:
+                        found += _product(held, num, den)
+                        held = []
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _product(rows: list[pa.RecordBatch], num: int, den: int) -> list[tuple[int, int]]:
+    i, j = rows[0].column(1)[0].as_py(), rows[0].column(2)[0].as_py()
+    blk, sig = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in (3, 4))
+    sig, once = np.unique(sig, return_index=True)  # rows that repeat an id come twice
+    blk = blk[once]
+    sets = [r.column(5) for r in rows]
+    size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in sets]).astype(np.int64)
+    flat, ends = np.concatenate([x.flatten().to_numpy() for x in sets]), np.cumsum(size)
+    flat = np.concatenate([flat[ends[k] - size[k] : ends[k]] for k in once])
+    size = size[once]
+    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    fits = den * np.minimum(size[left][:, None], size[right]) >= num * np.maximum(size[left][:, None], size[right])
+    if i == j:
+        fits &= left[:, None] < right
+    if not fits.any():
+        return []
+    row = np.repeat(np.arange(len(sig)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    shared = ~new | ~np.concatenate([new[1:], [True]])  # grams of two sets or more
+    row, col = row[shared], np.cumsum(new[shared]) - 1
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    width = min(_SLICE, int(col[-1]) + 1 if len(col) else 0)
+    for k in range(0, int(col[-1]) + 1 if len(col) else 0, _SLICE):
+        part = slice(*np.searchsorted(col, [k, k + _SLICE]))
+        x = np.zeros((len(sig), width), np.float32)
+        x[row[part], col[part] - k] = 1
+        overlap += x[left] @ x[right].T
+    x, y = np.nonzero(fits & (overlap >= _need(size[left][:, None] + size[right], num, den)))
+    return [(int(sig[p]), int(sig[q])) for p, q in _forest(left[x], right[y])]
+
+
 def ngram_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, list_pairs: int = 64, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents whose sets of n-word shingles have den * |A & B| >= num * |A | B|
     are linked, and the component id is the smallest id that links reach.
@@ -210,11 +232,12 @@ def ngram_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
 
     grams = classes.select("sig", "n", F.posexplode("first").alias("pos", "gram")).select("gram", "sig", "n", "pos").repartition("gram").sortWithinPartitions("gram", "sig")
     met = materialize(grams.mapInArrow(_meet(list_pairs, num, den), "hot boolean, a long, b long"), "ngram-lists")
-    pairs, hot = met.where("not hot").select("a", "b").distinct(), met.where("hot").select(F.col("a").alias("gram"), F.col("b").alias("sig"))
-
-    # the sets of the classes that meet another: the texts of their smallest ids are read again, picked by a bitmap of fixed size
-    active = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(hot.select("sig")).distinct()
-    active = materialize(active.join(classes.select("sig", "min_id"), "sig"), "ngram-active")
+    gram_node = F.col("a").bitwiseXOR(F.lit(0x5851F42D4C957F2D))  # grams and sets are nodes of one graph
+    clusters = connected_components(met.select(F.when(F.col("hot"), gram_node).otherwise(F.col("a")).alias("a"), "b"))
+    members = materialize(classes.select("sig", "min_id").join(clusters, F.col("sig") == F.col("node")).select("sig", "min_id", F.col("root").alias("c")), "ngram-members")
+    blocks = materialize(members.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "ngram-blocks")
+    # their texts are read again, picked by a bitmap of fixed size
+    active = materialize(members.join(blocks, "c").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")), "ngram-active")
     bit = F.pmod("min_id", F.lit(FILTER_BITS))
     bits = active.where("min_id is not null").select(F.floor(bit / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, int(pmod(min_id, {FILTER_BITS}) % 32))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
     picked = np.zeros(FILTER_BITS // 32, np.int64)
@@ -229,26 +252,13 @@ def ngram_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
             take = ((bitmap[ids >> 5] >> (ids & 31)) & 1).astype(bool) | b.column(0).is_null().to_numpy(zero_copy_only=False)
             b = b.filter(pa.array(take))
             sets = [shingles(data, n) for data in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signature(g) for g in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int32()), _lists(sets)], ["doc_id", "sig", "n", "grams"])
-
-    read = rows.mapInArrow(cut, "doc_id long, sig long, n int, grams array<long>")
-    mine = active.select(F.col("sig").alias("s"), "min_id")
-    sets = read.join(mine, (F.col("sig") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("min_id"))).select("sig", "n", "grams").dropDuplicates(["sig"])
-    sets = materialize(sets, "ngram-sets")
-
-    side = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("grams").alias(f"g{x}"))
-    counted = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
-    links = counted.where(F.lit(den) * F.col("i") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
-
-    if not hot.isEmpty():
-        gram_node = F.col("gram").bitwiseXOR(F.lit(0x5851F42D4C957F2D))  # grams and sets are nodes of one graph
-        clusters = connected_components(hot.select(gram_node.alias("a"), F.col("sig").alias("b")))
-        members = materialize(hot.select("sig").distinct().join(clusters, F.col("sig") == F.col("node")).select("sig", F.col("root").alias("c")), "ngram-members")
-        blocks = materialize(members.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "ngram-blocks")
-        dealt = members.join(blocks, "c").join(sets, "sig").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
-        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        dealt = dealt.select("c", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "sig", "n", "grams")
-        links = links.unionByName(dealt.groupBy("c", "i", "j").applyInArrow(_product(num, den), "a long, b long"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signature(g) for g in sets], pa.int64()), _lists(sets)], ["doc_id", "sig", "grams"])
+
+    read = rows.mapInArrow(cut, "doc_id long, sig long, grams array<long>")
+    mine = active.select(F.col("sig").alias("s"), "min_id", "c", "nb", "blk")
+    dealt = read.join(mine, (F.col("sig") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("min_id"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("c", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "sig", "grams").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    links = dealt.mapInArrow(_products(num, den), "a long, b long")
 
     labels = connected_components(links)
     least = labels.join(classes.select(F.col("sig").alias("node"), "min_id"), "node").groupBy("root").agg(F.min("min_id").alias("least"))

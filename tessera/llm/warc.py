@@ -18,9 +18,15 @@ from ._common import materialize, table_path
 END = "\r\n\r\n"
 
 
+def one_line(url: Column) -> Column:
+    """A URL as a header field can hold it: line ends percent-encoded."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def url_key(url: Column) -> Column:
     """Reversed-host key: `com,example,www)/path?query`, host in lower case, without scheme, user, port and fragment. A string that
     has no scheme and host is its own key; null gives the empty key."""
+    url = one_line(url)
     pattern = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]*)?([^#]*)"
     host = F.array_join(F.reverse(F.split(F.lower(F.regexp_extract(url, pattern, 1)), r"\.")), ",")
     rest = F.regexp_extract(url, pattern, 2)
@@ -45,12 +51,11 @@ def write_warc(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, le
     revisit = F.col("first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("-")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
-    plain = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.col("n").cast("string")), F.lit("\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", name(F.col("page_id"))),
-        F.coalesce(line("WARC-Target-URI", plain), F.lit("")), line("WARC-Date", F.lit("2000-01-01T00:00:00Z")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        F.coalesce(line("WARC-Target-URI", one_line(F.col("url"))), F.lit("")), line("WARC-Date", F.lit("2000-01-01T00:00:00Z")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", name(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
