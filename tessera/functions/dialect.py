@@ -1,0 +1,48 @@
+"""One statement, two spellings: what Spark and an ANSI engine used as an oracle name differently."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SPARK = {"MEDIAN": r"percentile(\1, 0.5)", "LASTNN": r"last(\1, true)", "FIRSTNN": r"first(\1, true)", "BOOLAND": r"bool_and(\1)"}
+_ORACLE = {"MEDIAN": r"quantile_cont(\1, 0.5)", "LASTNN": r"last_value(\1 ignore nulls)", "FIRSTNN": r"first_value(\1 ignore nulls)", "BOOLAND": r"bool_and(\1)"}
+
+
+def spelt(text: str, words: dict[str, str]) -> str:
+    text = re.sub(r"QUANTILE\(([^,()]+), ([0-9.]+)\)", ("percentile" if words is _SPARK else "quantile_cont") + r"(\1, \2)", text)
+    for word, what in words.items():
+        text = re.sub(rf"{word}\(([^()]*(?:\([^()]*\)[^()]*)*)\)", what, text)
+    return text
+
+
+def average_rank(value: str, group: str) -> str:
+    """Rank with the mean rank for ties, from 1, over the group's rows; the value must not be null."""
+    return f"(rank() over (partition by {group} order by {value}) + (count(*) over (partition by {group}, {value}) - 1) / 2e0)"
+
+
+def full_window(agg: str, value: str, n: int, by: str = "ticker", order: str = "d", least: int | None = None, lag: int = 0) -> str:
+    """agg(value) over the last n rows (ending lag rows before), null unless at least `least` (all n) of them have a value."""
+    w = f"over (partition by {by} order by {order} rows between {n - 1 + lag} preceding and {f'{lag} preceding' if lag else 'current row'})"
+    return f"case when count({value}) {w} >= {n if least is None else least} then {agg.replace('@', value)} {w} end"
+
+
+@dataclass(frozen=True)
+class Statement:
+    """A relational operator as one SQL statement over named inputs."""
+
+    text: str
+    inputs: tuple[str, ...]
+
+    def run(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
+        text = spelt(self.text, _SPARK)
+        for name in self.inputs:
+            text = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", text)
+        return spark.sql(text, **{name: frames[name] for name in self.inputs})
+
+    def oracle(self, **definitions: str) -> str:
+        text = spelt(self.text, _ORACLE)
+        heads = ", ".join(f"{name} as ({definitions[name]})" for name in self.inputs)
+        return f"with {heads}, {text.strip()[5:]}" if text.strip().startswith("with ") else f"with {heads} {text}"

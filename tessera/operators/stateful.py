@@ -1,0 +1,196 @@
+"""Operators with a state that runs along the dates, or a fitted model: grouped pandas, one group per strategy, name or fold."""
+
+from __future__ import annotations
+
+import math
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def rebalance_buffer(ranked: DataFrame, enter: int, leave: int, *, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """Holdings with hysteresis from (keys, d, ticker, rank): a held name stays while its rank is at most `leave`; free places go to the
+    best of those within `enter`. Only rows within the exit band reach Python. A column leave_at overrides `leave` per row."""
+    rows = ranked if "leave_at" in ranked.columns else ranked.withColumn("leave_at", F.lit(leave))
+    rows = rows.where(F.col("rank") <= F.greatest("leave_at", F.lit(enter))).select(*keys, "d", "ticker", "rank", "leave_at")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: set = set()
+        out = []
+        for d, day in pdf.sort_values(["d", "rank", "ticker"]).groupby("d", sort=True):
+            stay = [t for t, r, x in zip(day["ticker"], day["rank"], day["leave_at"], strict=True) if t in held and r <= x][:enter]
+            fresh = [t for t, r in zip(day["ticker"], day["rank"], strict=True) if r <= enter and t not in stay]
+            held = set(stay + fresh[: enter - len(stay)])
+            out += [(d, t) for t in sorted(held)]
+        got = pd.DataFrame(out, columns=["d", "ticker"])
+        return got.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "d", "ticker"]]
+
+    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "d", "ticker")))
+
+
+def cost_band(costs: DataFrame, enter: int, width: float, *, cap: float = 3.0) -> DataFrame:
+    """Exit bands by cost: (c / median c)^(1/3) of the plain band, not under `enter`; equal costs give the plain band."""
+    median = costs.groupBy("d").agg(F.expr("percentile(cost, 0.5)").alias("m"))
+    wide = F.pow(F.col("cost") / F.expr("nullif(m, 0)"), 1 / 3)
+    return costs.join(median, "d").withColumn("leave_at", F.greatest(F.lit(enter), F.round(F.lit(enter * width) * F.least(F.coalesce(wide, F.lit(1.0)), F.lit(cap))).cast("int"))).drop("m")
+
+
+def swap_if_pays(rows: DataFrame, places: int, kappa: float = 1.0, *, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """From (keys, d, ticker, value, cost): the best candidate replaces the worst held name while the gain in value, to 12 digits, exceeds
+    kappa times both costs; an unknown gain swaps. kappa 0 is the plain top."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, out = [], []
+        for d, day in pdf.sort_values(["d", "ticker"]).groupby("d", sort=True):
+            value, cost = dict(zip(day["ticker"], day["value"], strict=True)), dict(zip(day["ticker"], day["cost"], strict=True))
+            order = sorted(value, key=lambda t: (-value[t], t))
+            held = sorted((t for t in held if t in value), key=lambda t: (-value[t], t))
+            free = [t for t in order if t not in held]
+            while free and len(held) < places:
+                held.append(free.pop(0))
+            held.sort(key=lambda t: (-value[t], t))
+            while free and held:
+                worst = held[-1]
+                gain, price = round(value[free[0]] - value[worst], 12), round(kappa * (cost[free[0]] + cost[worst]), 12)
+                if value[free[0]] <= value[worst] or gain <= price:
+                    break
+                held[-1] = free.pop(0)
+                held.sort(key=lambda t: (-value[t], t))
+            out += [(d, t) for t in sorted(held)]
+        got = pd.DataFrame(out, columns=["d", "ticker"])
+        return got.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "d", "ticker"]]
+
+    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "d", "ticker")))
+
+
+def chained_ids(listings: DataFrame) -> DataFrame:
+    """(isin, first, last) to (isin, entity): listings with one 7-character stem chain while each starts after the chain's end; one that
+    overlaps is an entity of its own and doesn't move the end."""
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        end, head, out = None, None, []
+        for isin, first, last in pdf.sort_values(["first", "last", "isin"])[["isin", "first", "last"]].itertuples(index=False):
+            if end is None or first > end:
+                head, end = head or isin, last
+                out.append((isin, head))
+            else:
+                out.append((isin, isin))
+        return pd.DataFrame(out, columns=["isin", "entity"])
+
+    return listings.withColumn("stem", F.substring("isin", 1, 7)).groupBy("stem").applyInPandas(chain, "isin string, entity string")
+
+
+def deflated_sharpe(returns: DataFrame, trials: int, *, year: int = 252) -> DataFrame:
+    """Per strategy (strategy, ret): Sharpe ratio, probability that it is above 0 and above the best that `trials` tries of no skill give,
+    and the track record this needs. One row per strategy reaches Python."""
+    moments = returns.where("ret is not null").groupBy("strategy").agg(F.count("*").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+    spread = moments.where("s > 0").agg(F.stddev_samp(F.col("m") / F.col("s")).alias("x")).first()[0] or 0.0
+    normal, euler = NormalDist(), 0.5772156649015329
+    best = spread * ((1 - euler) * normal.inv_cdf(1 - 1 / trials) + euler * normal.inv_cdf(1 - 1 / (trials * math.e))) if trials > 1 else 0.0
+
+    def judge(batches):
+        cdf = NormalDist().cdf
+        for pdf in batches:
+            sharpe = np.where(pdf["s"] > 0, pdf["m"] / pdf["s"].where(pdf["s"] > 0, 1), 0.0)
+            skew, kurt, n = pdf["skew"].fillna(0), pdf["kurt"].fillna(3), pdf["n"]
+            dev = np.sqrt(np.maximum(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe**2))
+            p = lambda at: [cdf(x) for x in (sharpe - at) * np.sqrt(np.maximum(n - 1, 0)) / dev]
+            need = np.where(sharpe > best, 1 + dev**2 * (NormalDist().inv_cdf(0.95) / np.where(sharpe > best, sharpe - best, 1)) ** 2, np.inf)
+            yield pd.DataFrame({"strategy": pdf["strategy"], "n": n, "sharpe": sharpe * math.sqrt(year), "psr": p(0.0), "dsr": p(best), "min_track": need})
+
+    kind = dict(returns.dtypes)["strategy"]
+    return moments.mapInPandas(judge, f"strategy {kind}, n long, sharpe double, psr double, dsr double, min_track double").orderBy(F.desc("dsr"), "strategy")
+
+
+def walk_forward(panel: DataFrame, features: list[str], label: str, *, train: int = 104, test: int = 26, rounds: int = 60, rate: float = 0.1) -> DataFrame:
+    """Scores of each test block by boosted stumps fitted on the `train` dates before it; rows without a label only aren't learned from.
+    A fold is a group; a block's first date is `train` dates into the calendar, then `test` further, and so on."""
+    days = [r.d for r in panel.select("d").distinct().orderBy("d").collect()]  # one row per date
+    starts = list(range(train, len(days), test))
+    folds = panel.sparkSession.createDataFrame([(k, days[s - train], days[s], days[min(s + test, len(days)) - 1]) for k, s in enumerate(starts)], f"fold int, lo {dict(panel.dtypes)['d']}, mid {dict(panel.dtypes)['d']}, hi {dict(panel.dtypes)['d']}")
+    rows = panel.join(F.broadcast(folds), (F.col("d") >= F.col("lo")) & (F.col("d") <= F.col("hi")))  # one row per fold
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["d", "ticker"])
+        learn = pdf[(pdf["d"] < pdf["mid"]) & pdf[label].notna()]
+        ahead = pdf[pdf["d"] >= pdf["mid"]]
+        x, y, new = learn[features].fillna(0).to_numpy(float), learn[label].to_numpy(float), ahead[features].fillna(0).to_numpy(float)
+        score, now = np.full(len(new), y.mean() if len(y) else 0.0), np.full(len(y), y.mean() if len(y) else 0.0)
+        cuts = np.quantile(x, np.linspace(0.1, 0.9, 9), axis=0) if len(x) else None
+        for _ in range(rounds if len(x) else 0):
+            rest, best = y - now, (0.0, 0, 0.0, 0.0, 0.0)
+            for k in range(len(features)):
+                for c in np.unique(cuts[:, k]):
+                    low = x[:, k] <= c
+                    n = low.sum()
+                    if 0 < n < len(y):
+                        a, b = rest[low].mean(), rest[~low].mean()
+                        gain = n * a * a + (len(y) - n) * b * b
+                        if gain > best[0] + 1e-15:
+                            best = (gain, k, c, a, b)
+            _, k, c, a, b = best
+            now += rate * np.where(x[:, k] <= c, a, b)
+            score += rate * np.where(new[:, k] <= c, a, b)
+        return ahead[["fold", "d", "ticker"]].assign(score=score)
+
+    kinds = dict(panel.dtypes)
+    return rows.groupBy("fold").applyInPandas(fit, f"fold int, d {kinds['d']}, ticker {kinds['ticker']}, score double")
+
+
+def hmm_filter(series: DataFrame, columns: list[str], *, states: int = 2, train: int = 104, test: int = 26, sticky: float = 10.0, rounds: int = 40) -> DataFrame:
+    """Probability of the high-variance state by a Gaussian hidden Markov model: fitted on the `train` rows before each block of `test`,
+    then filtered forward through it, never smoothed. A market series is one group: as many rows as there are dates."""
+    kind = dict(series.dtypes)["d"]
+
+    def density(x, mean, cov):
+        out = np.empty((len(x), states))
+        for k in range(states):
+            e = x - mean[k]
+            out[:, k] = -0.5 * (np.einsum("ij,jk,ik->i", e, np.linalg.inv(cov[k]), e) + np.linalg.slogdet(2 * np.pi * cov[k])[1])
+        return out
+
+    def forward(logp, start, move):
+        alpha, scale, now = np.empty(logp.shape), np.empty(len(logp)), start
+        for t, row in enumerate(logp):
+            top = row.max()
+            a = (now if t == 0 else alpha[t - 1] @ move) * np.exp(row - top)
+            scale[t] = a.sum()
+            alpha[t] = a / scale[t]
+        return alpha, scale
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("d").reset_index(drop=True)
+        x = pdf[columns].to_numpy(float)
+        out = []
+        for s in range(train, len(x), test):
+            past = x[s - train : s]
+            order = np.argsort(past[:, -1])
+            parts = np.array_split(order, states)
+            ridge = np.eye(x.shape[1]) * (past.var(0).mean() * 1e-3 + 1e-12)
+            mean, cov = np.array([past[p].mean(0) for p in parts]), np.array([np.cov(past[p].T).reshape(x.shape[1], -1) + ridge for p in parts])
+            start, move = np.full(states, 1 / states), np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * (0.95 - 0.05 / max(1, states - 1))
+            for _ in range(rounds):
+                p = density(past, mean, cov)
+                alpha, _ = forward(p, start, move)
+                lik, beta = np.exp(p - p.max(1, keepdims=True)), np.ones(alpha.shape)
+                for t in range(len(past) - 2, -1, -1):
+                    beta[t] = move @ (lik[t + 1] * beta[t + 1])
+                    beta[t] /= beta[t].sum()
+                g = alpha * beta
+                g /= g.sum(1, keepdims=True)
+                pair = alpha[:-1, :, None] * move * (lik[1:] * beta[1:])[:, None, :]
+                count = (pair / pair.sum((1, 2), keepdims=True)).sum(0) + 1 + np.eye(states) * sticky
+                move, start = count / count.sum(1, keepdims=True), g[0]
+                mean = (g.T @ past) / g.sum(0)[:, None]
+                cov = np.array([(g[:, k, None] * (past - mean[k])).T @ (past - mean[k]) / g[:, k].sum() + ridge for k in range(states)])
+            last = int(np.argmax(mean[:, -1]))
+            alpha, _ = forward(density(x[s - train : s + test], mean, cov), start, move)
+            out += [(pdf["d"][s + k], float(alpha[train + k, last])) for k in range(min(test, len(x) - s))]
+        return pd.DataFrame(out, columns=["d", "high_state"])
+
+    return series.dropna(subset=columns).groupBy().applyInPandas(run, f"d {kind}, high_state double")

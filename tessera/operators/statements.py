@@ -1,0 +1,390 @@
+"""Relational operators over bars. Each is one statement; windows share their partitioning, so a panel is shuffled once by ticker and
+once by date. Parameters shorter than in production keep the small test tables busy; the functions take any."""
+
+from __future__ import annotations
+
+from tessera.functions.dialect import Statement, average_rank, full_window
+
+_BY = "over (partition by ticker order by d)"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6) + 0e0"
+
+
+def resample(minutes: int) -> Statement:
+    """Session-aligned bars from ticks: bins count from 09:15, those before it have negative numbers; prices must be positive."""
+    minute = "(hour(ts) * 60 + minute(ts) - 555)"
+    return Statement(f"""
+select ticker, cast(ts as date) as d, cast(floor({minute} / {minutes}e0) as bigint) as bin, min_by(px, event_id) as open, max(px) as high, min(px) as low,
+  max_by(px, event_id) as close, count(*) as volume from tk where px > 0 group by ticker, cast(ts as date), cast(floor({minute} / {minutes}e0) as bigint)""", ("tk",))
+
+
+def bars_per_day(minutes: int) -> Statement:
+    inner = resample(minutes).text
+    return Statement(f"with b as ({inner}), c as (select ticker, d, count(*) as n from b group by ticker, d) select ticker, cast(MEDIAN(n) as double) as median_bars, max(n) as max_bars from c group by ticker", ("tk",))
+
+
+def dedup(keep: str) -> Statement:
+    pick = {"last": "desc", "first": "asc"}[keep]
+    return Statement(f"""
+with k as (select *, row_number() over (partition by ticker, cast(ts as date), hour(ts), minute(ts) order by event_id {pick}) as rn from tk)
+select ticker, event_id, px from k where rn = 1""", ("tk",))
+
+
+#: A row for each ticker and date, whether it has a bar or not.
+GRID = "c as (select distinct d from wk), n as (select distinct ticker from wk), g as (select n.ticker, c.d, b.open, b.high, b.low, b.close, b.volume, b.turnover from c cross join n left join wk b on b.ticker = n.ticker and b.d = c.d)"
+
+
+def ffill() -> Statement:
+    return Statement(f"with {GRID} select ticker, d, LASTNN(close) over (partition by ticker order by d rows between unbounded preceding and current row) as filled, FIRSTNN(close) over (partition by ticker order by d rows between 1 following and unbounded following) as next_quote from g", ("wk",))
+
+
+def calendar() -> Statement:
+    return Statement("select d, cast(row_number() over (order by d) - 1 as bigint) as pos from (select distinct d from wk) x", ("wk",))
+
+
+def features(short: int = 5, long: int = 20, year: int = 52) -> str:
+    """CTE f: raw features of the bars, by own rows; null until a window is full."""
+    return f"""r as (select *, ln(close / lag(close) {_BY}) as r1 from wk),
+f as (select ticker, d, close, r1, ln(close / lag(close, {short}) {_BY}) as mom_short, ln(close / lag(close, {long}) {_BY}) as mom_long,
+  close / {full_window('avg(@)', 'close', long)} as close_sma, {full_window('max(@)', 'r1', long)} as max_ret, {full_window('stddev_samp(@)', 'r1', long)} as vol,
+  sqrt({full_window('avg(@)', 'ln(high / low) * ln(high / low)', long)} / (4 * ln(2e0))) as parkinson, close / {full_window('max(@)', 'close', year)} - 1 as drawdown,
+  abs(r1) / nullif(close * volume, 0) as amihud, {full_window('var_samp(@)', 'volume', long)} as vol_var, volume / nullif({full_window('avg(@)', 'volume', long)}, 0) as turn,
+  ln(lead(close, 1) {_BY} / close) as fwd1, ln(lead(close, 5) {_BY} / close) as fwd5 from r)"""
+
+
+RAW = ("mom_short", "mom_long", "close_sma", "max_ret", "vol", "parkinson", "drawdown", "amihud", "vol_var", "turn")
+
+
+def raw_features() -> Statement:
+    return Statement(f"with {features()} select ticker, d, {', '.join(f'{r6(c)} as {c}' for c in ('r1', *RAW))} from f", ("wk",))
+
+
+def targets() -> Statement:
+    return Statement(f"with {features()} select ticker, d, {r6('fwd1')} as fwd1, {r6('fwd5')} as fwd5 from f", ("wk",))
+
+
+def session_targets(minutes: int = 30, ahead: int = 2) -> Statement:
+    """Forward returns that must end on the same day."""
+    return Statement(f"""
+with b as ({resample(minutes).text}), x as (select *, lead(close, {ahead}) over (partition by ticker order by d, bin) as nc, lead(d, {ahead}) over (partition by ticker order by d, bin) as nd from b)
+select ticker, d, bin, {r6('case when nd = d then ln(nc / close) end')} as fwd from x""", ("tk",))
+
+
+def normalised(columns: tuple[str, ...], source: str) -> str:
+    """Selects rank-normalised columns: average ranks within a date to [-1, 1], a single name 0; every column must be full."""
+    return ", ".join(f"{r6(f'case when count(*) over (partition by d) = 1 then 0e0 else 2 * ({average_rank(c, 'd')} - 1) / (count(*) over (partition by d) - 1) - 1 end')} as {c}" for c in columns)
+
+
+def feature_matrix() -> Statement:
+    """All features present and any target, then ranks within each date."""
+    rounded = ", ".join(f"round({c}, 9) as {c}" for c in RAW)
+    full = " and ".join(f"{c} is not null" for c in RAW)
+    return Statement(f"with {features()}, k as (select ticker, d, {rounded}, fwd1, fwd5 from f where {full} and (fwd1 is not null or fwd5 is not null)) select ticker, d, {normalised(RAW, 'k')}, {r6('fwd1')} as fwd1 from k", ("wk",))
+
+
+def universe(top: int = 10, lookback: int = 52, every: int = 13, least: int = 40) -> str:
+    """CTEs cal, pick, u: at every `every`-th date from `lookback` on, the `top` names by median positive turnover of the dates before,
+    of those with `least` traded ones, held until the next."""
+    return f"""cal as (select d, row_number() over (order by d) - 1 as pos from (select distinct d from wk) x),
+reb as (select pos as r, d as rd from cal where pos >= {lookback} and (pos - {lookback}) % {every} = 0),
+med as (select reb.r, w.ticker, MEDIAN(w.turnover) as m, count(*) as n from reb join cal on cal.pos >= reb.r - {lookback} and cal.pos < reb.r join wk w on w.d = cal.d where w.turnover > 0 group by reb.r, w.ticker),
+pick as (select r, ticker from (select r, ticker, row_number() over (partition by r order by round(m, 6) desc, ticker) as k from med where n >= {least}) x where k <= {top}),
+u as (select cal.d, cal.pos, pick.ticker from pick join cal on cal.pos >= pick.r and cal.pos < pick.r + {every})"""
+
+
+def universe_topn() -> Statement:
+    return Statement(f"with {universe()} select d, ticker from u", ("wk",))
+
+
+def universe_churn() -> Statement:
+    return Statement(f"""with {universe()}, s as (select r, r - 13 as before, ticker from pick)
+select s.r as pos, count(*) as names, cast(sum(case when p.ticker is null then 1 else 0 end) as bigint) as entered, {r6('sum(case when p.ticker is null then 1 else 0 end) / cast(count(*) as double)')} as churn
+from s left join pick p on p.r = s.before and p.ticker = s.ticker where s.before >= 52 group by s.r""", ("wk",))
+
+
+def masked_rank() -> Statement:
+    """The mask blanks features after the windows and before the ranks."""
+    return Statement(f"with {features()}, {universe()}, k as (select f.ticker, f.d, round(f.mom_short, 9) as mom_short from f join u on u.d = f.d and u.ticker = f.ticker where f.mom_short is not null) select ticker, d, {normalised(('mom_short',), 'k')} from k", ("wk",))
+
+
+def liquidity(n: int = 21, least: int = 10) -> Statement:
+    """Dense: ADV is the median of positive turnovers of the n dates before; sigma the deviation of padded returns over them."""
+    pos = "case when turnover > 0 then turnover end"
+    return Statement(f"""with {GRID}, p as (select ticker, d, {pos} as t, LASTNN(close) over (partition by ticker order by d rows between unbounded preceding and current row) as c from g),
+q as (select *, c / lag(c) {_BY} - 1 as r from p)
+select ticker, d, {r6(full_window('MEDIAN(@)', 't', n, least=least, lag=1))} as adv, {r6(full_window('stddev_samp(@)', 'r', n, lag=1))} as sigma from q""", ("wk",))
+
+
+_K = "(3 - 2 * sqrt(2e0))"
+
+
+def spreads(n: int = 63, least: int = 30) -> str:
+    """CTE sp: half-spreads in basis points by high-low ranges of one and two dates (cs), and by closes against mid ranges (ar); dense."""
+    return f"""{GRID}, h as (select *, lag(high) {_BY} as h1, lag(low) {_BY} as l1, lag(close) {_BY} as c1 from g),
+e as (select ticker, d, turnover, ln(high / low) * ln(high / low) + ln(h1 / l1) * ln(h1 / l1) as beta,
+  case when high is not null and h1 is not null then ln(greatest(high, h1) / least(low, l1)) * ln(greatest(high, h1) / least(low, l1)) end as gamma,
+  (ln(c1) - (ln(h1) + ln(l1)) / 2) * (ln(c1) - (ln(high) + ln(low)) / 2) as p from h),
+m as (select ticker, d, turnover, {full_window('avg(@)', 'beta', n, least=least, lag=1)} as b, {full_window('avg(@)', 'gamma', n, least=least, lag=1)} as y, {full_window('avg(@)', 'p', n, least=least, lag=1)} as p from e),
+a as (select *, greatest(0e0, (sqrt(2 * b) - sqrt(b)) / {_K} - sqrt(y / {_K})) as alpha from m where b is not null and y is not null and p is not null),
+sp as (select ticker, d, turnover, 1e4 * (exp(alpha) - 1) / (1 + exp(alpha)) as cs, 1e4 * sqrt(greatest(0e0, 4 * p)) / 2 as ar from a)"""
+
+
+def spread_panel() -> Statement:
+    return Statement(f"with {spreads()} select ticker, d, {r6('cs')} as cs, {r6('ar')} as ar from sp", ("wk",))
+
+
+def quintile_spread(k: int = 5) -> Statement:
+    """Spreads pooled by bucket of turnover rank within the date, and over all (bucket 0)."""
+    return Statement(f"""with {spreads()}, x as (select d, ticker, cs, round(turnover, 6) as t from sp where turnover is not null),
+b as (select cs, cast(least({k}, greatest(1, ceil({average_rank('t', 'd')} / count(*) over (partition by d) * {k} - 1e-9))) as bigint) as q from x)
+select coalesce(q, 0) as q, count(*) as n, {r6('avg(cs)')} as mean_cs, {r6('MEDIAN(cs)')} as median_cs, {r6('avg(case when cs = 0 then 1e0 else 0e0 end)')} as zero_share from b group by rollup(q)""", ("wk",))
+
+
+def monotone_gate() -> Statement:
+    inner = quintile_spread().text
+    return Statement(f"with t as ({inner}), s as (select q, mean_cs < lag(mean_cs) over (order by q) as falls from t where q > 0) select BOOLAND(coalesce(falls, true)) as falls_throughout from s", ("wk",))
+
+
+def rank_curve() -> Statement:
+    return Statement(f"with x as (select turnover, row_number() over (partition by d order by round(turnover, 6) desc, ticker) as k from wk) select cast(k as bigint) as k, {r6('MEDIAN(turnover)')} as median_turnover from x group by k", ("wk",))
+
+
+def capacity() -> Statement:
+    """Participation of an equal-weight book in the n largest names for sizes of the book; feasible where the median is under a tenth."""
+    return Statement(f"""with x as (select d, turnover, row_number() over (partition by d order by round(turnover, 6) desc, ticker) as k from wk),
+grid as (select * from (values (1e5, 5), (1e5, 10), (1e6, 5), (1e6, 10), (1e6, 20)) as t(aum, n))
+select cast(aum as double) as aum, cast(n as bigint) as n, {r6('MEDIAN(aum / n / turnover)')} as participation, count(*) as bars, MEDIAN(aum / n / turnover) <= 0.1 as feasible from x join grid on x.k <= grid.n group by aum, n""", ("wk",))
+
+
+def momentum(n: int = 5) -> str:
+    """CTE s: score and next return, on the dense calendar."""
+    return f"{GRID}, s as (select ticker, d, close, round(close / lag(close, {n}) {_BY} - 1, 9) as score, lead(close) {_BY} / close - 1 as fwd from g)"
+
+
+def deciles(share: float = 0.1) -> str:
+    """CTEs k, w: first-occurrence ranks both ways, ties by ticker; the top and bottom share (one name at least) at equal weights."""
+    return f"""{momentum()}, k as (select ticker, d, fwd, row_number() over (partition by d order by score desc, ticker) as hi, row_number() over (partition by d order by score, ticker) as lo,
+  greatest(1, cast(floor(count(*) over (partition by d) * {share}e0) as bigint)) as m from s where score is not null),
+w as (select ticker, d, fwd, case when hi <= m then 1e0 / m else 0e0 end as l, case when lo <= m then 1e0 / m else 0e0 end as sh from k)"""
+
+
+def momentum_rank() -> Statement:
+    return Statement(f"with {deciles()} select ticker, d, cast(hi as bigint) as rank_desc, cast(lo as bigint) as rank_asc, cast(hi <= m as int) - cast(lo <= m as int) as side from k", ("wk",))
+
+
+def long_short() -> Statement:
+    return Statement(f"with {deciles()} select d, {r6('sum(case when l - sh <> 0 then (l - sh) * fwd end)')} as gross, cast(sum(case when l - sh <> 0 and fwd is null then 1 else 0 end) as bigint) as unpriced from w group by d", ("wk",))
+
+
+PANIC = f"""mk as (select d, avg(ln(close)) as lc from wk group by d), mr as (select d, lc - lag(lc) over (order by d) as r from mk),
+mv as (select d, r, case when count(r) over (order by d rows between 19 preceding and current row) = 20 then ln(stddev_samp(r) over (order by d rows between 19 preceding and current row)) end as v from mr),
+z as (select d, r, v, case when count(v) over (order by d rows between unbounded preceding and current row) >= 52 then (v - avg(v) over (order by d rows between unbounded preceding and current row)) / nullif(stddev_samp(v) over (order by d rows between unbounded preceding and current row), 0) end as z from mv),
+t as (select d, r, v, z, QUANTILE(z, 0.85) over (order by d rows between unbounded preceding and current row) as q from z),
+pg as (select d, z, coalesce(z > q + 1e-12, false) as panic from t)"""
+
+
+def weights(style: str) -> str:
+    """Weights by style; panic is the gate of the bar before. long_only: the top, cash in panic; long_short: top less bottom; dynamic_tilt:
+    130 % of the top less 30 % of the bottom, 1:1 in panic."""
+    w = {"long_only": "case when panic then 0e0 else l end", "long_short": "l - sh", "dynamic_tilt": "case when panic then l - sh else 1.3e0 * l - 0.3e0 * sh end"}[style]
+    return f"gate as (select d, coalesce(lag(panic) over (order by d), false) as panic from pg), book as (select w.ticker, w.d, w.fwd, {w} as wt from w join gate on gate.d = w.d)"
+
+
+def dense_book() -> str:
+    return "dates as (select d, row_number() over (order by d) as pos from (select distinct d from book) x), tr as (select ticker, d, fwd, wt, wt - coalesce(lag(wt) over (partition by ticker order by d), 0) as dw from book)"
+
+
+def panic_gate() -> Statement:
+    return Statement(f"with {PANIC} select d, {r6('z')} as z, panic from pg", ("wk",))
+
+
+def style_weights(style: str) -> Statement:
+    return Statement(f"with {deciles()}, {PANIC}, {weights(style)} select d, {r6('sum(wt)')} as net, {r6('sum(abs(wt))')} as gross, count(*) as names from book group by d", ("wk",))
+
+
+def executed(style: str, aum: float = 1e5, statutory: float = 14.6558, impact: float = 0.1) -> Statement:
+    """Gross and net returns: statutory cost, half-spread and square-root impact on each name's change of weight; the first bar pays its
+    whole entry. Missing cost inputs take the date's median, then the whole panel's."""
+    liq = liquidity().text.replace("select ticker, d, round", "select ticker, d, round")
+    body = f"""{deciles()}, {PANIC}, {weights(style)}, {dense_book()},
+lq as (select * from ({liq}) y), sq as ({spread_panel().text}),
+j as (select tr.*, lq.adv, lq.sigma, sq.cs from tr left join lq on lq.ticker = tr.ticker and lq.d = tr.d left join sq on sq.ticker = tr.ticker and sq.d = tr.d),
+dm as (select d, MEDIAN(adv) as a, MEDIAN(sigma) as s, MEDIAN(cs) as c from j group by d), gm as (select MEDIAN(adv) as a, MEDIAN(sigma) as s, MEDIAN(cs) as c from j),
+x as (select j.d, j.wt, j.dw, j.fwd, coalesce(j.cs, dm.c, gm.c) as cs, coalesce(j.sigma, dm.s, gm.s) as sigma, coalesce(j.adv, dm.a, gm.a) as adv from j join dm on dm.d = j.d cross join gm),
+y as (select d, sum(case when wt <> 0 then wt * fwd else 0e0 end) as gross, sum(abs(dw)) as turnover,
+  sum(abs(dw) * ({statutory}e0 + cs + 1e4 * {impact}e0 * sigma * sqrt(abs(dw) * {aum}e0 / adv))) / 1e4 as cost from x group by d)
+select d, {r6('gross')} as gross, {r6('turnover')} as turnover, {r6('cost')} as cost, {r6('gross - cost')} as net from y""".replace(f"{aum}e0", f"{aum}")
+    return Statement("with " + body, ("wk",))
+
+
+def tiered_borrow() -> Statement:
+    """Borrow fee of held shorts by quartile of ADV among them; the least liquid pay most."""
+    return Statement(f"""with {deciles()}, lq as ({liquidity().text}), held as (select w.d, w.ticker, lq.adv from w join lq on lq.ticker = w.ticker and lq.d = w.d where w.sh > 0 and lq.adv is not null),
+tiers as (select d, ticker, cast(ceil({average_rank('adv', 'd')} / count(*) over (partition by d) * 4 - 1e-9) as bigint) as tier from held)
+select d, ticker, tier, case tier when 1 then 8e0 when 2 then 5e0 when 3 then 3e0 else 1e0 end as fee from tiers""", ("wk",))
+
+
+def cap_water_fill(aum: float = 2e5, limit: float = 0.1) -> Statement:
+    """Equal weights of the top half under caps limit * turnover / aum: min(cap, k * w) with k such that they add up, in closed form;
+    where the caps are too small all are at theirs."""
+    return Statement(f"""with {momentum()}, k as (select s.*, count(*) over (partition by d) as n, row_number() over (partition by d order by score desc, ticker) as hi from s where score is not null),
+leg as (select k.d, k.ticker, 1e0 / floor(n / 2) as w, {limit}e0 * b.turnover / {aum} as cap from k join wk b on b.ticker = k.ticker and b.d = k.d where hi <= floor(n / 2)),
+o as (select *, sum(cap) over (partition by d order by cap / w, ticker rows between unbounded preceding and current row) as c, sum(w) over (partition by d order by cap / w, ticker rows between current row and unbounded following) as u, sum(cap) over (partition by d) as whole from leg),
+l as (select *, (1 - (c - cap)) / u as k from o), m as (select d, min(case when k * w <= cap + 1e-12 then k end) as k from l group by d)
+select o.d, o.ticker, {r6('case when whole <= 1 or m.k is null then cap else least(cap, m.k * w) end')} as weight from o join m on m.d = o.d""", ("wk",))
+
+
+IC = f"""{momentum()}, v as (select d, ticker, score, round(fwd, 9) as fwd from s where score is not null and fwd is not null),
+rk as (select d, ticker, {average_rank('score', 'd')} as a, {average_rank('fwd', 'd')} as b from v), ic as (select d, case when count(*) >= 5 and stddev_samp(a) > 0 and stddev_samp(b) > 0 then corr(a, b) end as ic, count(*) as n from rk group by d)"""
+
+
+def daily_ic() -> Statement:
+    return Statement(f"with {IC} select d, {r6('ic')} as ic, n from ic", ("wk",))
+
+
+def ic_summary(by_year: bool = False) -> Statement:
+    key, group = ("cast(year(d) as bigint) as year, ", " group by year(d)") if by_year else ("", "")
+    return Statement(f"with {IC} select {key}{r6('avg(ic)')} as mean, {r6('avg(ic) / stddev_samp(ic)')} as ir, {r6('avg(ic) / stddev_samp(ic) * sqrt(count(ic))')} as t, {r6('avg(case when ic > 0 then 1e0 else 0e0 end)')} as hit, count(ic) as n from ic where ic is not null{group}", ("wk",))
+
+
+def ic_by_quintile() -> Statement:
+    """Ranks inside each bucket of turnover."""
+    return Statement(f"""with {momentum()}, v as (select s.d, s.ticker, s.score, round(s.fwd, 9) as fwd, round(b.turnover, 6) as t from s join wk b on b.ticker = s.ticker and b.d = s.d where score is not null and fwd is not null),
+q as (select *, cast(least(5, greatest(1, ceil({average_rank('t', 'd')} / count(*) over (partition by d) * 5 - 1e-9))) as bigint) as q from v),
+rk as (select d, q, {average_rank('score', 'd, q')} as a, {average_rank('fwd', 'd, q')} as b from q), ic as (select d, q, case when count(*) >= 3 and stddev_samp(a) > 0 and stddev_samp(b) > 0 then corr(a, b) end as ic from rk group by d, q)
+select q, {r6('avg(ic)')} as mean, count(ic) as n from ic group by q""", ("wk",))
+
+
+def trailing_ic(last: int = 52, embargo: int = 2, least: int = 26) -> Statement:
+    w = f"over (order by pos range between {last + embargo - 1} preceding and {embargo} preceding)"
+    return Statement(f"with {IC}, p as (select d, ic, row_number() over (order by d) as pos from ic) select d, {r6(f'case when count(ic) {w} >= {least} then avg(ic) {w} end')} as trailing from p", ("wk",))
+
+
+def expected_return(h: int = 5) -> Statement:
+    return Statement(f"with {momentum()}, lq as ({liquidity().text}) select s.d, s.ticker, {r6(f'0.05e0 * lq.sigma * sqrt({h}e0) * (score - avg(score) over (partition by s.d)) / nullif(stddev_samp(score) over (partition by s.d), 0)')} as er from s join lq on lq.ticker = s.ticker and lq.d = s.d where score is not null", ("wk",))
+
+
+def rolling_beta(n: int = 52, least: int = 26) -> Statement:
+    w = f"over (partition by ticker order by d rows between {n - 1} preceding and current row)"
+    return Statement(f"""with r as (select ticker, d, ln(close / lag(close) {_BY}) as r from wk), m as (select d, avg(r) as m from r group by d), j as (select r.ticker, r.d, r.r, m.m from r join m on m.d = r.d where r.r is not null)
+select ticker, d, {r6(f'case when count(*) {w} >= {least} then covar_samp(r, m) {w} / nullif(var_samp(m) {w}, 0) end')} as beta from j""", ("wk",))
+
+
+def pairwise_correlation(n: int = 20) -> Statement:
+    """Mean correlation of all pairs of names complete over n dates, from the norm of the sum of standardised returns, without pairs."""
+    return Statement(f"""with {GRID}, r as (select ticker, d, ln(close / lag(close) {_BY}) as r from g), cal as (select d, row_number() over (order by d) as pos from (select distinct d from wk) x),
+p as (select r.ticker, cal.pos, r.r from r join cal on cal.d = r.d where r.r is not null), x as (select e.pos as t, p.pos, p.ticker, p.r from p join cal e on p.pos > e.pos - {n} and p.pos <= e.pos),
+st as (select t, ticker, avg(r) as m, stddev_samp(r) as sd from x group by t, ticker having count(*) = {n} and stddev_samp(r) > 0),
+zs as (select x.t, x.pos, sum((x.r - st.m) / st.sd) as z, count(*) as k from x join st on st.t = x.t and st.ticker = x.ticker group by x.t, x.pos)
+select c.d, {r6(f'(sum(z * z) / {n - 1} - max(k)) / (max(k) * (max(k) - 1))')} as corr, max(k) as names from zs join cal c on c.pos = zs.t where k >= 2 group by c.d""", ("wk",))
+
+
+LEDGER = f"{deciles()}, lg as (select d, sum(case when l - sh <> 0 then (l - sh) * fwd end) as ret from w group by d having count(case when l - sh <> 0 then fwd end) > 0)"
+
+
+def performance() -> Statement:
+    """Sharpe ratio, moments, autocorrelation, variance ratio of 5, deepest drawdown, yearly growth of the long-short book."""
+    return Statement(f"""with {LEDGER}, i as (select *, row_number() over (order by d) as k, lag(ret) over (order by d) as before, sum(ret) over (order by d rows between 4 preceding and current row) as s5, count(ret) over (order by d rows between 4 preceding and current row) as c5,
+  exp(sum(ln(greatest(1e-9, 1 + ret))) over (order by d rows between unbounded preceding and current row)) as wealth from lg where ret is not null),
+mo as (select avg(ret) as m, count(*) as n, stddev_pop(ret) as sp, var_samp(ret) as v from lg where ret is not null), dd as (select *, wealth / max(wealth) over (order by d rows between unbounded preceding and current row) - 1 as down from i),
+vr as (select sum(power(i.s5 - 5 * mo.m, 2)) / (5 * (max(mo.n) - 4) * (1 - 5e0 / max(mo.n))) as v5 from i cross join mo where i.c5 = 5)
+select {r6('max(mo.m) / sqrt(max(mo.v)) * sqrt(52e0)')} as sharpe, {r6('avg(power((ret - mo.m) / mo.sp, 3))')} as skew, {r6('avg(power((ret - mo.m) / mo.sp, 4))')} as kurtosis, {r6('corr(ret, before)')} as autocorr,
+  {r6('max(vr.v5) / max(mo.v)')} as variance_ratio, {r6('min(down)')} as max_drawdown, {r6('power(max_by(wealth, d), 52e0 / count(*)) - 1')} as cagr, count(*) as n from dd cross join mo cross join vr""", ("wk",))
+
+
+def compounded() -> Statement:
+    return Statement(f"with {LEDGER} select cast(year(d) as bigint) as year, {r6('exp(sum(ln(greatest(1e-9, 1 + ret)))) - 1')} as ret, {r6('min(ret)')} as worst, count(*) as n from lg where ret is not null group by year(d)", ("wk",))
+
+
+def asof_yield(every: int = 4) -> Statement:
+    """Backward as-of: the last published yield at or before each date, the median before the first."""
+    return Statement(f"""with cal as (select d, row_number() over (order by d) as pos from (select distinct d from wk) x), y as (select w.d, round(avg(w.close) / 1000, 9) as y from wk w join cal on cal.d = w.d where cal.pos > 6 and cal.pos % {every} = 0 group by w.d),
+a as (select w.ticker, w.d, LASTNN(y.y) over (partition by w.ticker order by w.d rows between unbounded preceding and current row) as y from wk w left join y on y.d = w.d) select ticker, d, {r6('coalesce(a.y, (select MEDIAN(y) from y))')} as y from a""", ("wk",))
+
+
+def gate_lagged() -> Statement:
+    """A daily gate reaches ticks of the next day in its table; a day it doesn't know is closed."""
+    return Statement("""with dd as (select cast(ts as date) as d, count(*) as n from tk group by cast(ts as date)), gt as (select d, lag(n > 300) over (order by d) as open from dd where extract(day from d) % 5 <> 0)
+select t.ticker, cast(t.ts as date) as d, count(*) as n, BOOLAND(coalesce(gt.open, false)) as open from tk t left join gt on gt.d = cast(t.ts as date) group by t.ticker, cast(t.ts as date)""", ("tk",))
+
+
+def lagged_broadcast() -> Statement:
+    """The row before, of the name's own daily table, joined to its ticks' day, filled forward, then 0."""
+    return Statement("""with b as (select ticker, cast(ts as date) as d, count(*) as n from tk group by ticker, cast(ts as date)), l as (select ticker, d, lag(n) over (partition by ticker order by d) as n1 from b where n % 3 <> 0),
+j as (select b.ticker, b.d, l.n1 from b left join l on l.ticker = b.ticker and l.d = b.d) select ticker, d, coalesce(LASTNN(n1) over (partition by ticker order by d rows between unbounded preceding and current row), 0) as qty from j""", ("tk",))
+
+
+def near_action(within: int = 3) -> Statement:
+    """Jumps with a wide bar of the same name within some positions of the calendar."""
+    return Statement(f"""with cal as (select d, row_number() over (order by d) as pos from (select distinct d from wk) x), a as (select w.ticker, cal.pos from wk w join cal on cal.d = w.d where w.high / w.low > 1.55e0),
+e as (select w.ticker, w.d, cal.pos, ln(w.close / lag(w.close) over (partition by w.ticker order by w.d)) as r from wk w join cal on cal.d = w.d)
+select e.ticker, e.d from e where abs(r) > 0.25e0 and exists (select 1 from a where a.ticker = e.ticker and a.pos between e.pos - {within} and e.pos + {within})""", ("wk",))
+
+
+def folds(train: int = 104, test: int = 26) -> Statement:
+    return Statement(f"""with cal as (select d, cast(row_number() over (order by d) - 1 as bigint) as pos from (select distinct d from wk) x), fo as (select cast(floor((pos - {train}) / {test}e0) as bigint) as fold, min(pos) as lo from cal where pos >= {train} group by floor((pos - {train}) / {test}e0))
+select fo.fold, cast(sum(case when cal.pos < fo.lo then 1 else 0 end) as bigint) as train_rows, cast(sum(case when cal.pos >= fo.lo then 1 else 0 end) as bigint) as test_rows from fo join cal on cal.pos >= fo.lo - {train} and cal.pos < fo.lo + {test} join wk w on w.d = cal.d group by fo.fold""", ("wk",))
+
+
+def missing_cells() -> Statement:
+    return Statement("with c as (select distinct d from wk), n as (select distinct ticker from wk) select n.ticker, c.d from c cross join n where not exists (select 1 from wk b where b.ticker = n.ticker and b.d = c.d)", ("wk",))
+
+
+def ledger_compare() -> Statement:
+    """Two ledgers side by side: rows of one only, differing nulls, largest difference."""
+    one, two = (f"select d, avg(case when score > 0 then fwd end) as r from (select ticker, d, round(close / lag(close, {n}) {_BY} - 1, 9) as score, lead(close) {_BY} / close - 1 as fwd from wk) x group by d" for n in (5, 6))
+    return Statement(f"with a as ({one}), b as (select * from ({two}) y where r is not null) select cast(sum(case when a.d is null then 1 else 0 end) as bigint) as right_only, cast(sum(case when b.d is null then 1 else 0 end) as bigint) as left_only, cast(sum(case when (a.r is null) <> (b.r is null) then 1 else 0 end) as bigint) as null_differs, {r6('max(abs(a.r - b.r))')} as largest from a full outer join b on a.d = b.d", ("wk",))
+
+
+#: Ratios that a split, a bonus or a consolidation gives: 1/k and k, and n/(n+m) up to 12, but none between 1 and 2.
+GRID_RATIOS = sorted({round(x, 12) for k in (2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 50, 100) for x in (1 / k, float(k))} | {round(n / (n + m), 12) for n in range(1, 13) for m in range(1, 13)})
+
+
+def actions(jump: float = 0.25, seasoned: int = 5, gap: int = 60, floor: float = 20, near: float = 0.1) -> str:
+    """CTE act: jumps of a seasoned, contiguous, priced name that are near a ratio of the grid and leave turnover as it was."""
+    grid = ", ".join(f"({x!r}e0)" for x in GRID_RATIOS)
+    med = full_window("MEDIAN(@)", "turnover", 20, least=5, lag=1)
+    return f"""gr as (select * from (values {grid}) as t(v)), p as (select ticker, d, close, turnover, lag(close) {_BY} as c1, lag(d) {_BY} as d1, row_number() {_BY} - 1 as prior, {med} as tm from dy),
+q as (select *, round(close / c1, 9) as ratio from p where prior >= {seasoned} and c1 >= {floor} and d1 >= d - interval {gap} day and abs(close / c1 - 1) > {jump}),
+s as (select q.ticker, q.d, q.ratio, q.turnover, q.tm, min_by(gr.v, round(abs(ln(q.ratio / gr.v)), 9) * 1e6 + gr.v * 1e-6) as factor from q cross join gr group by q.ticker, q.d, q.ratio, q.turnover, q.tm),
+act as (select ticker, d, ratio, factor, ratio / factor - 1 as ex_ret from s where abs(ln(ratio / factor)) <= ln(1 + {near}) and (tm is null or turnover / tm between 0.2e0 and 20))"""
+
+
+def corporate_actions() -> Statement:
+    return Statement(f"with {actions()} select ticker, d, {r6('ratio')} as ratio, {r6('factor')} as factor, {r6('ex_ret')} as ex_ret, abs(ex_ret) > 0.05 as review from act", ("dy",))
+
+
+def back_adjusted() -> Statement:
+    """Prices times the factors of all later actions, volumes by them; as logarithms, since many actions multiply to any size."""
+    return Statement(f"""with {actions()}, j as (select b.*, coalesce(act.factor, 1e0) as fa from dy b left join act on act.ticker = b.ticker and act.d = b.d),
+a as (select *, coalesce(sum(ln(fa)) over (partition by ticker order by d rows between 1 following and unbounded following), 0e0) as adj from j)
+select ticker, d, {r6('adj')} as log_factor, {r6('ln(close) + adj')} as log_close, {r6('ln(volume) - adj')} as log_volume from a""", ("dy",))
+
+
+def lifecycle(quiet: int = 20, back: int = 20) -> Statement:
+    """Gone if the last bar is `quiet` positions before the end: acquired after a rise over the last `back` bars, else delisted; suspended
+    where it lacks many positions between its first and last."""
+    return Statement(f"""with cal as (select d, row_number() over (order by d) - 1 as pos from (select distinct d from dy) x), b as (select y.ticker, y.d, y.close, cal.pos, row_number() over (partition by y.ticker order by y.d desc) as back, count(*) over (partition by y.ticker) as n from dy y join cal on cal.d = y.d),
+a as (select ticker, min(d) as first, max(d) as last, max(n) as n, max(pos) - min(pos) + 1 as span, max(pos) as pos, max(case when back = 1 then close end) / max(case when back = least({back} + 1, n) then close end) - 1 as exit_ret from b group by ticker)
+select ticker, first, last, n, {r6('exit_ret')} as exit_ret, span - n >= {quiet} as suspended, case when pos > (select max(pos) from cal) - {quiet} then 'live' when exit_ret > 0 then 'acquired' else 'delisted' end as kind, case when pos > (select max(pos) from cal) - {quiet} then null when exit_ret > 0 then 0e0 else -0.3e0 end as terminal from a""", ("dy",))
+
+
+def disambiguated() -> Statement:
+    return Statement("with e as (select distinct ticker as entity, substring(ticker, 1, 8) as name from wk), k as (select *, row_number() over (partition by name order by entity) as rn from e) select entity, case when rn > 1 then name || '.' || cast(rn as varchar(9)) else name end as ticker from k", ("wk",))
+
+
+def expanding_z(least: int = 52) -> Statement:
+    w = "over (partition by ticker order by d rows between unbounded preceding and current row)"
+    return Statement(f"with r as (select ticker, d, ln(close / lag(close) {_BY}) as r from wk) select ticker, d, {r6(f'case when count(r) {w} >= {least} then (r - avg(r) {w}) / nullif(stddev_samp(r) {w}, 0) end')} as z from r", ("wk",))
+
+
+def sweep_bands() -> Statement:
+    parts = " union all ".join(f"select {n} as n, d, avg(case when score > 0 then fwd end) as r from (select ticker, d, close / lag(close, {n}) {_BY} - 1 as score, lead(close) {_BY} / close - 1 as fwd from wk) x{n} group by d" for n in (3, 5, 10, 20))
+    return Statement(f"with a as ({parts}), s as (select n, avg(r) / stddev_samp(r) * sqrt(52e0) as sharpe from a group by n) select {r6('avg(sharpe)')} as mean, {r6('min(sharpe)')} as least, {r6('max(sharpe)')} as most, count(*) as n from s", ("wk",))
+
+
+def turnover_attribution() -> Statement:
+    """Turnover on the bars at which the gate flips against the rest."""
+    return Statement(f"with {deciles()}, {PANIC}, {weights('dynamic_tilt')}, {dense_book()}, fl as (select d, panic <> coalesce(lag(panic) over (order by d), panic) as flip from gate) select fl.flip, {r6('sum(abs(tr.dw))')} as turnover, count(distinct tr.d) as bars from tr join fl on fl.d = tr.d group by fl.flip", ("wk",))

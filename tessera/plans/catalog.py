@@ -1,6 +1,75 @@
-"""All queries and their SQL twins."""
+"""All queries over bars, and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import stateful
+from tessera.operators import statements as st
+from tessera.sources import bars
+
+STATEMENTS = {
+    "resample_30m": st.resample(30), "resample_60m": st.resample(60), "bars_per_day": st.bars_per_day(30), "dedup_keep_last": st.dedup("last"), "dedup_keep_first": st.dedup("first"),
+    "fill_within_name": st.ffill(), "calendar_ordinal": st.calendar(), "raw_features": st.raw_features(), "forward_targets": st.targets(), "session_targets": st.session_targets(),
+    "feature_matrix": st.feature_matrix(), "universe_topn": st.universe_topn(), "universe_churn": st.universe_churn(), "universe_masked_rank": st.masked_rank(), "liquidity_panels": st.liquidity(),
+    "spread_panels": st.spread_panel(), "liquidity_quintile_spread": st.quintile_spread(), "spread_monotone_gate": st.monotone_gate(), "rank_turnover_curve": st.rank_curve(), "capacity_sweep": st.capacity(),
+    "momentum_rank": st.momentum_rank(), "long_short_returns": st.long_short(), "panic_gate": st.panic_gate(), "weights_long_only": st.style_weights("long_only"), "weights_long_short": st.style_weights("long_short"),
+    "weights_dynamic_tilt": st.style_weights("dynamic_tilt"), "execute_long_only": st.executed("long_only"), "execute_dynamic_tilt": st.executed("dynamic_tilt"), "tiered_borrow": st.tiered_borrow(), "cap_water_fill": st.cap_water_fill(),
+    "daily_ic": st.daily_ic(), "ic_summary": st.ic_summary(), "ic_by_year": st.ic_summary(True), "ic_by_quintile": st.ic_by_quintile(), "trailing_ic": st.trailing_ic(), "expected_return": st.expected_return(),
+    "rolling_beta": st.rolling_beta(), "avg_pairwise_corr": st.pairwise_correlation(), "performance": st.performance(), "yearly_compounded": st.compounded(), "asof_yield": st.asof_yield(),
+    "gate_broadcast_lagged": st.gate_lagged(), "delivery_lag_broadcast": st.lagged_broadcast(), "proximity_semi": st.near_action(), "fold_range_join": st.folds(), "anti_missing": st.missing_cells(),
+    "ledger_compare": st.ledger_compare(), "corporate_actions": st.corporate_actions(), "back_adjust": st.back_adjusted(), "lifecycle": st.lifecycle(), "ticker_disambiguation": st.disambiguated(),
+    "expanding_zscore": st.expanding_z(), "sweep_bands": st.sweep_bands(), "turnover_attribution": st.turnover_attribution(),
+}
+
+
+def _query(s: st.Statement) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: s.run(spark, **{k: bars.SOURCES[k](spark, sf_dir) for k in s.inputs})
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(STATEMENTS["momentum_rank"])(spark, sf_dir).select(F.lit("long").alias("strategy"), "d", "ticker", F.col("rank_desc").alias("rank"))
+
+
+def rebalance_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.rebalance_buffer(_ranked(spark, sf_dir), 5, 10)
+
+
+def cost_band_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = bars.weekly(spark, sf_dir).select("d", "ticker", (1e6 / F.col("turnover")).alias("cost"))
+    return stateful.rebalance_buffer(stateful.cost_band(_ranked(spark, sf_dir).join(costs, ["d", "ticker"]), 5, 2.0), 5, 10)
+
+
+def cost_swap_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _query(STATEMENTS["raw_features"])(spark, sf_dir).where("mom_short is not null")
+    costs = bars.weekly(spark, sf_dir).select("d", "ticker", (1e3 / F.col("turnover")).alias("cost"))
+    return stateful.swap_if_pays(scores.join(costs, ["d", "ticker"]).select(F.lit("long").alias("strategy"), "d", "ticker", F.col("mom_short").alias("value"), "cost"), 5)
+
+
+def psr_dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ls = _query(STATEMENTS["long_short_returns"])(spark, sf_dir).select(F.lit("long_short").alias("strategy"), F.col("gross").alias("ret"))
+    for k in ("long_only", "dynamic_tilt"):
+        ls = ls.unionByName(_query(STATEMENTS[f"execute_{k}"])(spark, sf_dir).select(F.lit(k).alias("strategy"), F.col("net").alias("ret")))
+    return stateful.deflated_sharpe(ls, 42, year=52)
+
+
+def walk_forward_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.walk_forward(_query(STATEMENTS["feature_matrix"])(spark, sf_dir), list(st.RAW), "fwd1")
+
+
+def hmm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = _query(STATEMENTS["panic_gate"])(spark, sf_dir)
+    return stateful.hmm_filter(z.join(_query(STATEMENTS["avg_pairwise_corr"])(spark, sf_dir), "d").select("d", "corr", "z"), ["corr", "z"])
+
+
+def isin_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bars.weekly(spark, sf_dir).groupBy(F.concat(F.substring("ticker", 1, 7), F.date_format("d", "yyyyMM")).alias("isin")).agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    return stateful.chained_ids(rows)
+
+
+QUERIES = {k: _query(s) for k, s in STATEMENTS.items()} | {f.__name__: f for f in (rebalance_buffer, cost_band_buffer, cost_swap_buffer, psr_dsr, walk_forward_alpha, hmm_filter, isin_chain)}
+ORACLES = {k: s.oracle(**bars.ORACLE) for k, s in STATEMENTS.items()}
+FLAGSHIP = QUERIES["long_short_returns"]
