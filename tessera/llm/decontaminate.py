@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,8 @@ class Items:
         return out
 
     def numbers(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words_of(text)], np.int64)
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and seed indices of the seeds in a document."""

@@ -44,7 +44,7 @@ def write_warc(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, le
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"n": F.octet_length("html").cast("long"), "digest": F.sha2(F.encode("html", "UTF-8"), 256)})
     light = materialize(rows.select("page_id", "n", "digest"), "warc-digests")
-    total = light.agg(F.coalesce(F.sum("n") + 600 * F.count("*"), F.lit(0))).first()[0]
+    total, count = light.agg(F.coalesce(F.sum("n") + 600 * F.count("*"), F.lit(0)), F.count("*")).first()
     twice = light.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
     twice = materialize(twice.select("digest", "first"), "warc-repeated")
     rows = rows.join(twice, "digest", "left")
@@ -59,8 +59,8 @@ def write_warc(pages: DataFrame, path: str, *, archive_bytes: int = 32 << 20, le
         F.when(revisit, F.concat(line("WARC-Refers-To", name(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    archives = rows.select(F.concat(head, block).alias("value"), F.xxhash64("page_id", "url", "digest").alias("k")).repartition(max(1, -(-total // archive_bytes)), "k")
-    archives.select("value").write.option("lineSep", END).text(path)
+    mean = total // max(1, count)  # bytes of a record, so that files end at about archive_bytes without dealing pages out anew
+    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, archive_bytes // max(1, mean))).text(path)
 
 
 def records_of(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bytes]]:
@@ -165,7 +165,7 @@ def _some_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(captures: DataFrame, *, block_lines: int = 1000) -> CaptureIndex:
     """Sorts captures by url key over all partitions, so that a common key is spread too, and packs them into blocks."""
     # the key in code point order, as Python compares it: both sort by UTF-8 bytes or by code points, which is the same
-    ranged = captures.withColumn("key", url_key(F.col("url"))).select("key", *_NAMES)
+    ranged = materialize(captures.withColumn("key", url_key(F.col("url"))).select("key", *_NAMES), "captures")  # dealing by range reads its input twice
     ranged = ranged.repartitionByRange(F.col("key"), F.col("page_id"), F.xxhash64("file", "offset")).sortWithinPartitions("key", "page_id", "file", "offset")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
