@@ -2,9 +2,10 @@
 
 1. Documents with equal sets are one class; a class takes part once.
 2. Grams have a fixed order, the rarest first by a table of counters over all documents (an order only: any serves). Two sets
-   that link share a gram among the first n - ceil(share * n) + 1 of either.
-3. Sets meet at such grams. Where at most `list_pairs` do, their pairs are candidates if sizes and positions allow a link.
-   Longer lists are never made into pairs of rows; their sets are all candidates of each other.
+   that link share k grams among the first n - ceil(share * n) + k of either, for any k up to their intersection; k is 1 for
+   small sets and up to 4 for larger ones, of which chance makes too many meet once.
+3. Sets meet at such grams. Where at most `list_pairs` do, their pairs are candidates if they meet k times and sizes and
+   positions allow a link. Longer lists are never made into pairs of rows; their sets are all candidates of each other.
 4. What candidates connect is a cluster. A cluster's sets are dealt into blocks; the incidence of each two blocks is multiplied by
    slices of grams, in memory bounded by the block, and gives a spanning forest of the links found.
 5. Components of all links.
@@ -39,6 +40,11 @@ def _need(total: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * total // (num + den))
 
 
+def _meetings(n: np.ndarray) -> np.ndarray:
+    """How many grams of its first ones a set of that size shares with any that it links to (the lesser of two sets' numbers holds)."""
+    return 1 + np.minimum(n // 64, 3)
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     parent: dict[int, int] = {}
 
@@ -85,12 +91,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _meet(limit: int, num: int, den: int):
-    """From rows (gram, sig, n, pos) in order of gram: pairs of the sets of a list that sizes and positions allow, or, of a list longer than limit, its members (hot, gram, sig)."""
+    """From rows (gram, sig, n, pos) in order of gram and sig: pairs of the sets of a list that sizes and positions allow, how often they meet here and how often they must, or, of a list longer than limit, its members (hot, gram, sig). Repeated rows count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hot_gram = [np.zeros(0, np.int64)] * 4, None
         for b in _then_end(batches):
             rows = held if b is None else [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+            if len(rows[0]):
+                once = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+                rows = [x[once] for x in rows]
             gram, sig, size, pos = rows
             hot: list[tuple[np.ndarray, np.ndarray]] = []
             start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
@@ -113,22 +122,26 @@ def _meet(limit: int, num: int, den: int):
                 start, length = start[:-1], length[:-1]
             for s, m in zip(start[length > limit], length[length > limit], strict=True):
                 hot.append((gram[s : s + m], sig[s : s + m]))
-            left, right = [], []
+            left, right, times = [], [], []
             for m in np.unique(length[(length > 1) & (length <= limit)]):
                 i, j = np.triu_indices(m, 1)
                 at = start[length == m][:, None]
                 i, j = (at + i).ravel(), (at + j).ravel()
                 need = _need(size[i] + size[j], num, den)
                 reach = np.minimum(size[i] - pos[i], size[j] - pos[j])
-                ok = (reach >= need) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
+                k = _meetings(np.minimum(size[i], size[j]))
+                ok = (reach + k - 1 >= need) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
                 left.append(np.minimum(sig[i[ok]], sig[j[ok]]))
                 right.append(np.maximum(sig[i[ok]], sig[j[ok]]))
+                times.append(k[ok])
             held = [x[kept_from:] for x in rows]
             none = [np.zeros(0, np.int64)]
-            pairs = np.unique(np.stack([np.concatenate(left + none), np.concatenate(right + none)]), axis=1)
+            pairs, met = np.unique(np.stack([np.concatenate(left + none), np.concatenate(right + none), np.concatenate(times + none)]), axis=1, return_counts=True)
             ha, hb = np.concatenate([x for x, _ in hot] + none), np.concatenate([x for _, x in hot] + none)
             is_hot = np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(len(ha), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(is_hot), pa.array(np.concatenate([pairs[0], ha])), pa.array(np.concatenate([pairs[1], hb]))], ["hot", "a", "b"])
+            one = np.ones(len(ha), np.int64)
+            columns = (is_hot, np.concatenate([pairs[0], ha]), np.concatenate([pairs[1], hb]), np.concatenate([met, one]), np.concatenate([pairs[2], one]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["hot", "a", "b", "met", "must"])
 
     return run
 
@@ -138,8 +151,8 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _products(num: int, den: int):
-    """From rows (c, i, j, blk, sig, grams) in order of (c, i, j), a spanning forest of the links of each two blocks, or of one."""
+def _products(n: int, num: int, den: int):
+    """From rows (c, i, j, blk, sig, data), data a text's bytes, in order of (c, i, j), a spanning forest of the links of each two blocks, or of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -147,33 +160,31 @@ def _products(num: int, den: int):
             found: list[tuple[int, int]] = []
             if b is None:
                 if held:
-                    found += _product(held, num, den)
+                    found += _product(held, n, num, den)
             elif b.num_rows:
                 key = np.stack([b.column(k).to_numpy() for k in range(3)])
                 cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
                 if held and any(held[0].column(k)[0].as_py() != b.column(k)[0].as_py() for k in range(3)):
-                    found += _product(held, num, den)
+                    found += _product(held, n, num, den)
                     held = []
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
                     held.append(b.slice(lo, hi - lo))
                     if hi < b.num_rows:
-                        found += _product(held, num, den)
+                        found += _product(held, n, num, den)
                         held = []
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _product(rows: list[pa.RecordBatch], num: int, den: int) -> list[tuple[int, int]]:
+def _product(rows: list[pa.RecordBatch], n: int, num: int, den: int) -> list[tuple[int, int]]:
     i, j = rows[0].column(1)[0].as_py(), rows[0].column(2)[0].as_py()
     blk, sig = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in (3, 4))
     sig, once = np.unique(sig, return_index=True)  # rows that repeat an id come twice
     blk = blk[once]
-    sets = [r.column(5) for r in rows]
-    size = np.concatenate([np.diff(x.offsets.to_numpy()) for x in sets]).astype(np.int64)
-    flat, ends = np.concatenate([x.flatten().to_numpy() for x in sets]), np.cumsum(size)
-    flat = np.concatenate([flat[ends[k] - size[k] : ends[k]] for k in once])
-    size = size[once]
+    data = [x for r in rows for x in r.column(5)]
+    sets = [shingles(data[k].as_py(), n) for k in once]
+    size, flat = np.array([len(g) for g in sets], np.int64), np.concatenate(sets)
     left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
     fits = den * np.minimum(size[left][:, None], size[right]) >= num * np.maximum(size[left][:, None], size[right])
     if i == j:
@@ -215,7 +226,7 @@ def ngram_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
     level = spark.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(table + 1))).astype(np.uint8))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = level.value
+        levels, seen = level.value, set()
         for b in batches:
             size, sig, first = [], [], []
             for data in as_bytes(b.column(1)):
@@ -223,15 +234,17 @@ def ngram_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
                 m = len(g)
                 size.append(m)
                 sig.append(_signature(g))
-                first.append(g[np.lexsort((g, levels[g >> np.uint64(42)]))[: m - -(-num * m // den) + 1]] if m else g)
+                fresh = m and sig[-1] not in seen  # equal sets of a task list their grams once
+                first.append(g[np.lexsort((g, levels[g >> np.uint64(42)]))[: m - -(-num * m // den) + int(_meetings(m))]] if fresh else g[:0])
+                seen.add(sig[-1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.int64()), _lists(first)], ["doc_id", "n", "sig", "first"])
 
     scanned = materialize(rows.mapInArrow(scan, "doc_id long, n int, sig long, first array<long>"), "ngram-scan")
-    classes = scanned.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("min_id"), F.first("first").alias("first"))
-    classes = materialize(classes, "ngram-classes")
+    classes = materialize(scanned.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("min_id")), "ngram-classes")
 
-    grams = classes.select("sig", "n", F.posexplode("first").alias("pos", "gram")).select("gram", "sig", "n", "pos").repartition("gram").sortWithinPartitions("gram", "sig")
-    met = materialize(grams.mapInArrow(_meet(list_pairs, num, den), "hot boolean, a long, b long"), "ngram-lists")
+    grams = scanned.select("sig", "n", F.posexplode("first").alias("pos", "gram")).select("gram", "sig", "n", "pos").repartition("gram").sortWithinPartitions("gram", "sig")
+    met = grams.mapInArrow(_meet(list_pairs, num, den), "hot boolean, a long, b long, met long, must long")
+    met = materialize(met.groupBy("hot", "a", "b").agg(F.sum("met").alias("met"), F.first("must").alias("must")).where("met >= must").select("hot", "a", "b"), "ngram-lists")
     gram_node = F.col("a").bitwiseXOR(F.lit(0x5851F42D4C957F2D))  # grams and sets are nodes of one graph
     clusters = connected_components(met.select(F.when(F.col("hot"), gram_node).otherwise(F.col("a")).alias("a"), "b"))
     members = materialize(classes.select("sig", "min_id").join(clusters, F.col("sig") == F.col("node")).select("sig", "min_id", F.col("root").alias("c")), "ngram-members")
@@ -251,14 +264,14 @@ def ngram_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) % FILTER_BITS
             take = ((bitmap[ids >> 5] >> (ids & 31)) & 1).astype(bool) | b.column(0).is_null().to_numpy(zero_copy_only=False)
             b = b.filter(pa.array(take))
-            sets = [shingles(data, n) for data in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signature(g) for g in sets], pa.int64()), _lists(sets)], ["doc_id", "sig", "grams"])
+            texts = as_bytes(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signature(shingles(x, n)) for x in texts], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "sig", "data"])
 
-    read = rows.mapInArrow(cut, "doc_id long, sig long, grams array<long>")
+    read = rows.mapInArrow(cut, "doc_id long, sig long, data binary")
     mine = active.select(F.col("sig").alias("s"), "min_id", "c", "nb", "blk")
     dealt = read.join(mine, (F.col("sig") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("min_id"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("c", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "sig", "grams").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
-    links = dealt.mapInArrow(_products(num, den), "a long, b long")
+    dealt = dealt.select("c", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "sig", "data").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    links = dealt.mapInArrow(_products(n, num, den), "a long, b long")
 
     labels = connected_components(links)
     least = labels.join(classes.select(F.col("sig").alias("node"), "min_id"), "node").groupBy("root").agg(F.min("min_id").alias("least"))

@@ -243,6 +243,12 @@ def test_ngram_join(spark, limit, block):
             w[r.randrange(60)] = f"e{r.randrange(9)}"
         rows.append((1000 + k, " ".join(w)))
     rows += [(2000, " ".join(base).upper())]
+    long = [f"l{k}" for k in range(300)]
+    for k in range(40):  # around the limit, in sets that must meet more than once
+        w = list(long)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(300)] = f"x{r.randrange(999)}"
+        rows.append((3000 + k, " ".join(w)))
     r.shuffle(rows)
     d = docs(spark, [(i, t, "en", "s") for i, t in rows])
     got = ngram_join.ngram_components(d, list_pairs=limit, block=block)
