@@ -1,7 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+
+Seeds are pairs of words. An alignment of r stretches of equal words and e other steps scores at most (equal words - r) + 1, since
+e >= r - 1, so one that scores s holds s - 1 of the item's pairs of neighbouring words at least. Of an item's P pairs the rarest
+P - (s - 1) + 1 are seeds: no such alignment can do without all of them.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
+#: Words of a seed. Three would miss alignments broken after every second word, which may score half the item.
+SEED = 2
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,7 +45,7 @@ def align(item: np.ndarray, passage: np.ndarray, gap: float = 1.0, wrong: float
 
 @dataclass
 class Items:
-    """Test items as word numbers, and their n-grams as seeds."""
+    """Test items as word numbers, their n-grams, and where in items those that are seeds stand."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -46,6 +54,7 @@ class Items:
     n: int
     keys: np.ndarray = field(init=False)
     owners: list[list[tuple[int, int]]] = field(init=False)
+    pairs: list[np.ndarray] = field(init=False)
 
     def __post_init__(self) -> None:
         size = np.uint64(len(self.vocabulary) + 2)
@@ -54,6 +63,7 @@ class Items:
             code.setdefault(int(self.pack(np.array(s, np.int64), size)[0]), []).extend(where)
         self.keys = np.array(sorted(code), np.uint64)
         self.owners = [code[int(k)] for k in self.keys]
+        self.pairs = [np.searchsorted(self.keys, self.pack(w)) for w in self.words]  # every pair of an item has its key, seed or not
 
     def pack(self, numbers: np.ndarray, size: np.uint64 | None = None) -> np.ndarray:
         size = size or np.uint64(len(self.vocabulary) + 2)
@@ -84,40 +94,45 @@ def _items(rows: list, n: int) -> Items:
     ids, words, seeds = [], [], {}
     for item_id, text in rows:
         w = words_of(text)
-        if len(w) < n:
+        if len(w) < max(n, SEED):
             continue
         k = len(ids)
         ids.append(item_id)
         words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64))
-        for p in range(len(w) - n + 1):
-            seeds.setdefault(tuple(words[-1][p : p + n].tolist()), []).append((k, p))
-    return Items(ids, words, vocabulary, seeds, n)
+        for p in range(len(w) - SEED + 1):
+            seeds.setdefault(tuple(words[-1][p : p + SEED].tolist()), []).append((k, p))
+    return Items(ids, words, vocabulary, seeds, SEED)
+
 
+def _pairs_needed(words: int, least: float) -> int:
+    """How many of the pairs of an item of so many words any alignment holds that scores at least `least`."""
+    return max(1, math.ceil(least * words - 1 - 1e-9))
 
-def _rare(items: Items, counts: dict[int, int], keep: float, most: int, span: int) -> Items:
-    """Of the seeds of each stretch of `span` words of an item, the rarest in the corpus: the share `keep`, one at least, and
-    `most` per stretch at most. So every part of every item keeps seeds, however often it is copied."""
-    chosen: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+
+def _rare(items: Items, counts: dict[int, int], least: float) -> Items:
+    """Of the seeds of each item the rarest in the corpus, so many that any alignment scoring `least` holds one of them."""
+    chosen: dict[tuple[int, ...], list[tuple[int, int]]] = {s: [] for s in items.seeds}
     order = {s: k for k, s in enumerate(items.seeds)}
     key = {s: int(items.pack(np.array(s, np.int64))[0]) for s in items.seeds}
-    at: dict[tuple[int, int], list[tuple[int, int, tuple[int, ...], int]]] = {}
+    at: dict[int, list[tuple[int, int, tuple[int, ...], int]]] = {}
     for s, where in items.seeds.items():
         for k, p in where:
-            at.setdefault((k, p // span), []).append((counts.get(key[s], 0), order[s], s, p))
-    for (k, _), options in at.items():
-        for _, _, s, p in sorted(options)[: min(most, max(1, int(len(options) * keep)))]:
-            chosen.setdefault(s, []).append((k, p))
+            at.setdefault(k, []).append((counts.get(key[s], 0), order[s], s, p))
+    for k, options in at.items():
+        for _, _, s, p in sorted(options)[: max(1, len(options) - _pairs_needed(len(items.words[k]), least) + 1)]:
+            chosen[s].append((k, p))
     return Items(items.ids, items.words, items.vocabulary, chosen, items.n)
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, keep: float = 0.75, most: int = 12, span: int = 16, slack: int = 16,
+    docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, slack: int = 16,
     slice_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
 ) -> DataFrame:
     """(doc_id, item_id, score, start, end) for each document and test item whose alignment scores at least `least`.
 
-    Texts are lower-cased and cut to runs of letters and digits. Seeds are the item's rarest word n-grams, by the number of
-    documents that hold them. Around seeds on near diagonals the document's passage is aligned to the whole item; the score is
+    Texts are lower-cased and cut to runs of letters and digits. Seeds are the item's rarest pairs of words, by the number of
+    documents that hold them, and as many as it takes to meet every such alignment (of items for which `least` is more than one word).
+    Around seeds on near diagonals the document's passage is aligned to the whole item; the score is
     the alignment's (1 an equal word, -1 a wrong one or a gap) by the item's words; start and end number the passage's words.
     An item of fewer than n words, or null text, matches nothing. Repeated rows are searched each.
 
@@ -127,7 +142,7 @@ def find_leaks(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for items in _slices(benchmark, item_col, n, slice_chars):
-        chosen = _chosen(rows.select("text"), items, keep, most, span)
+        chosen = _chosen(rows.select("text"), items, least)
 
         def search(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             items = chosen.value
@@ -140,11 +155,11 @@ def find_leaks(
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, keep: float = 0.75, most: int = 12, span: int = 16, slack: int = 16, slice_chars: int = 8_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, slack: int = 16, slice_chars: int = 8_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs in which find_leaks finds nothing, with their columns."""
     at = docs.columns.index(text_col)
     for items in _slices(benchmark, item_col, n, slice_chars):
-        chosen = _chosen(docs.select(F.col(text_col).cast("string").alias("text")), items, keep, most, span)
+        chosen = _chosen(docs.select(F.col(text_col).cast("string").alias("text")), items, least)
 
         def clean(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             items = chosen.value
@@ -163,7 +178,7 @@ def _slices(benchmark: DataFrame, item_col: str, n: int, slice_chars: int) -> It
         yield _items(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r)), n)
 
 
-def _chosen(texts: DataFrame, items: Items, keep: float, most: int, span: int):
+def _chosen(texts: DataFrame, items: Items, least: float):
     """The items with their rare seeds only, sent to the tasks."""
     spark = texts.sparkSession
     every = spark.sparkContext.broadcast(items)
@@ -176,7 +191,7 @@ def _chosen(texts: DataFrame, items: Items, keep: float, most: int, span: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["seed", "n"])
 
     counted = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # the slice's n-grams at most
-    return spark.sparkContext.broadcast(_rare(items, {int(items.keys[r.seed]): int(r.n) for r in counted}, keep, most, span))
+    return spark.sparkContext.broadcast(_rare(items, {int(items.keys[r.seed]): int(r.n) for r in counted}, least))
 
 
 def _search(items: Items, numbers: np.ndarray, least: float, slack: int) -> list[tuple[int, float, int, int]]:
@@ -185,8 +200,15 @@ def _search(items: Items, numbers: np.ndarray, least: float, slack: int) -> list
     for w, s in zip(where.tolist(), seed.tolist(), strict=True):
         for k, p in items.owners[s]:
             per.setdefault(k, set()).add(w - p)
+    if not per:
+        return []
+    held = np.zeros(len(items.keys), bool)
+    held[seed] = True
     out = []
     for k, starts in sorted(per.items()):
+        needed = _pairs_needed(len(items.words[k]), least)
+        if held[items.pairs[k]].sum() < needed:
+            continue
         item, best = items.words[k], (0.0, 0, 0)
         # one passage for each run of near diagonals
         todo = sorted(starts)
@@ -196,8 +218,9 @@ def _search(items: Items, numbers: np.ndarray, least: float, slack: int) -> list
                 run.append(todo.pop(0))
             lo, hi = max(0, run[0] - slack), min(len(numbers), run[-1] + len(item) + slack)
             passage = numbers[lo:hi]
-            # what the alignment can reach at most: each word of the item, if the passage has it at all
-            if np.isin(item, passage).sum() < least * len(item):
+            # what the alignment can reach at most: each pair and each word of the item, if the passage has it at all
+            near = seed[slice(*np.searchsorted(where, [lo, hi]))]
+            if np.isin(items.pairs[k], near).sum() < needed or np.isin(item, passage).sum() < least * len(item):
                 continue
             score, end = align(item, passage)
             if score / len(item) > best[0]:

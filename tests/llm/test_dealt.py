@@ -329,6 +329,44 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d, bench.limit(0)).count() == 0
 
 
+def brute_leaks(rows, items):
+    """Ids of documents and items whose best local alignment scores half the item's words."""
+    found = set()
+    for i, t in rows:
+        for k, u in items:
+            a, b = u.split(), t.split()
+            best, row = 0, [0] * (len(b) + 1)
+            for x in a:
+                new = [0]
+                for j, y in enumerate(b):
+                    new.append(max(0, row[j] + (1 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+                best, row = max(best, *new), new
+            if 2 * best >= len(a):
+                found.add((i, k))
+    return found
+
+
+def test_leaks_of_edited_short_items(spark):
+    r = random.Random(12)
+    items = [(m, " ".join(f"i{m}x{k}" for k in range(m))) for m in range(4, 21)]
+    cut = lambda m, at, new=True: " ".join((f"e{k}" if k in at else f"i{m}x{k}") for k in range(m) if new or k not in at)
+    apart = lambda m, n: " ".join(f"i{m}x{k}" + (f" e{k}" if k % n == n - 1 else "") for k in range(m))
+    texts = [cut(7, {3}), cut(4, {3}), cut(18, {3, 7, 11, 15}), apart(18, 3), apart(18, 2), apart(20, 2), "i4x0 i4x1", cut(4, {2}, False)]
+    for m in range(4, 21):
+        for _ in range(12):
+            w = [f"i{m}x{k}" for k in range(m)]
+            for _ in range(r.randint(1, m // 2 + 1)):
+                at = r.randrange(len(w))
+                w[at : at + r.randint(0, 1)] = ["new"] * r.randint(0, 1)
+            texts.append(" ".join(w))
+    rows = [(i, f"before it {t} after it") for i, t in enumerate(texts)]
+    want = brute_leaks(rows, items)
+    assert {(i, m) for i, m in enumerate((7, 4, 18, 18, 18, 20, 4, 4))} <= want and len({i for i, _ in want}) < len(rows)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {(g.doc_id, g.item_id) for g in got.collect()} == want
+
+
 # 8
 def test_warc(spark):
     same, tricky = "x" * 150, "a\r\n\r\nWARC/1.1\r\nb\r\n\r\n" * 9
