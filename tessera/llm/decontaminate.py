@@ -132,7 +132,7 @@ def find_leaks(
 
     Texts are lower-cased and cut to runs of letters and digits. Seeds are the item's rarest pairs of words, by the number of
     documents that hold them, and as many as it takes to meet every such alignment (of items for which `least` is more than one word).
-    Around seeds on near diagonals the document's passage is aligned to the whole item; the score is
+    Around seeds on near diagonals (within slack, or the gaps such an alignment can hold) the document's passage is aligned to the whole item; the score is
     the alignment's (1 an equal word, -1 a wrong one or a gap) by the item's words; start and end number the passage's words.
     An item of fewer than n words, or null text, matches nothing. Repeated rows are searched each.
 
@@ -207,6 +207,7 @@ def _search(items: Items, numbers: np.ndarray, least: float, slack: int) -> list
     out = []
     for k, starts in sorted(per.items()):
         needed = _pairs_needed(len(items.words[k]), least)
+        reach = max(slack, math.ceil((1 - least) * len(items.words[k])))  # all gaps that an alignment scoring `least` can hold
         if held[items.pairs[k]].sum() < needed:
             continue
         item, best = items.words[k], (0.0, 0, 0)
@@ -214,9 +215,9 @@ def _search(items: Items, numbers: np.ndarray, least: float, slack: int) -> list
         todo = sorted(starts)
         while todo:
             run = [todo.pop(0)]
-            while todo and todo[0] - run[-1] <= slack:
+            while todo and todo[0] - run[-1] <= reach:
                 run.append(todo.pop(0))
-            lo, hi = max(0, run[0] - slack), min(len(numbers), run[-1] + len(item) + slack)
+            lo, hi = max(0, run[0] - reach), min(len(numbers), run[-1] + len(item) + reach)
             passage = numbers[lo:hi]
             # what the alignment can reach at most: each pair and each word of the item, if the passage has it at all
             near = seed[slice(*np.searchsorted(where, [lo, hi]))]

@@ -367,6 +367,21 @@ def test_leaks_of_edited_short_items(spark):
     assert {(g.doc_id, g.item_id) for g in got.collect()} == want
 
 
+def test_leaks_of_long_items_with_long_insertions(spark):
+    item = [f"i{k}" for k in range(150)]
+    new = lambda n, at: [f"n{at}x{k}" for k in range(n)]
+    put = lambda n, *at: " ".join(w for k, x in enumerate(item) for w in [*(new(n, k) if k in at else []), x])
+    texts = [put(30, 50, 100), put(60, 75), put(18, 30, 60, 90, 120), put(37, 50, 100), put(38, 50, 100), " ".join(item[:50] + item[70:]), " ".join(item[:40] + new(25, 0) + item[60:])]
+    rows = list(enumerate(texts))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"before it {t} after it") for i, t in rows], "doc_id long, text string")
+    want = brute_leaks(rows, [(1, " ".join(item))])
+    assert {(0, 1), (1, 1), (2, 1), (3, 1)} <= want
+    got = decontaminate.find_leaks(d, bench).collect()
+    assert {(g.doc_id, g.item_id) for g in got} == want and {g.score for g in got if g.doc_id == 0} == {0.6}
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 # 8
 def test_warc(spark):
     same, tricky = "x" * 150, "a\r\n\r\nWARC/1.1\r\nb\r\n\r\n" * 9
