@@ -7,34 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import WORD, materialize
 
-LINES, LONG_LINE = 3, 200
+#: A passage of more words than PASSAGE is a window, if it is one line or two.
+LINES, LONG_LINE, PASSAGE = 3, 200, 50
 
 
-def _windows(lines: Column, n: int, long_line: int) -> tuple[Column, Callable[[Column], Column]]:
-    """Hashes of lines, and from a column of them an array of (pos, last, h1, h2): each n consecutive lines with a word in them, and each line of long_line characters or more."""
+def _windows(lines: Column, n: int, long_line: int, passage: int | None) -> tuple[Column, Callable[[Column], Column]]:
+    """Hashes of lines, and from a column of them an array of (pos, last, h1, h2): each n consecutive lines with a word in them, each line of long_line characters or more, and each line or two consecutive ones of more than passage words."""
+    words = lambda s: F.lit(0) if passage is None else F.regexp_count(s, F.lit(WORD))
+    long = lambda x: x["long"] if passage is None else x["long"] | (x["words"] > passage)
     hashed = F.transform(
         F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].rlike(r"[^\x20\x09-\x0D]")),
-        lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(1), x["s"]).alias("h2"), (F.length(x["s"]) >= long_line).alias("long")),
+        lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(1), x["s"]).alias("h2"), (F.length(x["s"]) >= long_line).alias("long"), words(x["s"]).alias("words")),
     )
 
     def over(a: Column) -> Column:
         at = lambda i, k, f: F.get(a, i + k)[f]
-        several = F.transform(
-            F.when(F.size(a) >= n, F.sequence(F.lit(0), F.size(a) - n)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(at(i, 0, "i").alias("pos"), at(i, n - 1, "i").alias("last"), F.xxhash64(*[at(i, k, "h1") for k in range(n)]).alias("h1"), F.xxhash64(*[at(i, k, "h2") for k in range(n)]).alias("h2")),
-        )
-        one = F.transform(F.filter(a, lambda x: x["long"]), lambda x: F.struct(x["i"].alias("pos"), x["i"].alias("last"), x["h1"].alias("h1"), x["h2"].alias("h2")))
-        return F.concat(several, one)
+        starts = lambda m: F.when(F.size(a) >= m, F.sequence(F.lit(0), F.size(a) - m)).otherwise(F.array().cast("array<int>"))
+        window = lambda i, m: F.struct(at(i, 0, "i").alias("pos"), at(i, m - 1, "i").alias("last"), F.xxhash64(*[at(i, k, "h1") for k in range(m)]).alias("h1"), F.xxhash64(*[at(i, k, "h2") for k in range(m)]).alias("h2"))
+        several = F.transform(starts(n), lambda i: window(i, n))
+        one = F.transform(F.filter(a, long), lambda x: F.struct(x["i"].alias("pos"), x["i"].alias("last"), x["h1"].alias("h1"), x["h2"].alias("h2")))
+        joint = lambda i, m: sum((at(i, k, "words") for k in range(1, m)), at(i, 0, "words"))
+        worded = lambda m: F.transform(F.filter(starts(m), lambda i: joint(i, m) > passage), lambda i: window(i, m))
+        fewer = [] if passage is None else [worded(m) for m in range(2, n)]
+        return F.concat(several, one, *fewer)
 
     return hashed, over
 
 
-def dedup_lines(docs: DataFrame, *, n: int = LINES, long_line: int = LONG_LINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, n: int = LINES, long_line: int = LONG_LINE, passage: int | None = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of the text, and columns n_lines and n_removed (long) after the others.
 
-    A window is n consecutive lines that hold a word, or a single line of long_line characters or more. Of the windows that
+    A window is n consecutive lines that hold a word, fewer of more than `passage` words together (none if it is None), or a
+    single line of long_line characters or more. Of the windows that
     are equal, the first by (id, position) stays; the lines from the first to the last of each later one are removed, those
     of overlapping windows once. The earliest copy of any line is therefore never removed. Blank lines are in no window
     but go with one that spans them. Null text: kept as null, no lines. Rows with equal id and text are one document, from
@@ -43,7 +49,7 @@ def dedup_lines(docs: DataFrame, *, n: int = LINES, long_line: int = LONG_LINE,
     docs = docs.drop("n_lines", "n_removed")
     key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th")]
     lines = F.split(F.col(text_col), "\n", -1)
-    hashed, over = _windows(lines, n, long_line)
+    hashed, over = _windows(lines, n, long_line, passage)
     windows = docs.where(F.col(text_col).isNotNull()).select(*key, hashed.alias("a")).select("_id", "_th", F.explode(over(F.col("a"))).alias("w")).select("_id", "_th", "w.*")
     windows = materialize(windows, "line-windows")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_th", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")

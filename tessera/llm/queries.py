@@ -28,7 +28,8 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    docs = _read(spark, sf_dir, "documents")  # the windows of its SQL; the pipeline's stage has those of passages too
+    return line_dedup.dedup_lines(docs, passage=None).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

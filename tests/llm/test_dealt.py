@@ -150,6 +150,22 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_two_lines(spark):
+    line = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))[:199]
+    short = lambda k, n: " ".join(f"{chr(97 + j % 26)}{k}" for j in range(n))
+    two, few, one = [short(1, 26), short(2, 26)], [short(3, 25), short(4, 25)], "a " * 51
+    rows = [(1, "\n".join([*two, line(1, 9)])), (2, "\n".join([line(2, 9), two[0], "", two[1], line(3, 9)])), (3, "\n".join(two)), (4, "\n".join(few)), (5, "\n".join(few)), (6, one), (7, f"{one}\nx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g.doc_id: (g.text, g.n_removed) for g in line_dedup.dedup_lines(d).collect()}
+    assert all(len(x) < 200 for x in (*two, *few, one))
+    want = {i: (t, 0) for i, t in rows} | {2: (f"{line(2, 9)}\n{line(3, 9)}", 3), 3: ("", 2), 7: ("x", 1)}
+    assert got == want
+    assert sum(g.n_removed for g in line_dedup.dedup_lines(d, passage=None).collect()) == 0
+    import corpus_pipeline
+
+    assert {g.doc_id for g in corpus_pipeline.lines(spark, d, "").collect()} == {1, 2, 4, 5, 6, 7}
+
+
 # 4
 def test_languages(spark):
     r = random.Random(2)
