@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return ngram_join.keep_one_each(docs, ngram_join.ngram_components(docs))
+    """Of each group of documents linked by 0.8 of their five-word shingles the one with the smallest id stays."""
+    return ngram_join.keep_one_each(docs, ngram_join.ngram_components(docs, n=5, num=80, den=100))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

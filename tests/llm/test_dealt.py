@@ -281,6 +281,17 @@ def test_ngram_join_empty(spark):
     assert [tuple(x) for x in ngram_join.ngram_components(docs(spark, [(1, None, "en", "s")])).collect()] == [(1, 0, 1)]
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    base = lambda k: [f"b{k}x{j}" for j in range(470)]
+    edited = lambda k, step: " ".join(f"e{j}" if j % step == step // 2 else x for j, x in enumerate(base(k)))
+    added = lambda k, n: " ".join([*base(k)[:100], *(f"new{j}" for j in range(n))])
+    rows = [(1, " ".join(base(1))), (2, edited(1, 47)), (3, " ".join(base(2)[:100])), (4, added(2, 20)), (5, added(2, 60)), (6, " ".join(base(3))), (7, edited(3, 30))]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, [(i, t, "en", "s") for i, t in rows]), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 5, 6, 7}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k * 977, (k + 1) * 977) for k in range(300)] + [(10**9 + r.randrange(80), 10**9 + r.randrange(80)) for _ in range(60)] + [(5, 5)]
