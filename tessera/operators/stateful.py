@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,17 @@ def cost_band(costs: DataFrame, enter: int, width: float, *, cap: float = 3.0) -
     return costs.join(median, "d").withColumn("leave_at", F.greatest(F.lit(enter), F.round(F.lit(enter * width) * F.least(F.coalesce(wide, F.lit(1.0)), F.lit(cap))).cast("int"))).drop("m")
 
 
+def swap_rows(rows: DataFrame, places: int, *, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
+    """The rows that swaps can depend on, of one row a name and date: at most `places` names are held and at most `places` enter a day,
+    so a name takes part from the first date on at which it is within the best 2 * places."""
+    best = Window.partitionBy(*keys, "d").orderBy(F.desc_nulls_last(F.nanvl(F.col("value").cast("double"), F.lit(None))), "ticker")
+    entry = F.min(F.when(F.col("_rank") <= 2 * places, F.col("d"))).over(Window.partitionBy(*keys, "ticker"))
+    return rows.withColumn("_rank", F.row_number().over(best)).withColumn("_entry", entry).where("d >= _entry").select(*rows.columns)
+
+
 def swap_if_pays(rows: DataFrame, places: int, kappa: float = 1.0, *, keys: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """From (keys, d, ticker, value, cost): the best candidate replaces the worst held name while the gain in value, to 12 digits, exceeds
-    kappa times both costs; an unknown gain swaps. kappa 0 is the plain top."""
+    kappa times both costs; an unknown gain swaps. kappa 0 is the plain top. Only the rows of swap_rows reach Python."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +73,7 @@ def swap_if_pays(rows: DataFrame, places: int, kappa: float = 1.0, *, keys: tupl
         got = pd.DataFrame(out, columns=["d", "ticker"])
         return got.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "d", "ticker"]]
 
-    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "d", "ticker")))
+    return swap_rows(rows, places, keys=keys).groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "d", "ticker")))
 
 
 def chained_ids(listings: DataFrame) -> DataFrame:

@@ -64,6 +64,31 @@ def test_free_swaps_hold_the_top(spark):
     assert len({frozenset(r.ticker for r in dear if r.d == d) for d in range(6)}) == 1
 
 
+def test_swaps_see_few_rows(spark):
+    import random
+
+    r = random.Random(6)
+    drift = [r.gauss(0, 3) for _ in range(120)]
+    rows = [("s", d, f"n{t:03d}", round(drift[t] + r.gauss(0, 1), 1), r.choice([0.0, 0.2, 0.5])) for d in range(40) for t in range(120) if r.random() < 0.9]
+    df = spark.createDataFrame(rows, "strategy string, d int, ticker string, value double, cost double")
+    held, want = [], set()
+    for d in range(40):  # over all rows
+        value, cost = {x[2]: x[3] for x in rows if x[1] == d}, {x[2]: x[4] for x in rows if x[1] == d}
+        best = lambda names: sorted(names, key=lambda t: (-value[t], t))  # noqa: B023, E731
+        held = [t for t in held if t in value]
+        free = best(set(value) - set(held))
+        held, free = held + free[: 4 - len(held)], free[4 - len(held) :]
+        while free:
+            worst = best(held)[-1]
+            gain = round(value[free[0]] - value[worst], 12)
+            if gain <= 0 or gain <= round(cost[free[0]] + cost[worst], 12):
+                break
+            held = [t for t in held if t != worst] + [free.pop(0)]
+        want |= {(d, t) for t in held}
+    assert {(x.d, x.ticker) for x in stateful.swap_if_pays(df, 4).collect()} == want
+    assert stateful.swap_rows(df, 4).count() < len(rows) / 2
+
+
 def test_chain(spark):
     rows = [("INE000101011", 1, 5), ("INE000101029", 4, 6), ("INE000101037", 6, 9), ("INE999901011", 1, 2)]
     got = dict(map(tuple, stateful.chained_ids(spark.createDataFrame(rows, "isin string, first int, last int")).collect()))
