@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,13 @@ _temporary: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process may it be unset: then it
+    is a temporary folder. On a cluster an unset folder is an error, since each executor would write to its own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -35,13 +40,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns a scan of it: lineage is cut, and lost executors cost a reread only."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes the tables of materialized frames, once everything computed from them has been written."""
+    for f in frames:
+        path = f.__dict__.pop("_written", None) if f is not None else None
+        if path:
+            remove(f.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del jvm
 
 
 @atexit.register
@@ -53,6 +67,19 @@ def _remove_all() -> None:
             pass
 
 
+def fresh(prefix: str, taken: Iterable[str]) -> str:
+    """The prefix, with as many underscores before it as no column of `taken` begins with it (names differ by more than case)."""
+    names = [c.lower() for c in taken]
+    while any(c.startswith(prefix.lower()) for c in names):
+        prefix = "_" + prefix
+    return prefix
+
+
+def quoted(column: str) -> str:
+    """A column's name as an expression, whatever it contains."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives none."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
