@@ -1,5 +1,9 @@
-"""Personal data: labelers vote on candidate spans, expectation-maximisation weighs them, a span classifier adds spans to those of
-the base patterns. Texts are only touched by DataFrame expressions; the driver sees counts of vote patterns."""
+"""Personal data: labelers vote on candidate spans, expectation-maximisation weighs the labelers, and a span classifier trained on its
+verdicts adds spans to those of the base patterns.
+
+Texts are touched by DataFrame expressions only. The driver sees counts of vote patterns (kinds x 3 to the number of labelers at most)
+and sums per value of a span feature (kinds x features x 8 at most), whatever the input.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-KINDS = ("email", "ip", "card", "phone")
+#: The first four have a base pattern; of the last all spans are added by the method.
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: The base patterns, written so that a search takes time in proportion to the text: a match begins where a run of its characters
 #: does, or where the match before it ended, and what can't be given back is possessive.
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -20,34 +25,84 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Wider patterns, which give candidates only.
-SPELT_EMAIL = r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]{1,63}+){1,8}+"
-LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+#: Wider patterns, which give candidates only: spelt addresses, numbers without a country code, values of keys and long mixed strings.
+_AT, _DOT = r"\x20?[\[(]\x20?at\x20?[\])]\x20?", r"\x20?[\[(]\x20?dot\x20?[\])]\x20?"
+SPELT_EMAIL = rf"(?i)(?:\G|(?<!{_LOCAL})){_LOCAL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
+LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+_KEY = r"(?i:pass(?:word|wd|phrase)|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+_VALUE = r"[A-Za-z0-9](?:[._+/=-]*+[A-Za-z0-9])++"
+SECRET = rf"(?<![A-Za-z0-9]){_KEY}\x20?[:=]\x20?[\"']?{_VALUE}|(?<![A-Za-z0-9._+/=@-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9](?:[_+/=-]*+[A-Za-z0-9]){{11,}}+(?!@)"
 
 # Gazetteers and context words.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us")
-CARD_LEADS = ("3", "4", "5", "6")
-CONTEXT = {"email": "e-?mail|contact|write", "ip": r"\bip\b|host|server|address|client", "card": "card|visa|mastercard|amex|payment|credit", "phone": "phone|tel|call|mobile|fax|cell"}
-AGAINST = r"version|isbn|section|figure|table|order\s*#?$|serial|invoice|\bv$"
+CARD_LEADS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
+RESERVED_NETWORKS = r"^(?:0\.|127\.|22[4-9]\.|2[3-5][0-9]\.)"
+CALLING_CODES = r"^\+?(?:1|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
+KEY_PREFIXES = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|sk_live_|xox[abp]-|eyJ)"
+CONTEXT = {
+    "email": "e-?mail|contact|write to|reach", "ip": r"\bip\b|host|server|address|client|login from", "card": "card|visa|mastercard|amex|payment|credit|paid",
+    "phone": "phone|tel|call|mobile|fax|cell|dial|ring", "secret": "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|credential|login|auth",
+}
+AGAINST = {
+    "email": r"example of|syntax", "ip": r"version|release|section|\bv$", "card": r"isbn|serial|invoice|order|tracking", "phone": r"isbn|order|serial|invoice|part no|version",
+    "secret": r"commit|checksum|sha-?[0-9]+|md5|digest|version|revision|doi|isbn|uuid|order|invoice|href|src",
+}
+AFTER_AGAINST = r"^\x20?(?:%|px|kg|km|cm|mm|ms|mb|gb|kb|units|pieces|items)(?![a-z])"
+
+#: A labeler votes 1 for, -1 against, or 0 if it can't say.
+LABELERS = ("pattern or checksum", "gazetteer", "words before", "words after", "boundaries")
+#: How much a labeler's vote counts before anything is known of it.
+TRUST = (3, 1, 1, 1, 1)
+FEATURES = ("length", "digits", "capitals", "distinct characters", "before", "after", "separators", "context", "key")
+
+_SPAN = "struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,feats:array<int>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _folded(text: Column, pattern: str, candidate: Callable[[Column, Column, Column], tuple[Column, Column]], kind: int) -> Column:
-    """Array of (kind, start, end, base, votes) of the matches for which candidate, from the match and what stands before and
-    after it, gives true; positions in code points, the end exclusive."""
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    rows = F.zip_with(pairs, F.slice(gaps, 2, 2**31 - 1), lambda p, g: F.struct(p["m"].alias("m"), p["g"].alias("g"), F.substring(g, 1, 1).alias("after")))
-    kind_of = "array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>>>"
+def _scan(rows: Column, zero: Column, out_type: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What step (from state and element to new state and output) gives for each element of an array from left to right. Arrays grow
+    by chunks of about the square root of n, so that the copies made take n * sqrt(n) steps and not n * n."""
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        take, (base, votes) = candidate(x["m"], x["g"], x["after"])
-        new = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), base.alias("base"), F.array(*votes).alias("votes"))
-        return F.struct(end.alias("pos"), F.when(take, F.concat(s["out"], F.array(new))).otherwise(s["out"]).alias("out"))
+    def over(r: Column) -> Column:
+        n = F.size(r)
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(1), n, width), lambda i: F.slice(r, i, width))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(kind_of).alias("out"))
-    return F.aggregate(F.filter(rows, lambda x: x["m"].isNotNull()), zero, step, lambda s: s["out"])
+        def element(a: Column, x: Column) -> Column:
+            state, out = step(a["s"], x)
+            return F.struct(state.alias("s"), F.concat(a["out"], F.array(out)).alias("out"))
+
+        def chunk(a: Column, c: Column) -> Column:
+            inner = F.aggregate(c, F.struct(a["s"].alias("s"), F.array().cast(f"array<{out_type}>").alias("out")), element)
+            return _let(inner, lambda i: F.struct(i["s"].alias("s"), F.concat(a["out"], F.array(i["out"])).alias("out")))
+
+        start = F.struct(zero.alias("s"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+        return F.when(n > 0, F.flatten(F.aggregate(chunks, start, chunk)["out"])).otherwise(F.array().cast(f"array<{out_type}>"))
+
+    return _let(rows, over)
+
+
+@dataclass(frozen=True)
+class _Match:
+    """A match: its text, up to 40 characters before and 24 after it (not beyond the matches next to it), and its value, the part of
+    the match that is the span: its last characters."""
+
+    text: Column
+    before: Column
+    after: Column
+    value: Column
+
+    @property
+    def left(self) -> Column:
+        return F.substring(self.before, -1, 1)
+
+    @property
+    def right(self) -> Column:
+        return F.substring(self.after, 1, 1)
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -65,58 +120,117 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0))) % 10 == 0
 
 
-def _context(kind: str, before: Column) -> tuple[Column, Column]:
-    near = F.lower(F.substring(before, -40, 40))
-    return near.rlike(CONTEXT[kind]), near.rlike(AGAINST)
+def _features(kind: str, x: _Match) -> list[Column]:
+    """Evidence of the span's own shape and surroundings, each a number from 0 to 7."""
+    n = F.length(x.value)
+    count = lambda pattern: n - F.length(F.regexp_replace(x.value, pattern, ""))
+    share = lambda c: F.floor(F.lit(4) * c / n).cast("int")
+    beside = lambda c: F.when(c == "", 0).when(c.rlike(r"[\x20\x09-\x0D]"), 1).when(c.rlike("[\"'`]"), 2).when(c.rlike("[=:]"), 3).when(c.rlike("[0-9A-Za-z_]"), 4).when(c.rlike(r"[(\[<{)\]>}]"), 5).otherwise(6)
+    near, off = F.lower(x.before).rlike(CONTEXT[kind]), F.lower(x.before).rlike(AGAINST[kind])
+    key = F.substring(x.text, F.lit(1), F.length(x.text) - n)
+    return [
+        F.least(F.lit(7), F.floor(F.log2(n.cast("double"))).cast("int")), share(count("[0-9]")), share(count("[A-Z]")),
+        F.least(F.lit(7), F.floor(F.log2(F.size(F.array_distinct(F.split(x.value, ""))).cast("double"))).cast("int")), beside(x.left), beside(x.right),
+        F.least(F.lit(3), count("[^0-9A-Za-z]")), near.cast("int") + 2 * off.cast("int"), F.when(key == "", 0).otherwise(1),
+    ]
+
+
+def _matched(text: Column, pattern: str, kind: str, judge: Callable[[_Match], tuple[Column, Column, Column, Column, Column]], value: str | None = None) -> Column:
+    """Spans (_SPAN) of the matches that judge takes; it gives take, base and the votes of pattern, gazetteer and boundaries. value: a
+    pattern whose group 1 is the part of a match, up to its end, that is the span; else all of it is. Positions are in code points, ends exclusive."""
+
+    def rows(x: Column) -> Column:
+        pairs = F.zip_with(x["m"], x["g"], lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        both = F.zip_with(pairs, F.slice(x["g"], F.lit(2), F.size(x["g"])), lambda p, g: F.struct(p["m"].alias("m"), F.length(p["g"]).alias("skip"), F.substring(p["g"], -40, 40).alias("before"), F.substring(g, 1, 24).alias("after")))
+        return F.filter(both, lambda y: y["m"].isNotNull())
+
+    def located(r: Column) -> Column:
+        ends = _scan(r, F.lit(0), "int", lambda at, x: (at + x["skip"] + F.length(x["m"]), at + x["skip"] + F.length(x["m"])))
+        return F.zip_with(r, ends, lambda x, e: F.struct(x["m"].alias("m"), x["before"].alias("before"), F.coalesce(x["after"], F.lit("")).alias("after"), (F.regexp_extract(x["m"], value, 1) if value else x["m"]).alias("value"), e.alias("end")))
+
+    def span(y: Column) -> Column:
+        x = _Match(y["m"], y["before"], y["after"], y["value"])
+        take, base, shape, listed, alone = judge(x)
+        low = F.lower(x.before)
+        votes = [shape, listed, _vote(low.rlike(CONTEXT[kind]), low.rlike(AGAINST[kind])), _vote(F.lower(x.after).rlike(CONTEXT[kind]), F.lower(x.after).rlike(AFTER_AGAINST)), alone]
+        return F.struct(
+            take.alias("take"), F.lit(KINDS.index(kind)).alias("kind"), (y["end"] - F.length(x.value)).alias("start"), y["end"].alias("end"), base.alias("base"),
+            F.array(*votes).alias("votes"), F.array(*_features(kind, x)).alias("feats"),
+        )
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    spans = F.filter(F.transform(_let(_let(found, rows), located), span), lambda s: s["take"])
+    return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base", "votes", "feats")]))
 
 
 def _candidates(text: Column) -> Column:
-    def email(m: Column, g: Column, after: Column):
-        known = F.lower(F.element_at(F.split(m, r"[.@]|\x20?[\[(]\x20?dot\x20?[\])]\x20?"), -1)).isin(*TOP_DOMAINS)
-        return F.lit(True), (F.lit(True), [_vote(F.lit(True)), _vote(known, ~known), _vote(*_context("email", g)), _vote(~after.rlike("[@_]"), after.rlike("[@_]"))])
-
-    def spelt(m: Column, g: Column, after: Column):
-        known = F.lower(F.regexp_extract(m, "([A-Za-z0-9-]+)$", 1)).isin(*TOP_DOMAINS)
-        return F.lit(True), (F.lit(False), [_vote(F.lit(False)), _vote(known, ~known), _vote(*_context("email", g)), _vote(~after.rlike("[@_]"), after.rlike("[@_]"))])
-
-    def ip(m: Column, g: Column, after: Column):
-        parts = F.transform(F.split(m, r"\."), lambda p: p.cast("double"))
-        fits, listed = F.forall(parts, lambda p: p <= 255), (F.get(parts, 0) > 0) & (F.get(parts, 0) < 240)
-        alone = ~after.rlike("[0-9A-Za-z]") & ~F.substring(g, -1, 1).rlike(r"[A-Za-z.]")
-        return F.lit(True), (fits, [_vote(fits, ~fits), _vote(listed, ~listed), _vote(*_context("ip", g)), _vote(alone, ~alone)])
-
-    def card(m: Column, g: Column, after: Column):
-        d = _digits(m)
-        n, lead = F.length(d), F.substring(_digits(m), 1, 1).isin(*CARD_LEADS)
-        ok = (n >= 16) & (n <= 19) & _luhn(d)
-        alone = ~after.rlike("[0-9A-Za-z]") & ~F.substring(g, -1, 1).rlike("[A-Za-z+]")
-        return (n >= 13) & (n <= 19), (ok, [_vote(ok, ~_luhn(d)), _vote(lead, ~lead), _vote(*_context("card", g)), _vote(alone, ~alone)])
+    yes, no = F.lit(True), F.lit(False)
 
-    def phone(m: Column, g: Column, after: Column):
-        n = F.length(_digits(m))
-        ok, usual = (n >= 8) & (n <= 15), (n >= 10) & (n <= 13)
-        alone = ~after.rlike("[0-9A-Za-z]")
-        return (n >= 7) & (n <= 16), (ok, [_vote(ok, ~ok), _vote(usual, ~usual), _vote(*_context("phone", g)), _vote(alone, ~alone)])
+    def email(x: _Match):
+        known = F.lower(F.element_at(F.split(x.text, r"\."), -1)).isin(*TOP_DOMAINS)
+        return yes, yes, _vote(yes), _vote(known, ~known), _vote(~x.right.rlike("[@_]"), x.right.rlike("[@_]"))
 
-    def local_phone(m: Column, g: Column, after: Column):
-        code = ~F.substring(_digits(m), 1, 1).isin("0", "1")
-        return F.lit(True), (F.lit(False), [_vote(F.lit(False)), _vote(code, ~code), _vote(*_context("phone", g)), _vote(F.lit(True))])
+    def spelt(x: _Match):
+        known = F.lower(F.regexp_extract(x.text, "([A-Za-z0-9-]+)$", 1)).isin(*TOP_DOMAINS)
+        return yes, no, F.lit(0), _vote(known, ~known), _vote(~x.right.rlike("[@_]"), x.right.rlike("[@_]"))
 
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean,votes:array<int>>>")
+    def ip(x: _Match):
+        fits, kept = F.forall(F.split(x.text, r"\."), lambda p: p.cast("double") <= 255), x.text.rlike(RESERVED_NETWORKS)
+        alone = ~x.right.rlike("[0-9A-Za-z]") & ~x.left.rlike(r"[A-Za-z.]")
+        return yes, fits, _vote(fits, ~fits), _vote(~kept, kept), _vote(alone, ~alone)
+
+    def card(x: _Match):
+        d = _digits(x.text)
+        n, lead = F.length(d), d.rlike(CARD_LEADS)
+        ok = (n >= 16) & (n <= 19) & _luhn(d)
+        alone = ~x.right.rlike("[0-9A-Za-z]") & ~x.left.rlike("[A-Za-z+]")
+        return (n >= 13) & (n <= 19), ok, _vote(ok | ((n >= 13) & _luhn(d)), ~_luhn(d)), _vote(lead, ~lead), _vote(alone, ~alone)
+
+    def phone(x: _Match):
+        n = F.length(_digits(x.text))
+        ok, known, alone = (n >= 8) & (n <= 15), x.text.rlike(CALLING_CODES), ~x.right.rlike("[0-9A-Za-z]")
+        return (n >= 7) & (n <= 16), ok, _vote(ok, ~ok), _vote(known, ~known), _vote(alone, ~alone)
+
+    def local_phone(x: _Match):
+        code = ~F.substring(_digits(x.text), 1, 1).isin("0", "1")
+        return yes, no, _vote(code, ~code), F.lit(0), _vote(x.right.rlike(r"^[^0-9A-Za-z/_]?$") & ~x.left.rlike("[/_#]"), x.right.rlike("[/_]") | x.left.rlike("[/_#]"))
+
+    def secret(x: _Match):
+        n, letters = F.length(x.value), x.value.rlike("[A-Za-z]") & x.value.rlike("[0-9]")
+        key = F.substring(x.text, F.lit(1), F.length(x.text) - n) != ""
+        varied = F.size(F.array_distinct(F.split(x.value, ""))) >= 8
+        strong = letters & (n >= 12) & varied
+        listed = x.value.rlike(KEY_PREFIXES) | key
+        alone = ~x.right.rlike("[0-9A-Za-z@]") & ~x.left.rlike("[0-9A-Za-z@/.]")
+        return (n >= 6) & x.value.rlike("[0-9A-Za-z]"), no, _vote(strong, ~letters), _vote(listed), _vote(alone, ~alone)
+
+    none = F.array().cast(f"array<{_SPAN}>")
     when = lambda c, x: F.when(c, x).otherwise(none)
     digit = text.rlike("[0-9]")
     return F.concat(
-        when(text.contains("@"), _folded(text, EMAIL, email, 0)), when(text.rlike(r"(?i)[\[(]\x20?at\x20?[\])]"), _folded(text, SPELT_EMAIL, spelt, 0)),
-        when(digit & text.contains("."), _folded(text, IP, ip, 1)), when(digit, _folded(text, CARD, card, 2)),
-        when(digit & text.contains("+"), _folded(text, PHONE, phone, 3)), when(digit & text.rlike(LOCAL_PHONE), _folded(text, LOCAL_PHONE, local_phone, 3)),
+        when(text.contains("@"), _matched(text, EMAIL, "email", email)), when(text.rlike(rf"(?i){_AT}"), _matched(text, SPELT_EMAIL, "email", spelt)),
+        when(digit & text.contains("."), _matched(text, IP, "ip", ip)), when(digit, _matched(text, CARD, "card", card)),
+        when(digit & text.contains("+"), _matched(text, PHONE, "phone", phone)), when(digit & text.rlike(LOCAL_PHONE), _matched(text, LOCAL_PHONE, "phone", local_phone)),
+        when(digit | text.rlike(rf"{_KEY}\x20?[:=]"), _matched(text, SECRET, "secret", secret, rf"^(?:{_KEY}\x20?[:=]\x20?[\"']?)?+(.*)$")),
     )
 
 
-def reliabilities(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = 40) -> tuple[float, list[dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
+def _clear_of_base(spans: Column) -> Column:
+    """The base spans, and of the others those that overlap no base span."""
+    line = "struct<start:int,end:int,span:" + _SPAN + ",hit:boolean>"
+    rows = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("span"), F.lit(False).alias("hit"))))
+    put = lambda x, hit: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["span"].alias("span"), (x["hit"] | (~x["span"]["base"] & hit)).alias("hit"))
+    ahead = _scan(rows, F.lit(0), line, lambda s, x: (F.when(x["span"]["base"], F.greatest(s, x["end"])).otherwise(s), put(x, x["start"] < s)))
+    back = _scan(F.reverse(ahead), F.lit(2**31 - 1), line, lambda s, x: (F.when(x["span"]["base"], F.least(s, x["start"])).otherwise(s), put(x, x["end"] > s)))
+    mixed = F.exists(spans, lambda x: x["base"]) & F.exists(spans, lambda x: ~x["base"])
+    return F.when(mixed, F.transform(F.filter(back, lambda x: ~x["hit"]), lambda x: x["span"])).otherwise(spans)
+
+
+def reliabilities(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = 40, trust: tuple[int, ...] = TRUST) -> tuple[float, list[dict[int, tuple[float, float]]], dict[tuple[int, ...], float]]:
     """Expectation-maximisation over (votes, count): the share of true spans, per labeler and vote its chance given true and given
-    false, and per vote pattern the chance that its spans are true. It starts from the majority."""
+    false, and per vote pattern the chance that its spans are true. It starts from the votes, weighed by trust."""
     patterns = list(patterns)
-    chance = {v: min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for v, _ in patterns}
+    chance = {v: min(0.95, max(0.05, 0.5 + 0.15 * sum(a * b for a, b in zip(v, (*trust, *[1] * len(v)), strict=False)))) for v, _ in patterns}
     share, tables = 0.5, []
     for _ in range(rounds):
         true, all_ = sum(chance[v] * c for v, c in patterns), sum(c for _, c in patterns)
@@ -139,58 +253,55 @@ def reliabilities(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int =
 
 @dataclass(frozen=True)
 class SpanClassifier:
-    """Logistic in the votes of the labelers, per kind; weights of a vote for and of a vote against."""
+    """Naive Bayes per kind over FEATURES, trained on the chances that expectation-maximisation gives: the log odds of a true span, and
+    per feature and value what it adds to them."""
 
-    weights: dict[int, tuple[float, tuple[tuple[float, float], ...]]]
+    prior: tuple[float, ...]
+    weights: tuple[tuple[tuple[float, ...], ...], ...]
 
     @staticmethod
-    def train(counted: dict[int, list[tuple[tuple[int, ...], int]]], steps: int = 400, rate: float = 0.5) -> SpanClassifier:
-        out = {}
-        for kind, patterns in counted.items():
-            _, _, chance = reliabilities(patterns)
-            n, total = len(patterns[0][0]), sum(c for _, c in patterns)
-            bias, w = 0.0, [[0.0, 0.0] for _ in range(n)]
-            for _ in range(steps):
-                gb, gw = 0.0, [[0.0, 0.0] for _ in range(n)]
-                for v, c in patterns:
-                    z = bias + sum(w[k][x < 0] for k, x in enumerate(v) if x)
-                    e = c / total * (chance[v] - 1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
-                    gb += e
-                    for k, x in enumerate(v):
-                        if x:
-                            gw[k][x < 0] += e
-                bias += rate * gb
-                for k in range(n):
-                    for s in (0, 1):
-                        w[k][s] += rate * (gw[k][s] - 1e-3 * w[k][s])
-            out[kind] = (bias, tuple((a, b) for a, b in w))
-        return SpanClassifier(out)
-
-    def chance(self, kind: Column, votes: Column) -> Column:
-        z = F.lit(-50.0)
-        for k, (bias, weights) in self.weights.items():
-            s = F.lit(bias)
-            for j, (a, b) in enumerate(weights):
-                s = s + F.when(F.get(votes, F.lit(j)) > 0, F.lit(a)).when(F.get(votes, F.lit(j)) < 0, F.lit(b)).otherwise(F.lit(0.0))
-            z = F.when(kind == k, s).otherwise(z)
-        return 1 / (1 + F.exp(-z))
-
-
-def find_pii(docs: DataFrame, *, least: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans, an array of (kind, start, end, base, votes) by kind, then start, for each row of docs.
-
-    base: found by the kind's base pattern and check. The others are candidates whose chance by the classifier is at least
-    `least` and that no base span overlaps. Null text: no spans. Repeated rows are searched each; other columns are ignored.
+    def train(sums: Iterable[tuple[int, int, int, float, float]], kinds: int = len(KINDS), features: int = len(FEATURES), values: int = 8) -> SpanClassifier:
+        """From (kind, feature, value, sum of chances, sum of one less the chance)."""
+        true = [[[0.0] * values for _ in range(features)] for _ in range(kinds)]
+        false = [[[0.0] * values for _ in range(features)] for _ in range(kinds)]
+        for kind, feature, value, t, f in sums:
+            true[kind][feature][value], false[kind][feature][value] = t, f
+        prior, weights = [], []
+        for t, f in zip(true, false, strict=True):
+            nt, nf = sum(t[0]), sum(f[0])
+            prior.append(math.log((nt + 1) / (nf + 1)))
+            weights.append(tuple(tuple(math.log((a + 0.5) / (nt + values / 2)) - math.log((b + 0.5) / (nf + values / 2)) for a, b in zip(x, y, strict=True)) for x, y in zip(t, f, strict=True)))
+        return SpanClassifier(tuple(prior), tuple(weights))
+
+    def chance(self, kind: Column, feats: Column) -> Column:
+        lits = lambda xs: F.array(*[F.lit(x) for x in xs])
+        tables = F.array(*[F.array(*[lits(f) for f in k]) for k in self.weights])
+        mine = F.zip_with(F.get(tables, kind), feats, lambda w, v: F.get(w, v))
+        return 1 / (1 + F.exp(-F.aggregate(mine, F.get(lits(self.prior), kind), lambda a, b: a + b)))
+
+
+def find_pii(docs: DataFrame, *, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and spans, an array of (kind, start, end, base) by kind, then start, for each row of docs.
+
+    base: found by the kind's base pattern and check. The others are candidates of wider patterns whose chance by the classifier is at
+    least `least` and that overlap no base span. Null or empty text: no spans. Repeated rows are searched each; an empty table gives
+    none; other columns, whatever their names, are ignored. Work grows with the text, and with matches to the power 1.5.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_t")).select("doc_id", _candidates(F.coalesce("_t", F.lit(""))).alias("c"))
-    found = materialize(found, "pii-candidates")
-    votes = found.select(F.explode("c").alias("x")).groupBy("x.kind", "x.votes").count()
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    found = materialize(text.select("doc_id", _let(_candidates(F.col("t")), _clear_of_base).alias("c")), "pii-candidates")
+    spans = found.select(F.explode("c").alias("x")).select("x.*")
     counted: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for r in sorted(votes.collect()):  # kinds x 3 to the number of labelers, at most
+    for r in sorted(spans.groupBy("kind", "votes").count().collect()):  # kinds x 3 to the number of labelers, at most
         counted.setdefault(r[0], []).append((tuple(r[1]), r[2]))
-    model = SpanClassifier.train(counted)
-    base = F.filter("c", lambda x: x["base"])
-    more = F.filter("c", lambda x: ~x["base"] & (model.chance(x["kind"], x["votes"]) >= least))
-    out = found.select("doc_id", base.alias("b"), more.alias("m"))
-    free = F.filter("m", lambda x: ~F.exists("b", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    return out.select("doc_id", F.array_sort(F.concat("b", free)).alias("spans"))
+    name = lambda kind, votes: ",".join(map(str, (kind, *votes)))
+    chances = {name(kind, v): p for kind, patterns in counted.items() for v, p in reliabilities(patterns)[2].items()}
+    sums: list[tuple] = []
+    if chances:
+        key = F.concat_ws(",", F.col("kind").cast("string"), F.transform("votes", lambda v: v.cast("string")))
+        chance = F.element_at(F.create_map(*[F.lit(x) for pair in chances.items() for x in pair]), key)
+        by = spans.select("kind", chance.alias("p"), F.posexplode("feats").alias("feature", "value"))
+        sums = sorted(map(tuple, by.groupBy("kind", "feature", "value").agg(F.sum("p"), F.sum(1 - F.col("p"))).collect()))  # kinds x features x 8
+    model = SpanClassifier.train(sums)
+    taken = F.filter("c", lambda x: x["base"] | (model.chance(x["kind"], x["feats"]) >= least))
+    short = F.transform(taken, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "base")]))
+    return found.select("doc_id", F.array_sort(short).alias("spans"))
