@@ -7,70 +7,77 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize
+from ._common import WORD, forget, materialize, quoted
 
-#: A passage of more words than PASSAGE is a window, if it is one line or two.
-LINES, LONG_LINE, PASSAGE = 3, 200, 50
+#: Lines of a window, and the words that fewer lines must have more of to be a window too.
+LINES, PASSAGE = 3, 50
 
 
-def _windows(lines: Column, n: int, long_line: int, passage: int | None) -> tuple[Column, Callable[[Column], Column]]:
-    """Hashes of lines, and from a column of them an array of (pos, last, h1, h2): each n consecutive lines with a word in them, each line of long_line characters or more, and each line or two consecutive ones of more than passage words."""
+def _windows(lines: Column, n: int, passage: int | None) -> tuple[Column, Callable[[Column], Column]]:
+    """Hashes of lines, and from a column of them an array of (pos, last, h1, h2): each n consecutive lines with a word in them, and fewer
+    of more than `passage` words together."""
     words = lambda s: F.lit(0) if passage is None else F.regexp_count(s, F.lit(WORD))
-    long = lambda x: x["long"] if passage is None else x["long"] | (x["words"] > passage)
     hashed = F.transform(
         F.filter(F.transform(lines, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].rlike(r"[^\x20\x09-\x0D]")),
-        lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(1), x["s"]).alias("h2"), (F.length(x["s"]) >= long_line).alias("long"), words(x["s"]).alias("words")),
+        lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["s"]).alias("h1"), F.xxhash64(F.lit(1), x["s"]).alias("h2"), words(x["s"]).alias("words")),
     )
 
     def over(a: Column) -> Column:
         at = lambda i, k, f: F.get(a, i + k)[f]
         starts = lambda m: F.when(F.size(a) >= m, F.sequence(F.lit(0), F.size(a) - m)).otherwise(F.array().cast("array<int>"))
-        window = lambda i, m: F.struct(at(i, 0, "i").alias("pos"), at(i, m - 1, "i").alias("last"), F.xxhash64(*[at(i, k, "h1") for k in range(m)]).alias("h1"), F.xxhash64(*[at(i, k, "h2") for k in range(m)]).alias("h2"))
-        several = F.transform(starts(n), lambda i: window(i, n))
-        one = F.transform(F.filter(a, long), lambda x: F.struct(x["i"].alias("pos"), x["i"].alias("last"), x["h1"].alias("h1"), x["h2"].alias("h2")))
+        window = lambda i, m: F.struct(
+            at(i, 0, "i").alias("pos"), at(i, m - 1, "i").alias("last"),
+            F.xxhash64(*[at(i, k, "h1") for k in range(m)]).alias("h1"), F.xxhash64(*[at(i, k, "h2") for k in range(m)]).alias("h2"),
+        )
         joint = lambda i, m: sum((at(i, k, "words") for k in range(1, m)), at(i, 0, "words"))
         worded = lambda m: F.transform(F.filter(starts(m), lambda i: joint(i, m) > passage), lambda i: window(i, m))
-        fewer = [] if passage is None else [worded(m) for m in range(2, n)]
-        return F.concat(several, one, *fewer)
+        fewer = [] if passage is None else [worded(m) for m in range(1, n)]
+        return F.concat(F.transform(starts(n), lambda i: window(i, n)), *fewer)
 
     return hashed, over
 
 
-def dedup_lines(docs: DataFrame, *, n: int = LINES, long_line: int = LONG_LINE, passage: int | None = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with repeated passages cut out of the text, and columns n_lines and n_removed (long) after the others.
-
-    A window is n consecutive lines that hold a word, fewer of more than `passage` words together (none if it is None), or a
-    single line of long_line characters or more. Of the windows that
-    are equal, the first by (id, position) stays; the lines from the first to the last of each later one are removed, those
-    of overlapping windows once. The earliest copy of any line is therefore never removed. Blank lines are in no window
-    but go with one that spans them. Null text: kept as null, no lines. Rows with equal id and text are one document, from
-    which the same lines go; null ids come first. Columns named n_lines or n_removed are replaced, others kept.
-    """
-    docs = docs.drop("n_lines", "n_removed")
-    key = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th")]
-    lines = F.split(F.col(text_col), "\n", -1)
-    hashed, over = _windows(lines, n, long_line, passage)
-    windows = docs.where(F.col(text_col).isNotNull()).select(*key, hashed.alias("a")).select("_id", "_th", F.explode(over(F.col("a"))).alias("w")).select("_id", "_th", "w.*")
-    windows = materialize(windows, "line-windows")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_th", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
-    first = materialize(first, "line-firsts")
-    later = windows.join(first, ["h1", "h2"]).where(~F.struct("_id", "_th", "pos").eqNullSafe(F.col("f")))
-    covered = later.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("r"))
-    c, d = covered.alias("c"), docs.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(F.col(text_col))}).alias("d")
-    joined = d.join(c, F.col("d._id").eqNullSafe(F.col("c._id")) & (F.col("d._th") == F.col("c._th")), "left")
-    text, r = F.col(f"d.{text_col}"), F.col("c.r")
+def _gaps(covered: Column) -> Column:
+    """From an array of (pos, last) in order, what lies between them, as (first line, number of lines): the lines that stay."""
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<s:int,l:int>>").alias("gaps"))
-    merged = F.aggregate(
-        r, start,
+    return F.aggregate(
+        covered, start,
         lambda s, x: F.struct(
             F.greatest(s["end"], x["last"] + 1).alias("end"),
             F.when(x["pos"] > s["end"], F.concat(s["gaps"], F.array(F.struct(s["end"].alias("s"), (x["pos"] - s["end"]).alias("l"))))).otherwise(s["gaps"]).alias("gaps"),
         ),
         lambda s: F.concat(s["gaps"], F.array(F.struct(s["end"].alias("s"), F.lit(1 << 30).alias("l")))),
     )
-    lines, kept = F.col("_lines"), F.col("_kept")
-    joined = joined.withColumn("_lines", F.split(text, "\n", -1))
-    joined = joined.select("*", F.when(r.isNotNull(), F.flatten(F.transform(merged, lambda g: F.slice(lines, g["s"] + 1, g["l"])))).alias("_kept"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n"))
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long")
-    out = [F.coalesce(F.array_join(kept, "\n"), text).alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns]
-    return joined.select(*out, n_lines.alias("n_lines"), F.when(kept.isNotNull(), n_lines - F.size(kept)).otherwise(0).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeated passages cut out of the text, and columns n_lines and n_removed (long) after the others.
+
+    A window is n consecutive lines that hold a word, or fewer of more than `passage` words together (none if it is None). Of the
+    windows that are equal, the first by (id, position) stays; the lines from the first to the last of each later one are removed,
+    those of overlapping windows once. The earliest copy of any line is therefore never removed. Blank lines are in no window
+    but go with one that spans them. Null text: kept as null, no lines. Empty text: one line, kept. Rows with equal id and text are
+    one document, from which the same lines go; null ids come first. An empty table gives none. Columns named n_lines or n_removed
+    (in any case) are replaced; all others, whatever their names, are kept as they are.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    text = F.col("row")[text_col]
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("row"))  # so that no name of theirs meets one of ours
+    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.xxhash64(text).alias("th"))
+    hashed, over = _windows(F.split(text, "\n", -1), n, passage)
+    windows = rows.where(text.isNotNull()).select("id", "th", hashed.alias("a")).select("id", "th", F.explode(over(F.col("a"))).alias("w")).select("id", "th", "w.*")
+    windows = materialize(windows, "line-windows")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
+    first = materialize(first, "line-firsts")  # so that a hot window's partition of the join can be split
+    later = windows.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("f")))
+    covered = materialize(later.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("r")), "line-covered")
+    forget(windows, first)
+    c, d = covered.alias("c"), rows.alias("d")
+    joined = d.join(c, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th")), "left").select("row", "r")
+    joined = joined.withColumn("lines", F.split(text, "\n", -1))
+    kept = F.flatten(F.transform(_gaps(F.col("r")), lambda g: F.slice(F.col("lines"), g["s"] + 1, g["l"])))
+    joined = joined.withColumn("kept", F.when(F.col("r").isNotNull(), kept))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
+    out = [F.coalesce(F.array_join("kept", "\n"), text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names]
+    removed = F.when(F.col("kept").isNotNull(), n_lines - F.size("kept")).otherwise(0).cast("long")
+    return joined.select(*out, n_lines.alias("n_lines"), removed.alias("n_removed"))
