@@ -7,30 +7,38 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import forget, materialize
 
 
 def connected_components(edges: DataFrame, *, seed: int = 5) -> DataFrame:
-    """node and root (one node of its component) for each node of the edges (a, b). Ids should be spread like hashes.
+    """node and root (one node of its component) for each node of the edges (a, b), other than loops. Ids should be spread like hashes.
 
     Each round every node points to the first of itself and its neighbours in an order drawn anew, edges are contracted along the
     pointers, and what becomes a loop goes; the number of edges falls by a share each round, whatever the shape of the graph.
-    Tables between the rounds are written, so no join's input has an aggregate above its exchange and hot nodes can be split.
+    Tables between the rounds are written, so no join's input has an aggregate above its exchange and hot nodes can be split; each
+    is deleted when the next round has been written. No edges: no rows.
     """
     draw = random.Random(seed)
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
-    labels = None
+    labels = held = None
     while labels is None or not edges.isEmpty():
         mask = F.lit(draw.getrandbits(64) - 2**63)
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
         first = both.groupBy("node").agg(F.min(F.col("to").bitwiseXOR(mask)).alias("m"))
         first = materialize(first.select("node", F.least("m", F.col("node").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to")), "cc-pointers")
+        one = edges.join(first.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").select("a2", "b")
+        two = one.join(first.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b").where("a2 <> b2")
+        shrunk = materialize(two.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "cc-edges")
         if labels is None:
-            labels = first.select("node", F.col("to").alias("root"))
+            labels, held = first.select("node", F.col("to").alias("root")), first  # read from the pointers, which stay
         else:
             step = first.select(F.col("node").alias("root"), F.col("to").alias("_to"))
             labels = materialize(labels.join(step, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "cc-labels")
-        one = edges.join(first.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").select("a2", "b")
-        two = one.join(first.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b").where("a2 <> b2")
-        edges = materialize(two.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "cc-edges")
+            forget(held, first)
+            held = labels
+        forget(edges)
+        edges = shrunk
+    forget(edges)
+    if "_written" not in labels.__dict__:
+        labels.__dict__["_written"] = held.__dict__.pop("_written", None)
     return labels
