@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import quoted
+
 _WORD = re.compile(r"[^\W_]+")
 #: Words of a seed. Three would miss alignments broken after every second word, which may score half the item.
 SEED = 2
@@ -134,7 +136,8 @@ def find_leaks(
     documents that hold them, and as many as it takes to meet every such alignment (of items for which `least` is more than one word).
     Around seeds on near diagonals (within slack, or the gaps such an alignment can hold) the document's passage is aligned to the whole item; the score is
     the alignment's (1 an equal word, -1 a wrong one or a gap) by the item's words; start and end number the passage's words.
-    An item of fewer than n words, or null text, matches nothing. Repeated rows are searched each.
+    An item of fewer than n words, or null text, matches nothing. Repeated rows are searched each; an empty table, or benchmark, gives
+    none; other columns, whatever their names, are ignored.
 
     The items are held in each task. A benchmark of more than slice_chars characters is dealt with in slices of about that size,
     one scan of docs each.
@@ -156,10 +159,15 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, slack: int = 16, slice_chars: int = 8_000_000, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of docs in which find_leaks finds nothing, with their columns."""
-    at = docs.columns.index(text_col)
+    """The rows of docs in which find_leaks finds nothing, with their columns, whatever their names. Null and empty texts stay; repeated
+    rows are judged each; an empty table, or benchmark, changes nothing.
+
+    Seeds are counted over all of docs, one scan for each slice of the benchmark; the slices' searches are one scan.
+    """
+    names, at, texts = docs.columns, docs.columns.index(text_col), docs.select(F.col(quoted(text_col)).cast("string").alias("text"))
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
     for items in _slices(benchmark, item_col, n, slice_chars):
-        chosen = _chosen(docs.select(F.col(text_col).cast("string").alias("text")), items, least)
+        chosen = _chosen(texts, items, least)
 
         def clean(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             items = chosen.value
@@ -167,7 +175,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: floa
                 yield b.filter(pa.array([not _search(items, items.numbers(text), least, slack) for text in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def _slices(benchmark: DataFrame, item_col: str, n: int, slice_chars: int) -> Iterator[Items]:

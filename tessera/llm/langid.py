@@ -81,12 +81,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_languages(docs: DataFrame, *, max_languages: int = 1000, smooth: float = 0.5) -> LanguageModel:
-    """From text and lang of every document for which LEARN holds. More than max_languages values of lang are an error."""
+    """From text and lang of every document for which LEARN holds. Null and empty texts teach nothing; no documents give a model
+    without languages, which predicts `und`.
+
+    The model is languages x BUCKETS numbers of 8 bytes, on the driver and in each task. More than max_languages values of lang are
+    an error that says so, never a smaller model: raise it where the driver and the tasks have the memory (1000 take 0.5 GB).
+    """
     rows = docs.where(LEARN).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     summed = materialize(sum_chunks(rows.mapInArrow(_count, "name string, chunk int, counts binary")), "lang-grams")
     names = sorted(r.name for r in summed.select("name").distinct().limit(max_languages + 1).collect())
     if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+        raise ValueError(f"more than {max_languages} languages, of {8 * BUCKETS} bytes each: raise max_languages")
     table = np.zeros((len(names), BUCKETS))
     for r in summed.toLocalIterator():  # languages x BUCKETS numbers, whatever the input
         counts = np.frombuffer(r.counts, np.int64)

@@ -46,6 +46,9 @@ def _split(g: np.ndarray, h: np.ndarray, depth: int, reg: float) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, coarse_bins: int = 6, rounds: int = 150, pair_rounds: int = 60, n_pairs: int = 8, depth: int = 2, rate: float = 0.15, reg: float = 1.0) -> AdditiveModel:
+    """Fits labels y (0 or 1) by features x. Each round boosts every feature's table by a shallow tree over its quantile bins, one
+    after the other; then the n_pairs pairs of features whose coarse cells have the largest remaining gradients get tables likewise.
+    No rows, or one label only: the intercept alone."""
     n, m = x.shape
     p = (y.sum() + 1) / (n + 2)
     quantiles = lambda v, b: np.unique(np.quantile(v, np.linspace(0, 1, b + 1)[1:-1])) if n else np.zeros(0)
@@ -99,7 +102,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000) -
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, *, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row. Null text is scored as empty; a null id is held out."""
+    """doc_id, held_out, score, predicted for each row. Null text is scored as empty; a null id is held out; repeated rows are scored
+    each; an empty table gives none; other columns, whatever their names, are ignored."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -118,21 +118,24 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def judged(stats: DataFrame, rules: DecisionList) -> DataFrame:
-    """Statistics with base_failed and kept."""
+    """Statistics (of document_stats) with base_failed and kept, a row each; a document without a word fails. An empty list keeps all
+    that does not fail."""
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.keep())
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with their columns. Null text counts as empty and fails."""
-    names, at = docs.columns, docs.columns.index(text_col)
-    extra = [f"_stats_{c}" for c in (*COUNTS, *FEATURES)]
+    """The rows of docs that pass, with their columns, whatever their names. Null and empty texts have no word and fail; repeated rows
+    are judged each; an empty table gives none."""
+    names, at = [f"c{k}" for k in range(len(docs.columns))], docs.columns.index(text_col)
+    extra = [f"stats_{c}" for c in (*COUNTS, *FEATURES)]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, counts, features = stats_batch(b.column(0), b.column(at).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c) for c in counts.T), *(pa.array(c) for c in features.T)], [*names, *extra])
 
-    schema = StructType(list(docs.schema.fields))  # add() changes what it is called on
+    rows = docs.toDF(*names)  # so that no name of theirs meets one of ours
+    schema = StructType(list(rows.schema.fields))  # add() changes what it is called on
     for part in STATS_SCHEMA.split(", ")[1:]:
-        schema = schema.add(f"_stats_{part.split()[0]}", part.split()[1])
-    return docs.mapInArrow(add, schema).where(~base_failed("_stats_") & rules.keep("_stats_")).select(*names)
+        schema = schema.add(f"stats_{part.split()[0]}", part.split()[1])
+    return rows.mapInArrow(add, schema).where(~base_failed("stats_") & rules.keep("stats_")).select(*names).toDF(*docs.columns)

@@ -12,10 +12,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Two rows made to be hard: control strings of the template as texts.
+_HARD = "select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings, formatted and read back; a null text or role is empty, repeated rows are turns."""
     rows = _read(spark, sf_dir, "conversations").select(*(F.col(c).cast(t) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
-    hard = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    out = chat.format_chats(rows.unionByName(hard)).withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("lost", chat.masked_text(F.col("segments")))
+    out = chat.format_chats(rows.unionByName(spark.sql(_HARD))).withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("lost", chat.masked_text(F.col("segments")))
     digest = F.sha2(F.encode(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "UTF-8"), 256)
     return out.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length("lost").cast("long").alias("loss_chars"),
@@ -24,49 +28,62 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that the mix takes; a null or empty text has none, repeated rows are documents of their own."""
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")  # the windows of its SQL; the pipeline's stage has those of passages too
-    return line_dedup.dedup_lines(docs, passage=None).select("doc_id", "text", "n_lines", "n_removed")
+    """Texts without the later occurrences of repeated passages; a null text stays null, repeated rows lose the same lines."""
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out; `und` for a null text or one without a letter."""
     docs = _read(spark, sf_dir, "documents")
     return langid.predict_languages(docs, langid.fit_languages(docs)).select("doc_id", "held_out", "lang_pred", "score", F.map_keys("languages").alias("languages"))
 
 
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data: counts and digest of those of the base patterns, all spans, and how many the method found in all and
+    added as secrets; a null text has none, repeated rows are searched each."""
     found = pii.find_pii(_read(spark, sf_dir, "documents"))
     base = found.withColumn("base", F.filter("spans", lambda x: x["base"]))
     names = F.array(*map(F.lit, pii.KINDS))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return base.select("doc_id", *(count(k) for k in range(4)), F.sha2(F.encode(joined("base"), "UTF-8"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    count = lambda k, c: F.size(F.filter(c, lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return base.select(
+        "doc_id", *(count(k, "base") for k in range(4)), F.sha2(F.encode(joined("base"), "UTF-8"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), count(4, "spans"),
+    )
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 0.85 of their four-word shingles; texts without words are components of their own."""
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items that align; null texts match nothing, repeated rows are searched each."""
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the records say that the index finds for its url, read as ranges of the archives; a null page is an empty payload."""
     pages = _read(spark, sf_dir, "pages")
     index = warc.archive_and_index(pages)
-    return index.lookup(pages.select(warc.url_key(F.col("url")).alias("key"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    found = index.lookup(pages.select(warc.url_key(F.col("url")).alias("key")))
+    return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and whether base rules and learned rules keep it; a null or empty text has zeros and fails."""
     docs = _read(spark, sf_dir, "documents")
     rules = quality_rules.learn_rules(docs, _read(spark, sf_dir, "labels"))
     return quality_rules.judged(stats.document_stats(docs), rules).select("doc_id", *stats.COUNTS, "base_failed", "kept")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labelled ones not held out; a null text is scored as empty."""
     docs = _read(spark, sf_dir, "documents")
     return quality_gam.score_quality(docs, quality_gam.fit_quality(docs, _read(spark, sf_dir, "labels")))
 
@@ -104,10 +121,12 @@ select conv_id, count(*) as n_turns,
 from s group by conv_id""",
     "op3_line_dedup": f"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
-f as (select *, lead(s) over w as s2, lead(s, 2) over w as s3, lead(pos, 2) over w as p3 from l
-  where regexp_matches(s, '[^\\x20\\x09-\\x0D]') window w as (partition by doc_id order by pos)),
-v as (select doc_id, pos, p3 as last, [s, s2, s3] as k from f where p3 is not null
-  union all select doc_id, pos, pos, [s] from f where length(s) >= {line_dedup.LONG_LINE}),
+f as (select *, lead(s) over w as s2, lead(s, 2) over w as s3, lead(pos) over w as p2, lead(pos, 2) over w as p3, len(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+')) as words
+  from l where regexp_matches(s, '[^\\x20\\x09-\\x0D]') window w as (partition by doc_id order by pos)),
+g as (select *, lead(words) over (partition by doc_id order by pos) as words2 from f),
+v as (select doc_id, pos, p3 as last, [s, s2, s3] as k from g where p3 is not null
+  union all select doc_id, pos, pos, [s] from g where words > {line_dedup.PASSAGE}
+  union all select doc_id, pos, p2, [s, s2] from g where p2 is not null and words + words2 > {line_dedup.PASSAGE}),
 r as (select doc_id, pos, last, row_number() over (partition by k order by doc_id, pos) as nth from v),
 c as (select distinct doc_id, unnest(range(pos, last + 1)) as pos from r where nth > 1)
 select d.doc_id, case when count(l.pos) filter (where c.pos is null) = 0 and d.text is not null then '' else string_agg(l.s, chr(10) order by l.pos) filter (where c.pos is null) end as text,

@@ -74,6 +74,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, COUNTS and FEATURES of each row's whole text. Null and empty texts have zeros; a null id is kept; repeated rows are
+    counted each; an empty table gives none; other columns, whatever their names, are ignored."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_stats, STATS_SCHEMA)
 
 
@@ -85,13 +87,14 @@ def label_sample(labels: DataFrame, most: int, id_col: str = "doc_id", label_col
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, most: int, *, where: str = "true") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sample (`most` rows at most, on the driver): counts, features, labels; by doc_id, so that reruns agree."""
+    """Of the sample (`most` rows at most, on the driver): counts, features, labels; by doc_id, so that reruns agree. Labels without a
+    document are left out, a null text counts as empty, and no labels give arrays of no rows."""
     spark = docs.sparkSession
     sample = label_sample(labels, most, where=where).collect()
     wanted = F.broadcast(spark.createDataFrame(sample, "doc_id long, label int"))  # `most` rows at most
-    # documents of one id: the first by its text, so that the sample stays within its bound
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
-    rows = document_stats(rows).join(wanted, "doc_id").groupBy("doc_id", "label").agg(*[F.min(c).alias(c) for c in (*COUNTS, *FEATURES)])
+    # documents of one id: the first by its text, so that the sample stays within its bound and each row of it is a document
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    rows = document_stats(rows.groupBy("doc_id").agg(F.min("text").alias("text"))).join(wanted, "doc_id").select("doc_id", "label", *COUNTS, *FEATURES)
     got = sorted(rows.collect())
     table = np.array([tuple(r) for r in got], float).reshape(-1, 2 + len(COUNTS) + len(FEATURES))
     return table[:, 2 : 2 + len(COUNTS)], table[:, 2 + len(COUNTS) :], table[:, 1].astype(int)
