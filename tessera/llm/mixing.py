@@ -178,7 +178,7 @@ def _refilled(dealt: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2, block_words: int = 1024, shard_slots: int = 4096,
-    bucket_rows: int = 65_536, most_groups: int = 65_536, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    bucket_rows: int = 2048, most_groups: int = 65_536, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> Mix:
     """Draws share times all words of docs, by source.
 
