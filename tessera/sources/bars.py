@@ -1,12 +1,10 @@
-"""Bars: long tables (ticker, d, open, high, low, close, volume, turnover) from trades, CSV files and zip archives."""
+"""Bars (ticker, d, open, high, low, close, volume, turnover) and ticks from trades, with variants that delist, halt and reissue."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,85 +23,44 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name per supplier: the number of names grows with the data."""
     rows = _lines(spark, sf_dir).select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("d"), "px", "q", "v", "l_orderkey", "l_linenumber", "l_partkey")
     return bars_of(rows, ["ticker", "d"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name per brand: few names, but hardly a week without a bar."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
     rows = _lines(spark, sf_dir).join(part, "l_partkey").withColumn("d", F.trunc("l_shipdate", "week"))
     return bars_of(rows, ["ticker", "d"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
+def eventful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of which names that end in 5 leave in 1997 and names that end in 3 halt in the spring of 1996."""
+    end = F.substring("ticker", -1, 1)
+    return weekly(spark, sf_dir).where(~((end == "5") & (F.col("d") >= "1997-06-01")) & ~((end == "3") & F.col("d").between("1996-03-01", "1996-05-31")))
+
+
+def reissued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with an isin that changes with every year."""
+    return daily(spark, sf_dir).withColumn("isin", F.concat(F.lit("INE"), F.lpad(F.col("ticker").cast("string"), 5, "0"), F.year("d").cast("string")))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select(F.col("event_type").alias("ticker"), "ts", F.col("value").alias("px"), "event_id")
 
 
-#: The same views for an oracle.
-ORACLE = {
-    "dy": "select l_suppkey as ticker, cast(l_shipdate as date) as d, arg_min(l_extendedprice/l_quantity, (l_orderkey,l_linenumber,l_partkey)) as open, max(l_extendedprice/l_quantity) as high, min(l_extendedprice/l_quantity) as low, arg_max(l_extendedprice/l_quantity, (l_orderkey,l_linenumber,l_partkey)) as close, sum(l_quantity) as volume, sum(l_extendedprice) as turnover from lineitem group by all",
-    "wk": "select p_brand as ticker, cast(date_trunc('week', l_shipdate) as date) as d, arg_min(l_extendedprice/l_quantity, (l_orderkey,l_linenumber,l_partkey,l_suppkey)) as open, max(l_extendedprice/l_quantity) as high, min(l_extendedprice/l_quantity) as low, arg_max(l_extendedprice/l_quantity, (l_orderkey,l_linenumber,l_partkey,l_suppkey)) as close, sum(l_quantity) as volume, sum(l_extendedprice) as turnover from lineitem join part on p_partkey = l_partkey group by all",
-    "tk": "select event_type as ticker, ts, value as px, event_id from events",
-}
-SOURCES = {"dy": daily, "wk": weekly, "tk": ticks}
-
-
-def symbol_csv(spark: SparkSession, folder: str, kind: str = "all", indices: tuple[str, ...] = ("NIFTY", "INDEX")) -> DataFrame:
-    """One CSV per symbol, the symbol from the file's name; values that aren't numbers are null, closes must be positive, and of
-    rows with one time the last in the file stays. kind: stocks, indices or all."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").schema("timestamp string, open string, high string, low string, close string, volume string").csv(folder)
-    number = {c: F.expr(f"try_cast({c} as double)") for c in ("open", "high", "low", "close", "volume")}
-    rows = raw.select(F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"([^/_]+)[^/]*\.csv$", 1)).alias("ticker"), F.expr("try_cast(timestamp as timestamp)").alias("ts"), *(v.alias(k) for k, v in number.items()), F.monotonically_increasing_id().alias("row"))
-    if kind != "all":
-        index = F.col("ticker").rlike("^(" + "|".join(indices) + ")")
-        rows = rows.where(index if kind == "indices" else ~index)
-    rows = rows.where("close > 0 and ts is not null").groupBy("ticker", "ts").agg(F.max_by(F.struct(*number), "row").alias("b"))
-    return rows.select("ticker", "ts", "b.*")
-
-
-def zipped_csv(spark: SparkSession, folder: str, columns: dict[str, str], glob: str = "*.zip") -> DataFrame:
-    """Rows of the first CSV in each zip archive: columns maps names in the file to ours (all strings), and `file` is the archive's.
-    A broken archive, or one without these columns, gives one row with null values, to be counted."""
-    schema = ", ".join(f"{c} string" for c in columns.values()) + ", file string"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        got = pd.read_csv(z.open(z.namelist()[0]), dtype=str, skipinitialspace=True)
-                    got = got.rename(columns=lambda c: c.strip())[list(columns)].rename(columns=columns)
-                except (zipfile.BadZipFile, KeyError, IndexError, UnicodeDecodeError, pd.errors.ParserError):
-                    got = pd.DataFrame([dict.fromkeys(columns.values())])
-                yield got.assign(file=path.rsplit("/", 1)[-1])[[*columns.values(), "file"]]
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content").mapInPandas(read, schema)
-
-
-#: Column names of the two archive layouts.
-LEGACY = {"SYMBOL": "symbol", "SERIES": "series", "OPEN": "open", "HIGH": "high", "LOW": "low", "LAST": "close", "CLOSE": "close_vwap", "TOTTRDQTY": "volume", "TOTTRDVAL": "turnover", "ISIN": "isin"}
-UDIFF = {"TckrSymb": "symbol", "SctySrs": "series", "OpnPric": "open", "HghPric": "high", "LwPric": "low", "LastPric": "close", "ClsPric": "close_vwap", "TtlTradgVol": "volume", "TtlTrfVal": "turnover", "ISIN": "isin", "FinInstrmTp": "kind"}
-
-
-def exchange_archives(spark: SparkSession, legacy: str | None, udiff: str | None) -> DataFrame:
-    """Both eras as one table, the date from the archive's name; of rows with one date and ISIN the last symbol's stays. Only
-    ordinary shares: ISIN of the country and security type, series EQ or BE, a positive close, no negative volume."""
-    parts = []
-    if legacy:
-        parts.append(zipped_csv(spark, legacy, LEGACY).withColumn("d", F.expr("try_to_date(initcap(regexp_extract(file, '([0-9]{2}[A-Za-z]{3}[0-9]{4})', 1)), 'ddMMMyyyy')")))
-    if udiff:
-        parts.append(zipped_csv(spark, udiff, UDIFF).where("kind = 'STK' or kind is null").drop("kind").withColumn("d", F.expr("try_to_date(regexp_extract(file, '([0-9]{8})', 1), 'yyyyMMdd')")))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = rows.select("d", F.trim("isin").alias("isin"), F.trim("symbol").alias("symbol"), F.trim("series").alias("series"), *(F.expr(f"try_cast({c} as double)").alias(c) for c in ("open", "high", "low", "close", "close_vwap", "volume", "turnover")))
-    rows = rows.where("startswith(isin, 'INE') and substring(isin, 8, 2) = '01' and series in ('EQ', 'BE') and close > 0 and volume >= 0")
-    return rows.groupBy("d", "isin").agg(F.max_by(F.struct("symbol", "series", "open", "high", "low", "close", "close_vwap", "volume", "turnover"), F.struct("symbol", "series", "close")).alias("r")).select("d", "isin", "r.*")
-
-
-def traded_futures(spark: SparkSession, folder: str) -> DataFrame:
-    """(d, symbol): underlyings with a stock future in each day's derivatives archive, either layout."""
-    old = zipped_csv(spark, folder, {"INSTRUMENT": "kind", "SYMBOL": "symbol"})
-    new = zipped_csv(spark, folder, {"FinInstrmTp": "kind", "TckrSymb": "symbol"})
-    rows = old.unionByName(new).where("trim(kind) in ('FUTSTK', 'STF')")
-    day = F.coalesce(F.expr("try_to_date(initcap(regexp_extract(file, '([0-9]{2}[A-Za-z]{3}[0-9]{4})', 1)), 'ddMMMyyyy')"), F.expr("try_to_date(regexp_extract(file, '([0-9]{8})', 1), 'yyyyMMdd')"))
-    return rows.select(day.alias("d"), F.trim("symbol").alias("symbol")).distinct()
+def returned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d, symbol): brands with returned goods in a week, of weeks that are no multiple of four in their year."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").select("l_partkey", F.trunc("l_shipdate", "week").alias("d"))
+    return rows.join(part, "l_partkey").where(F.weekofyear("d") % 4 != 0).select("d", "symbol").distinct()
+
+
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"dy": daily, "wk": weekly, "wx": eventful, "ri": reissued, "tk": ticks, "fo": returned}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A source that is computed once for all that reads it in a session, and kept on the executors' disks; what is lost is recomputed."""
+    return SOURCES[name](spark, sf_dir).persist(StorageLevel.DISK_ONLY)
