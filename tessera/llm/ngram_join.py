@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, as_bytes, chunk_rows, forget, fresh, materialize, mix, quoted, sum_chunks, window_hashes, word_hashes
@@ -279,27 +279,36 @@ def _links(cells: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
     return materialize(dealt.mapInArrow(_products(n, num, den), "a long, b long"), "ngram-links")
 
 
-def _open_cells(met: DataFrame, placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells for the candidates in clusters of several blocks that have different labels: of a short list its pairs, of a long one all
-    that lack the list's commonest label, with all of the list. placed: sig, c, blk."""
-    named = placed.join(labels.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "c", "blk", F.coalesce("root", "sig").alias("label"))
+def _parts(rows: int, grams: int) -> Column:
+    """Into how many blocks of so many rows, and of so many grams in all, a group of sets (n: grams of a set) is dealt."""
+    return F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / grams)).cast("int"))
+
+
+def _open_cells(met: DataFrame, placed: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Cells for the candidates in clusters of several blocks that have different labels: of a short list its pairs, of a long one those
+    that lack the list's commonest label, gathered in blocks of their own, with the blocks of all of the list. placed: sig, n, c, blk."""
+    named = placed.join(labels.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "n", "c", "blk", F.coalesce("root", "sig").alias("label"))
     named = materialize(named, "ngram-labelled")
     one = named.select(F.col("sig").alias("a"), "c", F.col("blk").alias("x"), F.col("label").alias("la"))
     two = named.select(F.col("sig").alias("b"), F.col("blk").alias("y"), F.col("label").alias("lb"))
     pairs = met.where("not hot").join(one, "a").join(two, "b").where("la <> lb")
     cells = pairs.select("c", F.col("x").alias("own"), F.col("y").alias("other"), F.col("a").alias("sig")).unionByName(pairs.select("c", F.col("y").alias("own"), F.col("x").alias("other"), F.col("b").alias("sig")))
+    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cells = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "sig")
+
     lists = materialize(met.where("hot").select(F.col("a").alias("gram"), F.col("b").alias("sig")).join(named, "sig"), "ngram-hot")
-    most = lists.groupBy("gram", "label").count().groupBy("gram").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-    most = materialize(most, "ngram-most")
+    most = lists.groupBy("gram", "label").count().groupBy("gram").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
+    most = materialize(most.where("labels > 1").select("gram", "most"), "ngram-most")
     marked = materialize(lists.join(most, "gram").withColumn("left_over", F.col("label") != F.col("most")), "ngram-marked")
-    blocks = marked.groupBy("gram", F.col("blk").alias("other")).agg(F.max("left_over").alias("any_left"))
-    blocks = materialize(blocks, "ngram-hot-blocks")
-    met_blocks = marked.join(blocks, "gram").where(F.col("left_over") | F.col("any_left"))
-    cells = cells.unionByName(met_blocks.select("c", F.col("blk").alias("own"), "other", "sig"))
-    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    out = cells.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "sig").distinct()
-    out = materialize(out, "ngram-cells")
-    forget(named, lists, most, marked, blocks)
+    left = marked.where("left_over").select("c", "sig", "n").distinct()
+    sizes = left.groupBy("c").agg(_parts(4 * block, block * _GRAMS).alias("parts"))
+    left = materialize(left.join(sizes, "c").select("c", "sig", (-2 - F.pmod(F.xxhash64("sig", F.lit(11)), F.col("parts"))).cast("int").alias("j")), "ngram-left")
+    their = marked.where("left_over").select("gram", "sig").join(left, "sig").select("gram", "c", "j").distinct()
+    needed = materialize(their.join(marked.select("gram", F.col("blk").alias("i")).distinct(), "gram").select("c", "i", "j").distinct(), "ngram-needed")
+    own = marked.select("c", F.col("blk").alias("i"), "sig").distinct().join(needed, ["c", "i"]).select("c", "i", "j", F.lit(1).alias("side"), "sig")
+    theirs = left.join(needed, ["c", "j"]).select("c", "i", "j", F.lit(2).alias("side"), "sig")
+    out = materialize(cells.unionByName(own).unionByName(theirs).distinct(), "ngram-cells")
+    forget(named, lists, most, marked, left, needed)
     return out
 
 
@@ -319,8 +328,8 @@ def ngram_groups(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100,
     clusters = connected_components(met.select(F.when(F.col("hot"), gram_node).otherwise(F.col("a")).alias("a"), "b"))
     members = materialize(classes.join(clusters, F.col("sig") == F.col("node")).select("sig", "n", "rep_id", "rep_th", F.col("root").alias("c")), "ngram-members")
     forget(clusters)
-    parts = lambda rows_, grams_: F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / rows_, F.sum("n") / (rows_ * grams_))).cast("int"))
-    blocks = members.groupBy("c").agg(parts(block, _GRAMS).alias("nb"), parts(block // 2 or 1, _GRAMS).alias("np"))
+    few = block // 2 or 1
+    blocks = members.groupBy("c").agg(_parts(block, block * _GRAMS).alias("nb"), _parts(few, few * _GRAMS).alias("np"))
     blocks = materialize(blocks, "ngram-blocks")
     active = materialize(members.join(blocks, "c").withColumn("blk", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")), "ngram-active")
     texts = _texts(rows, active.select("sig", "rep_id", "rep_th"))
@@ -334,7 +343,7 @@ def ngram_groups(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100,
     links = _links(whole.unionByName(own).unionByName(pivots), texts, n, num, den)
     labels = connected_components(links)
     if not large.isEmpty():
-        cells = _open_cells(met, large.select("sig", "c", "blk"), labels)
+        cells = _open_cells(met, large.select("sig", "n", "c", "blk"), labels, block)
         if not cells.isEmpty():
             more = _links(cells, texts, n, num, den)
             old, labels = labels, connected_components(links.unionByName(more))
