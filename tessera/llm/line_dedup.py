@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, forget, materialize, quoted
+from ._common import WORD, materialize, quoted
 
 #: Lines of a window, and the words that fewer lines must have more of to be a window too.
 LINES, PASSAGE = 3, 50
@@ -70,8 +70,7 @@ def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAG
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     first = materialize(first, "line-firsts")  # so that a hot window's partition of the join can be split
     later = windows.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("f")))
-    covered = materialize(later.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("r")), "line-covered")
-    forget(windows, first)
+    covered = later.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("r"))
     c, d = covered.alias("c"), rows.alias("d")
     joined = d.join(c, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th")), "left").select("row", "r")
     joined = joined.withColumn("lines", F.split(text, "\n", -1))
