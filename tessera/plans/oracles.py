@@ -410,7 +410,7 @@ mb as (select coalesce(a.t, b.t + 1) as t, sum(abs(coalesce(a.w, 0) - coalesce(b
 mr2 as (select coalesce(a.t, b.t + 1) as t, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) as x from hr a full join hr b on b.t = a.t - 1 and b.ticker = a.ticker group by 1),
 j as (select ts.t, ts.d, mb.x, mr2.x as rx, coalesce(gate.panic, false) as panic from ts left join mb using (t) left join mr2 using (t) left join gate using (d)),
 k as (select *, panic <> lag(panic, 1, false) over (order by d) as flip from j)
-select {r6('sum(x)')} as buffered, {r6('sum(rx)')} as raw, {r6('1 - sum(x) / sum(rx)')} as removed_share, {r6('sum(x) filter (where flip)')} as at_flips, {r6('1 - sum(x) filter (where flip) / sum(x)')} as rotation_share, count(*) filter (where flip) as flips, count(*) as bars from k""",
+select {r6('sum(x)')} as buffered, {r6('sum(rx)')} as raw, {r6('1 - sum(x) / sum(rx)')} as removed_share, {r6('coalesce(sum(x) filter (where flip), 0)')} as at_flips, {r6('1 - coalesce(sum(x) filter (where flip), 0) / sum(x)')} as rotation_share, count(*) filter (where flip) as flips, count(*) as bars from k""",
     "shortable_mask": f"""with {WK}, {FO}, c as (select distinct d from wk), have as (select distinct d from fo), nm as (select distinct symbol as ticker from fo join wk on wk.d = fo.d and wk.ticker = fo.symbol),
 f as (select distinct wk.ticker, fo.d from fo join wk on wk.d = fo.d and wk.ticker = fo.symbol)
 select nm.ticker, c.d, coalesce((select exists (select 1 from f where f.ticker = nm.ticker and f.d = l.d) from (select max(h.d) as d from have h where h.d <= c.d) l where l.d is not null), false) as shortable from nm, c""",

@@ -1,11 +1,10 @@
-"""Every statement against its oracle on the smallest tables, and planted answers for the operators that have none."""
+"""Every query over bars against SQL written apart, on the smallest tables."""
 
 import datetime
 
 import duckdb
 import pytest
 
-from tessera.operators import stateful
 from tessera.plans import catalog
 
 from .conftest import SF
@@ -24,7 +23,7 @@ def _norm(v):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_statement(spark, oracle, name):
+def test_query(spark, oracle, name):
     got = catalog.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     want = oracle.execute(f"select {', '.join(columns)} from ({catalog.ORACLES[name]}) z").fetchall()
@@ -32,118 +31,7 @@ def test_statement(spark, oracle, name):
     assert sorted((tuple(map(_norm, r)) for r in got.select(*columns).collect()), key=key) == sorted((tuple(map(_norm, r)) for r in want), key=key)
 
 
-def test_buffer_keeps_incumbents(spark):
-    rows = [("s", d, t, r) for d, order in enumerate(["abcd", "bcad", "dcba"]) for r, t in enumerate(order, 1)]
-    ranked = spark.createDataFrame(rows, "strategy string, d int, ticker string, rank int")
-    held = {}
-    for r in stateful.rebalance_buffer(ranked, 2, 3).collect():
-        held.setdefault(r.d, set()).add(r.ticker)
-    assert held == {0: {"a", "b"}, 1: {"a", "b"}, 2: {"b", "d"}}
-    plain = {}
-    for r in stateful.rebalance_buffer(ranked, 2, 2).collect():
-        plain.setdefault(r.d, set()).add(r.ticker)
-    assert plain == {0: {"a", "b"}, 1: {"b", "c"}, 2: {"d", "c"}}
-
-
-def test_equal_costs_give_the_plain_band(spark):
-    rows = [("s", d, t, (7 * d + 3 * k) % 10 + 1, 5.0) for d in range(8) for k, t in enumerate("abcdefghij")]
-    df = spark.createDataFrame(rows, "strategy string, d int, ticker string, rank int, cost double")
-    a = stateful.rebalance_buffer(df.drop("cost"), 3, 6).collect()
-    b = stateful.rebalance_buffer(stateful.cost_band(df, 3, 2.0), 3, 6).collect()
-    assert sorted(a) == sorted(b)
-
-
-def test_free_swaps_hold_the_top(spark):
-    rows = [("s", d, t, float((5 * d + 7 * k) % 11), 1.0) for d in range(6) for k, t in enumerate("abcdefghijk")]
-    df = spark.createDataFrame(rows, "strategy string, d int, ticker string, value double, cost double")
-    free = stateful.swap_if_pays(df, 3, 0.0).collect()
-    for d in range(6):
-        top = sorted((r for r in rows if r[1] == d), key=lambda r: -r[3])[:3]
-        assert {r.ticker for r in free if r.d == d} == {r[2] for r in top}
-    dear = stateful.swap_if_pays(df, 3, 100.0).collect()
-    assert len({frozenset(r.ticker for r in dear if r.d == d) for d in range(6)}) == 1
-
-
-def test_swaps_see_few_rows(spark):
-    import random
-
-    r = random.Random(6)
-    drift = [r.gauss(0, 3) for _ in range(120)]
-    rows = [("s", d, f"n{t:03d}", round(drift[t] + r.gauss(0, 1), 1), r.choice([0.0, 0.2, 0.5])) for d in range(40) for t in range(120) if r.random() < 0.9]
-    df = spark.createDataFrame(rows, "strategy string, d int, ticker string, value double, cost double")
-    held, want = [], set()
-    for d in range(40):  # over all rows
-        value, cost = {x[2]: x[3] for x in rows if x[1] == d}, {x[2]: x[4] for x in rows if x[1] == d}
-        best = lambda names: sorted(names, key=lambda t: (-value[t], t))  # noqa: B023, E731
-        held = [t for t in held if t in value]
-        free = best(set(value) - set(held))
-        held, free = held + free[: 4 - len(held)], free[4 - len(held) :]
-        while free:
-            worst = best(held)[-1]
-            gain = round(value[free[0]] - value[worst], 12)
-            if gain <= 0 or gain <= round(cost[free[0]] + cost[worst], 12):
-                break
-            held = [t for t in held if t != worst] + [free.pop(0)]
-        want |= {(d, t) for t in held}
-    assert {(x.d, x.ticker) for x in stateful.swap_if_pays(df, 4).collect()} == want
-    assert stateful.swap_rows(df, 4).count() < len(rows) / 2
-
-
-def test_chain(spark):
-    rows = [("INE000101011", 1, 5), ("INE000101029", 4, 6), ("INE000101037", 6, 9), ("INE999901011", 1, 2)]
-    got = dict(map(tuple, stateful.chained_ids(spark.createDataFrame(rows, "isin string, first int, last int")).collect()))
-    assert got == {"INE000101011": "INE000101011", "INE000101029": "INE000101029", "INE000101037": "INE000101011", "INE999901011": "INE999901011"}
-
-
-def test_deflated_sharpe_of_one_trial_is_plain(spark):
-    rows = [(s, (k % 7 - 2.8) / 100 * (1 + len(s))) for s in ("a", "bb") for k in range(200)]
-    got = stateful.deflated_sharpe(spark.createDataFrame(rows, "strategy string, ret double"), 1).collect()
-    assert all(abs(r.psr - r.dsr) < 1e-12 for r in got)
-
-
-def test_future_does_not_reach_the_scores(spark):
-    import random
-
-    r = random.Random(4)
-    rows = [(d, t, r.random(), r.random()) for d in range(60) for t in range(12)]
-    rows = [(d, t, x, 0.5 * x + 0.1 * y) for d, t, x, y in rows]
-    df = spark.createDataFrame(rows, "d int, ticker int, x double, y double")
-    base = {(g.d, g.ticker): g.score for g in stateful.walk_forward(df, ["x"], "y", train=20, test=10, rounds=20).collect()}
-    later = spark.createDataFrame([(d, t, x, y if d < 40 else -y) for d, t, x, y in rows], df.schema)
-    other = {(g.d, g.ticker): g.score for g in stateful.walk_forward(later, ["x"], "y", train=20, test=10, rounds=20).collect()}
-    assert all(other[k] == v for k, v in base.items() if k[0] < 40) and any(other[k] != v for k, v in base.items() if k[0] >= 50)
-    assert {k[0] for k in base} == set(range(20, 60))
-
-
-def test_streamed_bars(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from tessera.streaming.bars import streamed_bars
-
-    rows = [(k, datetime.datetime(2024, 1, 1, 9, 15) + datetime.timedelta(minutes=7 * k), "a" if k % 2 else "b", float(k % 5)) for k in range(60)]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, ticker string, px double").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("event_id long, ts timestamp, ticker string, px double").parquet(f"{tmp_path}/in")
-    q = streamed_bars(stream).writeStream.outputMode("append").format("memory").queryName("bars").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.sql("select * from bars")
-    assert got.count() > 5 and got.where(F.minute("window.start") % 30 != 15).count() == 0
-
-
-def test_archives(spark, tmp_path):
-    import zipfile
-
-    from tessera.sources import bars
-
-    def put(name, text):
-        with zipfile.ZipFile(tmp_path / name, "w") as z:
-            z.writestr("x.csv", text)
-
-    head = "SYMBOL,SERIES,OPEN,HIGH,LOW,LAST,CLOSE,TOTTRDQTY,TOTTRDVAL,ISIN"
-    put("cm02JAN2024bhav.csv.zip", f"{head}\nAAA,EQ,1,2,1,2,1.5,10,15,INE001A01011\nBBB,EQ,1,2,1,0,1,1,1,INE002A01019\nCCC,GB,1,1,1,1,1,1,1,INE003A01017\nDDD,EQ,1,1,1,1,1,1,1,INE004A02015\n")
-    (tmp_path / "broken.zip").write_bytes(b"no zip")
-    got = bars.exchange_archives(spark, str(tmp_path), None).collect()
-    assert [(r.symbol, str(r.d), r.close, r.close_vwap) for r in got] == [("AAA", "2024-01-02", 2.0, 1.5)]
-    (tmp_path / "csv").mkdir()
-    (tmp_path / "csv" / "AAA_15m.csv").write_text("timestamp,open,high,low,close,volume\n2024-01-01 09:15:00,1,2,1,x,5\n2024-01-01 09:30:00,1,2,1,1.5,5\n2024-01-01 09:30:00,1,2,1,1.7,6\n")
-    assert [(r.ticker, r.close) for r in bars.symbol_csv(spark, str(tmp_path / "csv")).collect()] == [("AAA", 1.7)]
+@pytest.mark.parametrize("name", ["execute_dynamic_tilt", "feature_matrix", "liquidity_panels"])
+def test_no_product_of_tables(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
