@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, as_bytes, chunk_rows, forget, fresh, materialize, mix, quoted, sum_chunks, window_hashes, word_hashes
-from .components import connected_components
+from .components import connected_components, merge_components
 
 COUNTERS = 1 << 22
 FILTER_BITS = 1 << 24
@@ -346,7 +346,7 @@ def ngram_groups(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100,
         cells = _open_cells(met, large.select("sig", "n", "c", "blk"), labels, block)
         if not cells.isEmpty():
             more = _links(cells, texts, n, num, den)
-            old, labels = labels, connected_components(links.unionByName(more))
+            old, labels = labels, merge_components(labels, more)
             forget(old, more)
         forget(cells)
     forget(met, members, blocks, active, texts, links)
