@@ -457,6 +457,40 @@ def test_components(spark):
     assert all((got[x] == got[y]) == (find(x) == find(y)) for x in nodes[::7] for y in nodes[::5] if x in got and y in got)
 
 
+@pytest.mark.parametrize("held", [40, 1 << 18])
+def test_components_merge_with_new_links(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "_HELD", held)
+    r = random.Random(2)
+    ids = [r.getrandbits(64) - 2**63 for _ in range(500)] + [-(2**63), 2**63 - 1, 0]
+    path, star = list(zip(ids[:200], ids[1:201], strict=True)), [(ids[5], x) for x in ids[250:330]]
+    mixed = [(r.choice(ids), r.choice(ids)) for _ in range(150)]
+
+    def table(edges):
+        return spark.createDataFrame(edges, "a long, b long").repartition(3)
+
+    def groups(pairs):
+        named = {}
+        for node, root in pairs:
+            named.setdefault(root, set()).add(node)
+        assert all(root in nodes for root, nodes in named.items())
+        return sorted(map(sorted, named.values()))
+
+    def brute(edges):
+        of = {x: {x} for e in edges if e[0] != e[1] for x in e}
+        for a, b in edges:
+            if a != b and of[a] is not of[b]:
+                of[a] |= of[b]
+                for x in of[b]:
+                    of[x] = of[a]
+        return sorted({tuple(sorted(g)) for g in of.values()})
+
+    for edges, more in ((path, mixed), (star, path), ([(7, 7)], []), ([], [(1, 2), (3, 3)])):
+        labels = components.connected_components(table(edges))
+        assert list(map(tuple, groups((x.node, x.root) for x in labels.collect()))) == brute(edges)
+        merged = components.merge_components(labels, table(more))
+        assert list(map(tuple, groups((x.node, x.root) for x in merged.collect()))) == brute(edges + more)
+
+
 # 7
 def test_leaks(spark):
     r = random.Random(9)
