@@ -71,12 +71,6 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes], ["doc_id", "source", "size"])
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sizes = pa.array([len(x.split()) for x in as_bytes(b.column(2))], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes], ["doc_id", "source", "size"])
-
-
 def _running(df: DataFrame, key: str, bucket: Column, order: Sequence[str], value: str) -> DataFrame:
     """df with column start: the sum of value over the rows of the same key before this one, by bucket, then order. No task holds more
     than a bucket, or a row for each bucket of a key."""
