@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality_gam, quality_rules, stats, warc
+from . import chat, decontaminate, divergence, langid, line_dedup, mixing, ngram_join, periodic_runs, pii, quality_gam, quality_rules, simhash, stats, warc
+from ._common import WORD
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,9 +89,45 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(docs, quality_gam.fit_quality(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources of each language by how far their terms' shares differ, and the terms that each source uses more than its language;
+    nulls are read as empty."""
+    return divergence.audit_sources(_read(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of documents whose fingerprints differ in two bits or less; a null text has fingerprint zero."""
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: The words of every tenth document, by crc32 of its id, are made periodic from one of them on.
+_PLANTED = f"""
+with w as (select doc_id, text, regexp_extract_all(text, '({WORD})') as words, crc32(cast(doc_id as string)) as h from {{docs}}),
+a as (select *, size(words) as n, h div 10 as g from w),
+b as (select *, cast(g % nullif(n, 0) as int) as a, cast(1 + (n - g % nullif(n, 0)) div (3 + g % 8) as int) as p from a)
+select doc_id, if(h % 10 = 0 and n > 0, array_join(transform(sequence(0, n - 1), i -> words[if(i < a, i, a + (i - a) % p)]), ' '), text) as text from b"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, some of which are made periodic, and digests of the runs and of the text without their later periods; a null
+    text has no words."""
+    planted = spark.sql(_PLANTED.replace("\\", "\\\\"), docs=_read(spark, sf_dir, "documents"))
+    found = periodic_runs.find_runs(planted)
+    better = lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b)
+    first = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    best = found.withColumn("best", first)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        digest(listed).alias("runs_sha256"), digest("collapsed").alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_source_mixing, op3_line_dedup, op4_language_mixture, op5_pii_spans, op6_ngram_jaccard_join,
-    op7_benchmark_decontamination, op8_warc_index, op9_quality_rules, op10_quality_classifier,
+    op7_benchmark_decontamination, op8_warc_index, op9_quality_rules, op10_quality_classifier, op11_source_divergence, op12_simhash, op13_periodic_runs,
 )}
 
 
@@ -101,6 +138,7 @@ def _escaped(c: str) -> str:
     return out
 
 
+_UPPER = "".join(map(chr, range(65, 91)))
 _OTHER = sum(map(len, chat.INSTRUCT.other))
 _MARKS = " ".join(f"when '{r}' then {len(a) + len(b)}" for r, (a, b) in chat.INSTRUCT.turns.items())
 
@@ -138,4 +176,38 @@ q as (select *, strlen(html) as n, sha256(html) as digest from p),
 r as (select *, case when n >= 100 then min(page_id) over (partition by digest) end as first from q)
 select page_id, n as payload_bytes, digest as payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
   case when first <> page_id then first end as refers_to, url from r""",
+    "op11_source_divergence": rf"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select rid, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as m from t group by all having count(distinct rid) >= {divergence.LEAST}),
+v as (select lang, count(*) as v, sum(m)::bigint as total from k group by all),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by all),
+s as (select lang, source, sum(n)::bigint as total from c group by all),
+g as (select distinct lang, source from d),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + v.v) as p, 1 + 1000000000 * (k.m + 1) // (v.total + v.v) as q
+  from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join s on s.lang = g.lang and s.source = g.source),
+x as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(x.value, 0) as value from g join g h on g.lang = h.lang and g.source <> h.source
+    left join x on x.lang = g.lang and x.source = g.source and x.item = h.source
+  union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r)
+select lang, source, part, item, value, cast(rank as integer) as rank from o where part = 'pair' or rank <= {divergence.RANKS}""",
+    "op13_periodic_runs": rf"""
+with tab as (select list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ord(x) as bigint))), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) as h
+  from documents, tab),
+e as (select *, len(words) as n, h // 10 as g, (h // 10) % len(words) as a from d),
+f as (select *, 1 + (n - a) // (3 + g % 8) as p from e),
+w as (select rid, n, unnest(range(n)) as pos, unnest(list_transform(range(n), lambda i: words[1 + case when h % 10 = 0 and i >= a then a + (i - a) % p else i end])) as word from f),
+m as (select x.rid, x.pos, y.pos - x.pos as q from w x join w y on x.rid = y.rid and x.word = y.word and y.pos > x.pos where (y.pos - x.pos) * {periodic_runs.POWER} <= x.n),
+i as (select *, pos - row_number() over (partition by rid, q order by pos) as island from m),
+j as (select rid, q, min(pos) as start, count(*) + q as length from i group by rid, q, island having count(*) + q >= greatest({periodic_runs.LEAST}, {periodic_runs.POWER} * q)),
+r as (select rid, start, length, min(q) as period from j group by all),
+b as (select *, row_number() over (partition by rid order by length / period desc, start, period) as nth from r),
+s as (select rid, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from r group by rid),
+x as (select distinct rid, unnest(range(start + period, start + length)) as pos from r),
+y as (select rid, string_agg(word, ' ' order by pos) as kept from w anti join x using (rid, pos) group by rid)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, length * 1000 // period as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d left join s using (rid) left join y using (rid) left join b on b.rid = d.rid and nth = 1""",
 }
