@@ -13,8 +13,8 @@ from ._common import as_bytes, mix
 
 #: The least length of a run in words, and in periods.
 LEAST, POWER = 24, 3
-#: Words that are searched together; a longer text is searched alone.
-_TOGETHER = 1 << 18
+#: Words that are searched together; a longer text is searched alone. Rows that are taken from a batch at once, and leaves that are visited at once.
+_TOGETHER, _ROWS, _LEAVES = 1 << 16, 128, 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -68,20 +68,24 @@ def _tandem_repeats(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, period) of all branching tandem repeats: s[start : start + period] comes twice and what follows differs from its second first
     element. s ends with an element of its own."""
     order, rank, common = _suffixes(s)
-    t = _smaller_halves(common)
-    sizes = t[:, 4] - t[:, 3] + 1
-    depth, first, last = (np.repeat(t[:, k], sizes) for k in range(3))
-    leaf = order[np.repeat(t[:, 3] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())] if len(t) else depth
-    found = []
-    for sign in (1, -1):
-        other = leaf + sign * depth
-        ok = np.flatnonzero((other >= 0) & (other < len(s)))
-        inside = (rank[other[ok]] >= first[ok]) & (rank[other[ok]] <= last[ok])
-        ok = ok[inside]
-        start = np.minimum(leaf[ok], other[ok])
-        d = depth[ok]
-        branching = s[start + d] != s[np.minimum(start + 2 * d, len(s) - 1)]
-        found.append(np.stack([start[branching], d[branching]]))
+    nodes = _smaller_halves(common)
+    del common
+    sizes = nodes[:, 4] - nodes[:, 3] + 1
+    parts = np.cumsum(sizes) // _LEAVES
+    found = [np.empty((2, 0), np.int64)]
+    for part in np.unique(parts).tolist():
+        low, high = np.searchsorted(parts, [part, part + 1])
+        t, size = nodes[low:high], sizes[low:high]
+        depth, first, last = (np.repeat(t[:, k], size) for k in range(3))
+        leaf = order[np.repeat(t[:, 3] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+        for sign in (1, -1):
+            other = leaf + sign * depth
+            ok = np.flatnonzero((other >= 0) & (other < len(s)))
+            at = rank[other[ok]]
+            ok = ok[(at >= first[ok]) & (at <= last[ok])]
+            start, d = np.minimum(leaf[ok], other[ok]), depth[ok]
+            branching = s[start + d] != s[np.minimum(start + 2 * d, len(s) - 1)]
+            found.append(np.stack([start[branching], d[branching]]))
     both = np.unique(np.concatenate(found, axis=1), axis=1)
     return both[0], both[1]
 
@@ -208,28 +212,31 @@ def find_runs(docs: DataFrame, *, least: int = LEAST, power: int = POWER, id_col
 
     A run is a stretch of words of smallest period q that no word beside it extends, of at least `least` words and `power` periods.
     `collapsed` is the text with its words joined by one space, without the words that any run holds after its first q. Texts are
-    searched in a map without a shuffle, some 262,144 words at once; a longer text alone, in memory proportional to its words
+    searched in a map without a shuffle, some 65,536 words at once; a longer text alone, in memory proportional to its words
     (about 200 bytes for each in a repeated stretch). Null or empty text: no words, no runs, an empty string. Repeated rows are
     searched each; a null id is kept. An empty table gives none; other columns, whatever their names, are ignored.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(ids: list, words: list[list[bytes]]) -> pa.RecordBatch:
-            found = text_runs(words, least, power) if words else []
+            found = text_runs(words, least, power)
             runs = pa.array([[{"start": b, "length": n, "period": d} for b, n, d in x] for x in found], pa.list_(_RUN))
             text = pa.array([collapsed(w, x) for w, x in zip(words, found, strict=True)], pa.binary()).cast(pa.string())
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()), runs, text], ["doc_id", "n_words", "runs", "collapsed"])
 
+        ids, words, size = [], [], 0
         for batch in batches:
-            ids, words, size = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                w = text.split()
-                if words and size + len(w) > _TOGETHER:
-                    yield done(ids, words)
-                    ids, words, size = [], [], 0
-                ids.append(i)
-                words.append(w)
-                size += len(w)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                for i, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
+                    w = text.split()
+                    if words and size + len(w) > _TOGETHER:
+                        yield done(ids, words)
+                        ids, words, size = [], [], 0
+                    ids.append(i)
+                    words.append(w)
+                    size += len(w)
+        if ids:
             yield done(ids, words)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
