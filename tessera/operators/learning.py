@@ -1,89 +1,40 @@
-"""Walk-forward learners: folds are fitted in parallel on bounded samples of binned rows, and scored by Spark."""
+"""Walk-forward learners: the rows of all folds are binned once, and trees and lines are fitted and scored by Spark."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import trees
 from tessera.operators.evaluation import rank_ic
 from tessera.operators.panel import fold_rows
+from tessera.sinks.steps import forget, materialize
 
 LEARNERS = ("boosted", "forest", "ridge")
 
 
-def _boosted(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int, rounds: int, rate: float) -> np.ndarray:
-    """Additions per (feature, bin) of boosted stumps over binned rows."""
-    out = np.zeros((x.shape[1], bins))
-    now = np.zeros(len(y))
-    total = w.sum()
-    for _ in range(rounds):
-        rest, best = (y - now) * w, (1e-15, 0, 0, 0.0, 0.0)
-        for k in range(x.shape[1]):
-            g, n = np.cumsum(np.bincount(x[:, k], rest, bins)), np.cumsum(np.bincount(x[:, k], w, bins))
-            a, b = n[:-1], total - n[:-1]
-            ok = (a > 0) & (b > 0)
-            gain = np.where(ok, g[:-1] ** 2 / np.maximum(a, 1e-12) + (g[-1] - g[:-1]) ** 2 / np.maximum(b, 1e-12), 0)
-            c = int(gain.argmax())
-            if gain[c] > best[0]:
-                best = (gain[c], k, c, g[c] / a[c], (g[-1] - g[c]) / b[c])
-        _, k, c, low, high = best
-        if not best[0] > 1e-15 or (low == 0 and high == 0):
-            break
-        out[k, : c + 1] += rate * low
-        out[k, c + 1 :] += rate * high
-        now += rate * np.where(x[:, k] <= c, low, high)
-    return out
-
-
-def _forest(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int, trees: int, seed: int) -> np.ndarray:
-    """Mean of stumps, each of the best of a random half of the features on a bootstrap of the cells."""
-    rng, out = np.random.default_rng(seed), np.zeros((x.shape[1], bins))
-    for _ in range(trees):
-        cells = rng.poisson(1.0, len(y)) * w
-        pick = rng.permutation(x.shape[1])[: max(1, x.shape[1] // 2)]
-        one = np.zeros_like(out)
-        one[pick] = _boosted(x[:, pick], y, cells, bins, 1, 1.0) if cells.sum() > 0 else 0
-        out += one / trees
-    return out
-
-
-def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int, reg: float = 1.0) -> np.ndarray:
-    """A line through each feature's bins, all fitted together under a penalty."""
-    z = (x + 0.5) / bins * 2 - 1
-    a = (z * w[:, None]).T @ z + reg * np.eye(x.shape[1])
-    beta = np.linalg.solve(a, (z * w[:, None]).T @ y)
-    return beta[:, None] * ((np.arange(bins) + 0.5) / bins * 2 - 1)
-
-
 def walk_forward(
-    panel: DataFrame, features: list[str], label: str, *, train: int = 504, test: int = 63, bins: int = 16, rounds: int = 60, rate: float = 0.1, trees: int = 40, most_rows: int = 20_000, seed: int = 42,
+    panel: DataFrame, features: list[str], label: str, *, train: int = 504, test: int = 63, boosted: trees.Shape = trees.Shape(depth=6, least=20, reg=1.0), rounds: int = 100, rate: float = 0.05,
+    forest: trees.Shape = trees.Shape(depth=15, least=10, columns=0.5), many: int = 100, reg: float = 1.0,
 ) -> DataFrame:
     """fold, d, ticker, one score per learner and their mean, for the test rows of each fold.
 
-    Features are in [-1, 1] and cut into equal bins; a null is in the middle. Each fold learns from its `train` dates before the test
-    block, rows without a label left out, on a sample of at most `most_rows` rows by hash (all of them where there are fewer), so a
-    fold's group stays bounded however many names there are; scoring is a join of the bins with the fold's tables and runs in Spark.
+    Features are in [-1, 1] and cut into equal bins. Each fold learns from all rows with a label of its `train` dates before the test
+    block; its test rows go through the trees with them, without counting. Boosted trees take `rounds` passes of up to `depth` levels each,
+    the forest's `many` trees are grown at once, of rows and features drawn by hash; both as tessera.operators.trees does. A fold without
+    labelled rows scores 0.
     """
-    rows = fold_rows(panel, train, test)
-    cell = lambda c: F.least(F.lit(bins - 1), F.floor((F.coalesce(F.col(c), F.lit(0.0)) + 1) / 2 * bins)).cast("int")
-    binned = rows.select("fold", "is_train", "d", "ticker", label, F.array(*[cell(c) for c in features]).alias("x"))
-    learn = binned.where(F.col("is_train") & F.col(label).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64("d", "ticker"), "d", "ticker")))
-    learn = learn.where(F.col("_n") <= most_rows).select("fold", "d", "ticker", F.col(label).alias("y"), "x")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", "ticker"])
-        x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float)
-        mean, w = y.mean(), np.ones(len(y))
-        fold = int(pdf["fold"].iloc[0])
-        tables = (_boosted(x, y - mean, w, bins, rounds, rate), _forest(x, y - mean, w, bins, trees, seed + fold), _ridge(x, y - mean, w, bins))
-        return pd.DataFrame([(fold, float(mean), *[t.ravel().tolist() for t in tables])], columns=["fold", "mean", *LEARNERS])
-
-    models = learn.groupBy("fold").applyInPandas(fit, "fold long, mean double, " + ", ".join(f"{k} array<double>" for k in LEARNERS))
-    ahead = binned.where(~F.col("is_train")).join(models, "fold")
-    score = lambda k: F.col("mean") + F.aggregate(F.transform("x", lambda v, j: F.get(F.col(k), j * bins + v)), F.lit(0.0), lambda a, b: a + b)
-    scored = ahead.select("fold", "d", "ticker", *[score(k).alias(k) for k in LEARNERS])
+    width, bins = len(features), boosted.bins
+    rows = fold_rows(panel, train, test).select("fold", "is_train", "d", "ticker", F.col(label).cast("double").alias("y"), trees.binned(features, bins).alias("x"))
+    counts = F.col("is_train") & F.col("y").isNotNull()
+    rows = rows.where(~F.col("is_train") | counts).select("fold", "d", "ticker", F.when(counts, F.col("y")).alias("y"), counts.cast("long").alias("w"), "x")
+    rows = materialize(rows, "folds")
+    one = trees.boost(rows, boosted, width, rounds=rounds, rate=rate)
+    two = trees.forest(rows, trees.Shape(**(vars(forest) | {"bins": bins})), width, trees=many, key=["d", "ticker"])
+    weights = materialize(trees.ridge(rows, boosted, width, reg=reg), "lines")
+    ahead = one.where("w = 0").select("fold", "d", "ticker", "x", F.col("pred").alias("boosted")).join(two.withColumnRenamed("pred", "forest"), ["fold", "d", "ticker"]).join(weights, "fold", "left")
+    scored = ahead.select("fold", "d", "ticker", "boosted", "forest", F.coalesce(trees.line("weights", "x", bins), F.lit(0.0)).alias("ridge"))
+    forget(rows)
     return scored.withColumn("score", sum((F.col(k) for k in LEARNERS[1:]), F.col(LEARNERS[0])) / len(LEARNERS))
 
 
@@ -92,5 +43,3 @@ def learner_ics(scored: DataFrame, labels: DataFrame) -> DataFrame:
     rows = scored.join(labels, ["ticker", "d"]).unpivot(["d", "ticker", "fwd"], [*LEARNERS, "score"], "model", "value")
     ics = rank_ic(rows.withColumn("score", F.round("value", 9)), "model", "d")
     return ics.groupBy("model").agg(F.avg("ic").alias("mean"), F.count("ic").alias("n"))
-
-

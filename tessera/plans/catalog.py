@@ -424,16 +424,19 @@ def tilt_table(wk: DataFrame) -> DataFrame:
 LEARNED = feats.Horizons(momenta=(1, 5, 20), averages=(20,), vols=(20,), year=52, targets=(1, 5))
 
 
+def learned(matrix: DataFrame) -> DataFrame:
+    return learning.walk_forward(matrix, LEARNED.features, "fwd_1", train=104, test=26, rounds=4, rate=0.3, many=6)
+
+
 @query("wk")
 def walk_forward_alpha(wk: DataFrame) -> DataFrame:
-    return learning.walk_forward(feats.feature_matrix(wk, LEARNED), LEARNED.features, "fwd_1", train=104, test=26)
+    return learned(feats.feature_matrix(wk, LEARNED))
 
 
 @query("wk")
 def learner_ics(wk: DataFrame) -> DataFrame:
     matrix = feats.feature_matrix(wk, LEARNED)
-    scores = learning.walk_forward(matrix, LEARNED.features, "fwd_1", train=104, test=26)
-    return learning.learner_ics(scores, matrix.select("ticker", "d", F.col("fwd_1").alias("fwd")))
+    return learning.learner_ics(learned(matrix), matrix.select("ticker", "d", F.col("fwd_1").alias("fwd")))
 
 
 @query("wx")

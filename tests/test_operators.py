@@ -9,7 +9,7 @@ from statistics import NormalDist
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import attribution, buffers, corporate, evaluation, features, learning, panel, portfolio, regime
+from tessera.operators import attribution, buffers, corporate, evaluation, features, learning, panel, portfolio, regime, trees
 from tessera.sinks import tables
 from tessera.sources import files
 
@@ -121,17 +121,20 @@ def test_psr_and_dsr(spark):
     assert evaluation.probabilistic_sharpe(at, 300, 0.0, 3.0, 0.05) == pytest.approx(0.95)
 
 
+SHALLOW = {"boosted": trees.Shape(depth=4, least=2), "forest": trees.Shape(depth=4, least=2)}
+
+
 def test_future_does_not_reach_the_scores(spark):
     r = random.Random(4)
     rows = [(day(d), f"n{t}", x, 0.5 * x + 0.1 * r.random()) for d in range(60) for t in range(12) for x in [2 * r.random() - 1]]
     df = spark.createDataFrame(rows, "d date, ticker string, x double, y double")
-    score = lambda frame: {(g.d, g.ticker): g.score for g in learning.walk_forward(frame, ["x"], "y", train=20, test=10, rounds=20).collect()}
+    score = lambda frame: {(g.d, g.ticker): g.score for g in learning.walk_forward(frame, ["x"], "y", train=20, test=10, rounds=3, rate=0.5, many=3, **SHALLOW).collect()}
     base = score(df)
     other = score(df.withColumn("y", F.when(F.col("d") < day(40), F.col("y")).otherwise(-F.col("y"))))
     assert all(other[k] == v for k, v in base.items() if k[0] < day(40)) and any(other[k] != v for k, v in base.items() if k[0] >= day(50))
     assert {k[0] for k in base} == {day(k) for k in range(20, 60)}
     labels = df.select("d", "ticker", F.col("y").alias("fwd"))
-    ic = {g.model: g.mean for g in learning.learner_ics(learning.walk_forward(df, ["x"], "y", train=20, test=10), labels).collect()}
+    ic = {g.model: g.mean for g in learning.learner_ics(learning.walk_forward(df, ["x"], "y", train=20, test=10, rounds=3, rate=0.5, many=3, **SHALLOW), labels).collect()}
     assert min(ic.values()) > 0.8
 
 
