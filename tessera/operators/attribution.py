@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import average_rank, by_name, r6
 from tessera.operators.evaluation import rank_ic, sharpe
+from tessera.operators.quantiles import exact_quantiles
+from tessera.sinks.steps import materialize
 
 
 def _dates() -> WindowSpec:
@@ -40,17 +41,17 @@ def swap_pairs(held: DataFrame, scored: DataFrame, gate: DataFrame, costs: DataF
     return pairs.select("d", "k", (sign * (F.col("zi") - F.col("zo"))).alias("z_gap"), (sign * (F.col("ri") - F.col("ro"))).alias("realised_gap"), ((F.col("ci") + F.col("co")) / 1e4).alias("roundtrip_cost"))
 
 
-def quantile_cut(column: str, edges: DataFrame, k: int) -> Column:
-    """Bucket 1..k of equal population: the first whose upper edge the value doesn't pass. edges: one row with an array."""
-    e = edges.scalar()
-    return sum(((F.col(column) > F.get(e, F.lit(j))).cast("int") for j in range(1, k)), F.lit(1))
+def quantile_cut(column: str, edges: list[float], k: int) -> Column:
+    """Bucket 1..k of equal population: the first whose upper edge the value doesn't pass."""
+    return sum(((F.col(column) > e).cast("int") for e in edges), F.lit(1))
 
 
 def swap_rollup(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """By fifth of z_gap, and over all (bucket 0): swaps, mean gaps and cost, share that paid, mean net. Pairs are kept, since the edges of
+    """By fifth of z_gap, and over all (bucket 0): swaps, mean gaps and cost, share that paid, mean net. Pairs are written, since the edges of
     the fifths read them first."""
-    clean = pairs.dropna().withColumns({"z": F.round("z_gap", 9), "net": F.col("realised_gap") - F.col("roundtrip_cost")}).persist(StorageLevel.DISK_ONLY)
-    edges = clean.agg(F.percentile("z", F.array(*[F.lit(j / k) for j in range(k + 1)])))
+    clean = pairs.dropna().withColumns({"z": F.round("z_gap", 9), "net": F.col("realised_gap") - F.col("roundtrip_cost")})
+    clean = materialize(clean, "swaps")
+    edges = [x["value"] for x in exact_quantiles(clean, {"z": F.col("z")}, [j / k for j in range(1, k)]).orderBy("q").collect()]  # k - 1 numbers
     rows = clean.withColumn("bucket", quantile_cut("z", edges, k))
     return rows.rollup("bucket").agg(
         F.count("*").alias("n"), F.avg("z_gap").alias("z_gap"), F.avg("realised_gap").alias("realised_gap"), F.avg("roundtrip_cost").alias("roundtrip_cost"),

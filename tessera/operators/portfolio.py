@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import bucket, by_name, first_rank, median
 from tessera.operators.panel import next_known
+from tessera.operators.quantiles import exact_quantiles
 
 STYLES = ("long_only", "long_short", "dynamic_tilt")
 _BORROWABLE = "_slb"
@@ -145,8 +146,8 @@ def gap_filled(rows: DataFrame, columns: list[str], *, whole: bool = True) -> Da
     date = Window.partitionBy("d")
     if not whole:
         return rows.withColumns({c: F.coalesce(c, median(c).over(date)) for c in columns})
-    all_ = rows.agg(F.struct(*[median(c).alias(c) for c in columns])).scalar()  # one row, computed once for all columns
-    return rows.withColumns({c: F.coalesce(F.col(c), median(c).over(date), all_[c]) for c in columns})
+    all_ = {x["name"]: x["value"] for x in exact_quantiles(rows, {c: F.col(c) for c in columns}, [0.5]).collect()}  # a number for each column
+    return rows.withColumns({c: F.coalesce(F.col(c), median(c).over(date), F.lit(all_.get(c)).cast("double")) for c in columns})
 
 
 def name_costs(rows: DataFrame, costs: Costs, *, amount: str = "dw", spread: str = "cs") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import by_name, expanding_z
 from tessera.operators.panel import densify
+from tessera.operators.quantiles import gate
+
 
 def _dates() -> WindowSpec:
     """Along a series of one row per date: that all of it is in one task is no matter."""
@@ -57,9 +59,7 @@ def panic_gate(inputs: DataFrame, *, least: int = 252, quantile: float = 0.85) -
     """d, stress, panic: stress is the mean of the two axes of risk, volatility and correlation; panic where it is above the quantile of
     all stress up to that date, of `least` dates at least."""
     stress = standardised(inputs, least).select("d", ((F.col("log_vol") + F.col("avg_corr")) / 2).alias("stress"))
-    so_far = _dates().rowsBetween(Window.unboundedPreceding, 0)
-    edge = F.when(F.count("stress").over(so_far) >= least, F.percentile("stress", F.lit(quantile)).over(so_far))
-    return stress.select("d", "stress", F.coalesce(F.round("stress", 9) > F.round(edge, 9), F.lit(False)).alias("panic"))
+    return gate(stress, "stress", quantile, least).select("d", "stress", "panic")
 
 
 def known_before(gate: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import bucket, by_name, median, trailing
 from tessera.operators.panel import calendar, densify, last_known
+from tessera.operators.quantiles import exact_quantiles, spread_out
+from tessera.sinks.steps import materialize
 
 
 def selections(bars: DataFrame, *, top: int = 500, lookback: int = 252, every: int = 63, least: int = 200) -> DataFrame:
@@ -79,9 +81,11 @@ def spread_by_bucket(panel: DataFrame, k: int = 5) -> DataFrame:
     """Spreads pooled by bucket of turnover within the date (1: the largest), and over all (bucket 0)."""
     rows = panel.where("cs is not null and turnover is not null").withColumn("turnover", F.round("turnover", 6))
     rows = rows.select("cs", bucket("turnover", k, "d", descending=True).alias("q"))
-    return rows.rollup("q").agg(
-        F.count("*").alias("n"), F.avg("cs").alias("mean_cs"), median("cs").alias("median_cs"), F.avg((F.col("cs") == 0).cast("double")).alias("zero_share")
-    ).withColumn("q", F.coalesce("q", F.lit(0)))
+    rows = materialize(rows, "spread-buckets")
+    both = rows.select("cs", F.explode(F.array("q", F.lit(0).cast("long"))).alias("fifth"))
+    middle = spread_out(exact_quantiles(both, {"cs": F.col("cs")}, [0.5], "fifth"), "fifth", names={"median_cs": ("cs", 0.5)}).withColumnRenamed("fifth", "q")
+    out = rows.rollup("q").agg(F.count("*").alias("n"), F.avg("cs").alias("mean_cs"), F.avg((F.col("cs") == 0).cast("double")).alias("zero_share"))
+    return out.withColumn("q", F.coalesce("q", F.lit(0).cast("long"))).join(middle, "q", "left").select("q", "n", "mean_cs", "median_cs", "zero_share")
 
 
 def monotone(buckets: DataFrame, value: str) -> DataFrame:
@@ -107,24 +111,33 @@ def rank_curve(bars: DataFrame) -> DataFrame:
 
 def capacity(bars: DataFrame, sizes: list[tuple[float, int]], ceiling: float = 0.1) -> DataFrame:
     """Participation of an equal-weight book in the n largest names, for each (size, n); feasible where the median is under the ceiling."""
-    grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("aum"), F.lit(n).cast("long").alias("n")) for a, n in sizes]))
-    rows = ranked_turnover(bars).select("k", "turnover", grid.alias("g")).where("k <= g.n").select("g.*", "turnover")
-    part = F.col("aum") / F.col("n") / F.col("turnover")
-    return rows.groupBy("aum", "n").agg(median(part).alias("participation"), F.count("*").alias("bars")).withColumn("feasible", F.round("participation", 9) <= ceiling)
+    rows = ranked_turnover(bars).where(F.col("k") <= max(n for _, n in sizes))
+    within = F.explode(F.array(*[F.lit(n).cast("long") for n in sorted({n for _, n in sizes})])).alias("top")
+    rows = rows.select("k", "turnover", within).where("k <= top and turnover > 0")
+    # a participation is a unit one times the size, and so are its quantiles
+    unit = exact_quantiles(rows, {"unit": 1.0 / F.col("top") / F.col("turnover")}, [0.5], "top")
+    grid = bars.sparkSession.createDataFrame([(float(a), n) for a, n in sizes], "aum double, top long")
+    out = grid.join(unit, "top").select("aum", F.col("top").alias("n"), (F.col("aum") * F.col("value")).alias("participation"), F.col("n").alias("bars"))
+    return out.withColumn("feasible", F.round("participation", 9) <= ceiling)
 
 
 def capacity_curve(panel: DataFrame, sizes: list[float], *, names: int, share: float = 0.1, ceiling: float = 0.1, coef: float = 0.5, least: int = 50) -> DataFrame:
     """For each size of the book: position, participation at three quantiles, share of bars beyond the ceiling, impact, and the largest
     number of names of which the last one's median turnover still carries its position; 0 if none from `least` on does."""
     book = max(1, round(share * names))
-    aum = F.explode(F.array(*[F.lit(float(a)) for a in sizes])).alias("aum")
-    rows = panel.where("turnover > 0 and sigma is not null").select("turnover", "sigma", aum).withColumn("part", F.col("aum") / book / F.col("turnover"))
-    rows = rows.withColumn("impact", 1e4 * coef * F.col("sigma") * F.sqrt("part"))
-    out = rows.groupBy("aum").agg(
-        median("part").alias("part_median"), F.percentile("part", F.lit(0.9)).alias("part_p90"), F.percentile("part", F.lit(0.99)).alias("part_p99"),
-        F.avg((F.round("part", 12) > ceiling).cast("double")).alias("over_ceiling"), median("impact").alias("impact_median"), F.avg("impact").alias("impact_mean"),
-    )
-    curve = rank_curve(panel.where("turnover > 0")).select("k", "median_turnover", aum).where(F.col("k") >= least)
+    rows = panel.where("turnover > 0 and sigma is not null").select((1.0 / book / F.col("turnover")).alias("unit"), "sigma")
+    rows = materialize(rows.withColumn("impact", 1e4 * coef * F.col("sigma") * F.sqrt("unit")), "capacity")
+    # participation grows with the size and impact with its root, and so do their quantiles and means: one pass serves all sizes
+    names_of = {"part_median": ("unit", 0.5), "part_p90": ("unit", 0.9), "part_p99": ("unit", 0.99), "impact_median": ("impact", 0.5)}
+    at_one = spread_out(exact_quantiles(rows, {"unit": F.col("unit"), "impact": F.col("impact")}, [0.5, 0.9, 0.99]).where("name = 'unit' or q = 0.5"), names=names_of)
+    over = [F.avg((F.round(float(a) * F.col("unit"), 12) > ceiling).cast("double")) for a in sizes]
+    means = rows.agg(F.avg("impact").alias("impact_mean"), F.array(*[F.struct(F.lit(float(a)).alias("aum"), o.alias("over_ceiling")) for a, o in zip(sizes, over, strict=True)]).alias("s"))
+    both = means.crossJoin(F.broadcast(at_one)).select("*", F.explode("s").alias("x"))  # a row each
+    size = F.col("x.aum")
+    out = both.select(
+        size.alias("aum"), *[(size * F.col(c)).alias(c) for c in ("part_median", "part_p90", "part_p99")], "x.over_ceiling", (F.sqrt(size) * F.col("impact_median")).alias("impact_median"), (F.sqrt(size) * F.col("impact_mean")).alias("impact_mean")
+    )
+    curve = rank_curve(panel.where("turnover > 0")).select("k", "median_turnover", F.explode(F.array(*[F.lit(float(a)) for a in sizes])).alias("aum")).where(F.col("k") >= least)
     held = F.greatest(F.lit(1.0), F.bround(F.col("k") * share, 0))  # halves to the even side
     fits = F.round(F.col("aum") / held / F.col("median_turnover"), 12) <= ceiling
     most = curve.groupBy("aum").agg(F.coalesce(F.max(F.when(fits, F.col("k"))), F.lit(0)).alias("max_names"))

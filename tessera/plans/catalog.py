@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import by_name, expanding_z, r6, trailing
-from tessera.operators import attribution, buffers, corporate, evaluation, learning, panel, portfolio, regime, shorting, universe
+from tessera.operators import attribution, buffers, corporate, evaluation, learning, panel, portfolio, quantiles, regime, shorting, universe
 from tessera.operators import features as feats
 from tessera.plans.oracles import ORACLES
 from tessera.sources.bars import stored
@@ -117,6 +117,14 @@ query("wk", name="capacity_sweep")(lambda wk: six(universe.capacity(wk, [(1e5, 5
 query("wx", name="capacity_curve")(lambda wx: six(universe.capacity_curve(universe.liquidity(panel.densify(wx)), [1e4, 1e5, 1e6], names=25, share=0.2, least=5), "aum"))
 
 
+@query("tk")
+def gate_by_series(tk: DataFrame) -> DataFrame:
+    """Each name's quarter hours with a range beyond 0.85 of all of its ranges so far."""
+    bars = panel.resample(tk, 15).withColumn("range", F.round(F.col("high") / F.col("low") - 1, 9))
+    bars = bars.withColumn("at", F.unix_date("d") * 1000 + F.col("bin"))
+    return six(quantiles.gate(bars, "range", 0.85, 20, "ticker", order="at").select("ticker", "d", "bin", "range", "edge", "panic"))
+
+
 # ---- scores and books ----
 def scored(bars: DataFrame) -> DataFrame:
     """Five-week momentum and the next week's return on the dense panel."""

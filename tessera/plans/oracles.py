@@ -287,6 +287,9 @@ ORACLES: dict[str, str] = {
     "resample_30m": f"with {TK} {resample(30)}",
     "resample_60m": f"with {TK} {resample(60)}",
     "bars_per_day": f"with {TK}, b as ({resample(30)}), c as (select ticker, d, count(*) as n from b group by all) select ticker, quantile_cont(n, 0.5) as median_bars, max(n) as max_bars from c group by ticker",
+    "gate_by_series": f"""with {TK}, b as ({resample(15)}), r as (select ticker, d, bin, round(high / low - 1, 9) as range from b),
+e as (select *, case when count(*) over w >= 20 then quantile_cont(range, 0.85) over w end as edge from r window w as (partition by ticker order by d, bin rows between unbounded preceding and current row))
+select ticker, d, bin, round(range, 6) + 0.0 as range, round(edge, 6) + 0.0 as edge, coalesce(round(range, 9) > round(edge, 9), false) as panic from e""",
     "dedup_keep_last": f"with {TK} select ticker, event_id, px from tk qualify row_number() over (partition by ticker, date_trunc('minute', ts) order by event_id desc) = 1",
     "dedup_keep_first": f"with {TK} select ticker, event_id, px from tk qualify row_number() over (partition by ticker, date_trunc('minute', ts) order by event_id) = 1",
     "fill_within_name": f"""with {WX}, {grid('wx')} select ticker, d, last_value(close ignore nulls) over (partition by ticker order by d) as filled,
