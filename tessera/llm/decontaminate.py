@@ -54,9 +54,11 @@ class Items:
     vocabulary: dict[str, int]
     seeds: dict[tuple[int, ...], list[tuple[int, int]]]
     n: int
+    whole: dict[tuple[int, ...], list[int]]  # items that are too short for an alignment, by all of their words
     keys: np.ndarray = field(init=False)
-    owners: list[list[tuple[int, int]]] = field(init=False)
     pairs: list[np.ndarray] = field(init=False)
+    seed_offsets: np.ndarray = field(init=False)  # for each key, where its seeds' items and places in them are
+    pair_offsets: np.ndarray = field(init=False)  # for each key, where the items that hold the pair are, as often as they do
 
     def __post_init__(self) -> None:
         size = np.uint64(len(self.vocabulary) + 2)
@@ -64,8 +66,22 @@ class Items:
         for s, where in self.seeds.items():
             code.setdefault(int(self.pack(np.array(s, np.int64), size)[0]), []).extend(where)
         self.keys = np.array(sorted(code), np.uint64)
-        self.owners = [code[int(k)] for k in self.keys]
+        owners = [code[int(k)] for k in self.keys]
+        self.seed_offsets = np.cumsum([0, *map(len, owners)])
+        self.seed_items, self.seed_at = (np.array([x[j] for o in owners for x in o], np.int64) for j in (0, 1))
         self.pairs = [np.searchsorted(self.keys, self.pack(w)) for w in self.words]  # every pair of an item has its key, seed or not
+        flat = np.concatenate([*self.pairs, np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.pair_items = np.repeat(np.arange(len(self.words)), [len(x) for x in self.pairs])[order]
+        self.pair_offsets = np.searchsorted(flat[order], np.arange(len(self.keys) + 1))
+        self.longest_whole = max(map(len, self.whole), default=-1)
+        self._needed: dict[float, np.ndarray] = {}
+
+    def needed(self, least: float) -> np.ndarray:
+        """How many of its pairs each item shares at least with an alignment that scores `least`."""
+        if least not in self._needed:
+            self._needed[least] = np.array([_pairs_needed(len(w), least) for w in self.words], np.int64)
+        return self._needed[least]
 
     def pack(self, numbers: np.ndarray, size: np.uint64 | None = None) -> np.ndarray:
         size = size or np.uint64(len(self.vocabulary) + 2)
@@ -93,17 +109,19 @@ class Items:
 
 def _items(rows: list, n: int) -> Items:
     vocabulary: dict[str, int] = {}
-    ids, words, seeds = [], [], {}
+    ids, words, seeds, whole = [], [], {}, {}
     for item_id, text in rows:
         w = words_of(text)
         if len(w) < max(n, SEED):
+            if w:
+                whole.setdefault(tuple(vocabulary.setdefault(x, len(vocabulary)) for x in w), []).append(item_id)
             continue
         k = len(ids)
         ids.append(item_id)
         words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64))
         for p in range(len(w) - SEED + 1):
             seeds.setdefault(tuple(words[-1][p : p + SEED].tolist()), []).append((k, p))
-    return Items(ids, words, vocabulary, seeds, SEED)
+    return Items(ids, words, vocabulary, seeds, SEED, whole)
 
 
 def _pairs_needed(words: int, least: float) -> int:
@@ -123,7 +141,7 @@ def _rare(items: Items, counts: dict[int, int], least: float) -> Items:
     for k, options in at.items():
         for _, _, s, p in sorted(options)[: max(1, len(options) - _pairs_needed(len(items.words[k]), least) + 1)]:
             chosen[s].append((k, p))
-    return Items(items.ids, items.words, items.vocabulary, chosen, items.n)
+    return Items(items.ids, items.words, items.vocabulary, chosen, items.n, items.whole)
 
 
 def find_leaks(
@@ -136,7 +154,8 @@ def find_leaks(
     documents that hold them, and as many as it takes to meet every such alignment (of items for which `least` is more than one word).
     Around seeds on near diagonals (within slack, or the gaps such an alignment can hold) the document's passage is aligned to the whole item; the score is
     the alignment's (1 an equal word, -1 a wrong one or a gap) by the item's words; start and end number the passage's words.
-    An item of fewer than n words, or null text, matches nothing. Repeated rows are searched each; an empty table, or benchmark, gives
+    An item of fewer than n words is found only as the whole of a document's words; one without words, or of null text, nowhere. A text is
+    searched whole, in memory of some 30 bytes a word and 40 for each seed of an item that it shares enough with. Repeated rows are searched each; an empty table, or benchmark, gives
     none; other columns, whatever their names, are ignored.
 
     The items are held in each task. A benchmark of more than slice_chars characters is dealt with in slices of about that size,
@@ -202,30 +221,39 @@ def _chosen(texts: DataFrame, items: Items, least: float):
     return spark.sparkContext.broadcast(_rare(items, {int(items.keys[r.seed]): int(r.n) for r in counted}, least))
 
 
+def _expanded(at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the lists `at` (list k: offsets[k] to offsets[k + 1]), and for each which of `at` it is of."""
+    sizes = offsets[at + 1] - offsets[at]
+    of = np.repeat(np.arange(len(at)), sizes)
+    return np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sizes) + np.arange(len(of)), of
+
+
 def _search(items: Items, numbers: np.ndarray, least: float, slack: int) -> list[tuple[int, float, int, int]]:
+    whole = [(i, 1.0, 0, len(numbers)) for i in items.whole.get(tuple(numbers.tolist()), ())] if len(numbers) <= items.longest_whole else []
     where, seed = items.hits(numbers)
-    per: dict[int, set[int]] = {}
-    for w, s in zip(where.tolist(), seed.tolist(), strict=True):
-        for k, p in items.owners[s]:
-            per.setdefault(k, set()).add(w - p)
-    if not per:
-        return []
-    held = np.zeros(len(items.keys), bool)
-    held[seed] = True
+    if not len(where):
+        return whole
+    # the items that share enough of their pairs with the document, all at once
+    held, _ = _expanded(np.unique(seed), items.pair_offsets)
+    candidates, count = np.unique(items.pair_items[held], return_counts=True)
+    candidates = candidates[count >= items.needed(least)[candidates]]
+    if not len(candidates):
+        return whole
+    wanted = np.zeros(len(items.ids), bool)
+    wanted[candidates] = True
+    places, of = _expanded(seed, items.seed_offsets)
+    mine = wanted[items.seed_items[places]]
+    diagonals = np.unique(np.stack([items.seed_items[places[mine]], where[of[mine]] - items.seed_at[places[mine]]]), axis=1)
     out = []
-    for k, starts in sorted(per.items()):
-        needed = _pairs_needed(len(items.words[k]), least)
-        reach = max(slack, math.ceil((1 - least) * len(items.words[k])))  # all gaps that an alignment scoring `least` can hold
-        if held[items.pairs[k]].sum() < needed:
-            continue
+    for k in np.unique(diagonals[0]).tolist():
         item, best = items.words[k], (0.0, 0, 0)
+        needed = int(items.needed(least)[k])
+        reach = max(slack, math.ceil((1 - least) * len(item)))  # all gaps that an alignment scoring `least` can hold
+        starts = diagonals[1, diagonals[0] == k]
         # one passage for each run of near diagonals
-        todo = sorted(starts)
-        while todo:
-            run = [todo.pop(0)]
-            while todo and todo[0] - run[-1] <= reach:
-                run.append(todo.pop(0))
-            lo, hi = max(0, run[0] - reach), min(len(numbers), run[-1] + len(item) + reach)
+        cuts = np.flatnonzero(np.diff(starts) > reach) + 1
+        for first, last in zip(starts[np.concatenate([[0], cuts])].tolist(), starts[np.concatenate([cuts - 1, [len(starts) - 1]])].tolist(), strict=True):
+            lo, hi = max(0, first - reach), min(len(numbers), last + len(item) + reach)
             passage = numbers[lo:hi]
             # what the alignment can reach at most: each pair and each word of the item, if the passage has it at all
             near = seed[slice(*np.searchsorted(where, [lo, hi]))]
@@ -237,4 +265,4 @@ def _search(items: Items, numbers: np.ndarray, least: float, slack: int) -> list
                 best = (score / len(item), lo + end - length, lo + end)
         if best[0] >= least:
             out.append((items.ids[k], *best))
-    return out
+    return whole + out

@@ -29,14 +29,14 @@ class LanguageModel:
     names: tuple[str, ...]
     chance: np.ndarray  # languages x buckets
 
-    def mixture(self, text: str | None, *, rounds: int = 12, penalty: float = 6.0, least: float = 0.02) -> dict[str, float]:
-        """The languages of a text and their shares, and under "" how sure the first one is. Empty without a letter.
+    def mixture(self, text: str | None, *, rounds: int = 12, penalty: float = 6.0, least: float = 0.02) -> tuple[dict[str, float], float]:
+        """The languages of a text and their shares, the largest first, and how sure that one is. None, and 0, without a letter.
 
         Expectation-maximisation over all languages gives an order by share; of the sets of the first one, two, ... with a share
         of `least` or more, refitted, the one with the highest log likelihood less penalty * log(n) per language beyond the first wins.
         """
         if not text or not self.names or not any(map(str.isalpha, text)):
-            return {}
+            return {}, 0.0
         u, c = np.unique(grams(text), return_counts=True)
         p, c = self.chance[:, u], c.astype(float)
         alone = np.log(p) @ c
@@ -55,7 +55,7 @@ class LanguageModel:
         top = best[int(weight.argmax())]
         odds = np.exp(np.clip((alone - alone[top]) / 3, -700, 0))  # neighbouring windows overlap: a third of the evidence
         sure = 1 / (1 + sum(float(odds[k]) for k in range(len(odds)) if k not in best))
-        return {self.names[k]: float(x) for k, x in sorted(zip(best, weight, strict=True), key=lambda y: (-y[1], y[0]))} | {"": sure}
+        return {self.names[k]: float(x) for k, x in sorted(zip(best, weight, strict=True), key=lambda y: (-y[1], y[0]))}, sure
 
     @staticmethod
     def _shares(p: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
@@ -112,8 +112,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            found = [model.mixture(t) for t in b.column(1).to_pylist()]
-            sure = [m.pop("", 0.0) for m in found]
+            both = [model.mixture(t) for t in b.column(1).to_pylist()]
+            found, sure = [m for m, _ in both], [s for _, s in both]
             names = pa.array([next(iter(m), "und") for m in found], pa.string())
             score = pa.array([min(1.0, s * next(iter(m.values()), 0.0)) for m, s in zip(found, sure, strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), names, score, pa.array([list(m.items()) for m in found], pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "languages"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialize, quoted
+from ._common import WORD, forget, materialize, quoted
 
 #: Lines of a window, and the words that fewer lines must have more of to be a window too.
 LINES, PASSAGE = 3, 50
@@ -50,13 +50,43 @@ def _gaps(covered: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _copies(rows: DataFrame, later: DataFrame, near: tuple[int, int, int]) -> DataFrame:
+    """id, th, oid, oth: the documents that are near copies of the one that most of their repeated windows were first seen in.
+
+    near = (n, num, den): den * |A & B| >= num * |A | B| of the sets of n-word shingles of both whole texts, words as runs of other than ASCII
+    space, A-Z lower-cased. Each document is compared with one other, which is joined by its id and hash.
+    """
+    n, num, den = near
+    by = later.groupBy("id", "th", F.col("f.id").alias("oid"), F.col("f.th").alias("oth")).agg(F.count("*").alias("c"))
+    most = by.groupBy("id", "th").agg(F.max_by(F.struct("oid", "oth"), F.struct("c", F.struct("oid", "oth"))).alias("o"))
+    pairs = materialize(most.select("id", "th", "o.*").where(~(F.col("id").eqNullSafe(F.col("oid")) & (F.col("th") == F.col("oth")))), "line-origins")
+    named = pairs.select("id", "th").union(pairs.select("oid", "oth")).distinct()
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+    texts = rows.alias("a").join(named.alias("b"), same("a", "b"), "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
+    upper = "".join(map(chr, range(65, 91)))
+    words = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit(f"({WORD})"))
+    texts = texts.withColumn("w", words).where(F.size("w") > 0)
+    size = F.least(F.size("w"), F.lit(n))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, size))))
+    sets = materialize(texts.select("id", "th", grams.alias("s")), "line-sets")
+    one = pairs.alias("a").join(sets.alias("b"), same("a", "b")).select("a.*", "s")
+    two = sets.select(F.col("id").alias("id2"), F.col("th").alias("th2"), F.col("s").alias("s2"))
+    both = one.join(two, F.col("oid").eqNullSafe(F.col("id2")) & (F.col("oth") == F.col("th2")))
+    shared = F.size(F.array_intersect("s", "s2"))
+    out = materialize(both.where(den * shared >= num * (F.size("s") + F.size("s2") - shared)).select("id", "th", "oid", "oth"), "line-copies")
+    forget(pairs, sets)
+    return out
+
+
+def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAGE, near: tuple[int, int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of the text, and columns n_lines and n_removed (long) after the others.
 
     A window is n consecutive lines that hold a word, or fewer of more than `passage` words together (none if it is None). Of the
     windows that are equal, the first by (id, position) stays; the lines from the first to the last of each later one are removed,
     those of overlapping windows once. The earliest copy of any line is therefore never removed. Blank lines are in no window
-    but go with one that spans them. Null text: kept as null, no lines. Empty text: one line, kept. Rows with equal id and text are
+    but go with one that spans them. With near = (n, num, den), a near copy by that share of n-word shingles of the document that most
+    of its windows were first seen in keeps the windows first seen there, or in another near copy of it: a later join finds the copy whole, while what both
+    repeat of others goes from both. Null text: kept as null, no lines. Empty text: one line, kept. Rows with equal id and text are
     one document, from which the same lines go; null ids come first. An empty table gives none. Columns named n_lines or n_removed
     (in any case) are replaced; all others, whatever their names, are kept as they are.
     """
@@ -70,6 +100,13 @@ def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAG
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     first = materialize(first, "line-firsts")  # so that a hot window's partition of the join can be split
     later = windows.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("f")))
+    if near is not None:
+        later = materialize(later.select("id", "th", "pos", "last", "f"), "line-later")
+        copies = _copies(rows.select("id", "th", text.cast("string").alias("text")), later, near)
+        of = lambda k: copies.select(F.col("id").alias(f"i{k}"), F.col("th").alias(f"t{k}"), F.struct("oid", "oth").alias(f"o{k}"))
+        later = later.join(of(1), F.col("id").eqNullSafe(F.col("i1")) & (F.col("th") == F.col("t1")), "left").join(of(2), F.col("f.id").eqNullSafe(F.col("i2")) & (F.col("f.th") == F.col("t2")), "left")
+        kin = F.struct(F.col("f.id").alias("oid"), F.col("f.th").alias("oth")).eqNullSafe(F.col("o1")) | F.col("o1").eqNullSafe(F.col("o2"))
+        later = later.where(F.col("t1").isNull() | ~kin)
     covered = later.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("r"))
     c, d = covered.alias("c"), rows.alias("d")
     joined = d.join(c, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th")), "left").select("row", "r")

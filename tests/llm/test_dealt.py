@@ -209,7 +209,44 @@ def test_line_dedup_of_two_lines(spark):
     assert sum(g.n_removed for g in line_dedup.dedup_lines(d, passage=None).collect()) == 0
     import corpus_pipeline
 
-    assert {g.doc_id for g in corpus_pipeline.lines(spark, d, "").collect()} == {1, 2, 4, 5, 6}
+    assert {g.doc_id for g in corpus_pipeline.lines(spark, d, "").collect()} == {1, 2, 3, 4, 5, 6}  # 3 copies 1: the join drops it
+    assert {g.doc_id for g in corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, d, ""), "").collect()} == {1, 2, 4, 6}  # 5 is a copy of 4
+
+
+def test_near_copies_keep_the_lines_of_their_original(spark):
+    r = random.Random(31)
+    line = lambda n=12: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    notice = [line() for _ in range(4)]  # boilerplate of many
+    original = [line() for _ in range(30)]
+    rows = [(1, [line() for _ in range(10)] + notice), (2, original + notice)]
+    for k in range(3, 9):  # copies with a word changed in two lines, between boilerplate or without
+        copy = list(original)
+        for at in (k, 2 * k):
+            copy[at] = copy[at].replace(" ", " changed ", 1)
+        rows.append((k, copy + (notice if k % 2 else [])))
+    rows += [(20, [line() for _ in range(10)] + notice), (21, original[:8] + [line() for _ in range(30)]), (22, original), (22, original)]
+    d = docs(spark, [(i, "\n".join(t), "en", "s") for i, t in rows])
+    got = line_dedup.dedup_lines(d, near=(5, 80, 100))
+    assert got.columns == d.columns or set(d.columns) <= set(got.columns)
+    by = {}
+    for g in got.collect():
+        by.setdefault(g.doc_id, []).append(g.text.split("\n"))
+    assert by[2] == [original] and by[22] == [original, original]
+    assert all(set(by[k][0]) >= set(original) - {original[k], original[2 * k]} for k in range(3, 9)) and all(len(by[k][0]) == 30 for k in range(3, 9))
+    assert len(by[1][0]) == 14 and len(by[20][0]) == 10 and len(by[21][0]) == 30  # sharers lose the shared lines
+    import corpus_pipeline
+
+    left = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, d, ""), "")
+    assert sorted(x.doc_id for x in left.collect()) == [1, 2, 20, 21]
+    assert line_dedup.dedup_lines(docs(spark, []), near=(5, 80, 100)).count() == 0
+
+
+def test_near_copies_of_hard_rows(spark):
+    d = docs(spark, rows_of(4, 80))
+    got = {}
+    for x in line_dedup.dedup_lines(d, near=(5, 80, 100)).collect():
+        got.setdefault(x.doc_id, set()).add(x.text)
+    assert {k: len(v) for k, v in got.items()}.keys() == {i for i, *_ in rows_of(4, 80)} and got[900] == {None} and got[901] == {""}
 
 
 # 4
@@ -235,6 +272,16 @@ def test_languages(spark):
     assert langid.predict_languages(d, langid.fit_languages(empty)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_an_empty_name_is_a_language(spark):
+    r = random.Random(5)
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    names = {"": ["the", "with", "that"], "de": ["der", "und", "nicht"]}
+    d = docs(spark, [(k, say(names[la], 20), la, "s") for k in range(40) for la in [("", "de")[k % 2]]] + [(99, "12 !", "", "s")])
+    got = {x.doc_id: x for x in langid.predict_languages(d, langid.fit_languages(d)).collect()}
+    assert all(got[k].lang_pred == ("", "de")[k % 2] and 0.5 < got[k].score <= 1 and set(got[k].languages) == {("", "de")[k % 2]} for k in range(40))
+    assert got[99].lang_pred == "und" and got[99].score == 0
+
+
 def test_languages_by_brute_force(spark):
     import math
 
@@ -537,6 +584,22 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_one_or_two_words(spark):
+    items = [(1, "Forty-two"), (2, "yes"), (3, "!?"), (4, "the quick brown fox jumps")]
+    rows = [(1, "forty two."), (2, "YES"), (3, "yes indeed it is forty two yes"), (4, ""), (5, "!?"), (6, None), (7, "The quick brown fox jumps. yes")]
+    d, bench = docs(spark, [(i, t, "en", "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id, x.score, x.start, x.end) for x in decontaminate.find_leaks(d, bench).collect()} == {(1, 1, 1.0, 0, 2), (2, 2, 1.0, 0, 1), (7, 4, 1.0, 0, 5)}
+    assert {x.doc_id for x in decontaminate.drop_leaks(d, bench).collect()} == {3, 4, 5, 6}
+
+
+def test_leaks_with_a_pair_that_every_item_holds(spark):
+    r = random.Random(8)
+    items = [(k, "of the " + " ".join(f"x{r.randrange(400)}" for _ in range(10))) for k in range(300)]
+    rows = [(k, " ".join([f"y{k}", items[k][1].replace("of the", "in a"), "of the", "end"])) for k in range(0, 300, 7)] + [(1000, "of the " * 200)]
+    d, bench = docs(spark, [(i, t, "en", "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(d, bench).collect()} == brute_leaks(rows, items)
+
+
 def brute_leaks(rows, items):
     """Ids of documents and items whose best local alignment scores half the item's words."""
     found = set()
