@@ -13,6 +13,10 @@ from tessera.llm import decontaminate, line_dedup, mixing, ngram_join, quality_r
 from tessera.llm._common import WORD, forget, materialize, quoted
 
 
+#: What near copies share: 80 of 100 five-word shingles.
+NEAR = (5, 80, 100)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules reject go, with those of no or null text; repeated rows are judged each."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -21,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts, and with them documents that lose lines and are left with fewer words than the base rule of
-    the stage before asks for: what remains of a near copy. Rows that repeat an id and a text lose the same lines; null texts stay."""
-    out = line_dedup.dedup_lines(docs)
+    the stage before asks for. A near copy, by the join's measure, keeps what it repeats of its original: the next stage drops it whole.
+    Rows that repeat an id and a text lose the same lines; null texts stay."""
+    out = line_dedup.dedup_lines(docs, near=NEAR)
     words = F.regexp_count(F.col("text"), F.lit(WORD))
     out = out.where((F.col("n_removed") == 0) | (words >= quality_rules.LEAST_WORDS))
     if "n_chars" in docs.columns:
@@ -33,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 0.8 of their five-word shingles one row stays, that with the smallest id; null and empty
     texts are in no group and stay."""
-    return ngram_join.keep_one_each(docs, ngram_join.ngram_groups(docs, n=5, num=80, den=100))
+    return ngram_join.keep_one_each(docs, ngram_join.ngram_groups(docs, **dict(zip(("n", "num", "den"), NEAR, strict=True))))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
