@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessera.functions import normal
 from tessera.functions.columns import average_rank, bucket
 
 
@@ -138,25 +136,48 @@ def probabilistic_sharpe(sharpe_: float, n: int, skew: float, kurt: float, at: f
     return _NORMAL.cdf((sharpe_ - at) * math.sqrt(n - 1) / dev)
 
 
+def sharpe_chance(ratio: Column, n: Column, skew: Column, kurt: Column, at: Column) -> Column:
+    """Chance that the true ratio is above `at`, as an expression; null with fewer than two returns."""
+    dev = F.sqrt(F.greatest(F.lit(1e-12), 1 - skew * ratio + (kurt - 1) / 4 * ratio * ratio))
+    return F.when(n >= 2, normal.cdf((ratio - at) * F.sqrt(n - 1.0) / dev))
+
+
+def _judged(returns: DataFrame, trials: int, benchmark: float | None) -> DataFrame:
+    """moments with ratio, at (what it is held against: the best of `trials` tries, or the frozen benchmark), skew and kurt, 0 and 3 for a
+    series that is too short or has no spread."""
+    rows = moments(returns)
+    short = (F.col("n") < 3) | F.col("skew").isNull() | F.isnan("skew")
+    euler = 0.5772156649015329
+    best = (1 - euler) * normal.inverse(F.lit(1 - 1 / max(trials, 2))) + euler * normal.inverse(F.lit(1 - 1 / (max(trials, 2) * math.e)))
+    at = F.lit(float(benchmark)) if benchmark is not None else F.col("spread") * best if trials > 1 else F.lit(0.0)
+    return rows.select("strategy", "n", F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(F.lit(0.0)).alias("ratio"), at.alias("at"),
+        F.when(short, F.lit(0.0)).otherwise(F.col("skew")).alias("skew"), F.when(short, F.lit(3.0)).otherwise(F.col("kurt")).alias("kurt"))
+
+
 def deflated_sharpe(returns: DataFrame, trials: int, *, year: float = 252, benchmark: float | None = None) -> DataFrame:
     """Per strategy: yearly Sharpe ratio, its chance of being above 0 (psr) and above the best that `trials` tries give, or a frozen
-    benchmark per period (dsr), the returns that this needs at 95 % (min_track), the best to the worst. One row per strategy reaches
-    Python."""
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                ratio = r.m / r.s if r.s and r.s > 0 else 0.0
-                skew, kurt = (0.0, 3.0) if r.n < 3 or not np.isfinite(r.skew) else (r.skew, r.kurt)
-                at = benchmark if benchmark is not None else expected_best(r.spread, trials)
-                dev2 = max(1e-12, 1 - skew * ratio + (kurt - 1) / 4 * ratio**2)
-                need = 1 + dev2 * (_NORMAL.inv_cdf(0.95) / (ratio - at)) ** 2 if ratio > at else math.inf
-                out.append((r.strategy, r.n, ratio * math.sqrt(year), probabilistic_sharpe(ratio, r.n, skew, kurt, 0.0), probabilistic_sharpe(ratio, r.n, skew, kurt, at), need))
-            yield pd.DataFrame(out, columns=["strategy", "n", "sharpe", "psr", "dsr", "min_track"])
-
-    kind = dict(returns.dtypes)["strategy"]
-    return moments(returns).mapInPandas(judge, f"strategy {kind}, n long, sharpe double, psr double, dsr double, min_track double").orderBy(F.desc("dsr"), "strategy")
+    benchmark per period (dsr), the returns that this needs at 95 % (min_track; infinite where the ratio isn't above), the best to the worst."""
+    rows = _judged(returns, trials, benchmark)
+    ratio, at, n, skew, kurt = (F.col(c) for c in ("ratio", "at", "n", "skew", "kurt"))
+    dev2 = F.greatest(F.lit(1e-12), 1 - skew * ratio + (kurt - 1) / 4 * ratio * ratio)
+    need = F.when(ratio > at, 1 + dev2 * F.pow(normal.inverse(F.lit(0.95)) / (ratio - at), F.lit(2))).otherwise(F.lit(math.inf))
+    out = rows.select("strategy", "n", (ratio * math.sqrt(year)).alias("sharpe"), sharpe_chance(ratio, n, skew, kurt, F.lit(0.0)).alias("psr"), sharpe_chance(ratio, n, skew, kurt, at).alias("dsr"), need.alias("min_track"))
+    return out.orderBy(F.desc("dsr"), "strategy")
+
+
+def required_ratios(returns: DataFrame, trials: int, *, year: float = 252, confidence: float = 0.95, benchmark: float | None = None, rounds: int = 60) -> DataFrame:
+    """strategy, n, sharpe (yearly), required: the yearly ratio at which the chance of being above what `trials` tries give, or a frozen
+    benchmark, is the confidence, for a series as long, skewed and peaked: by bisection of the chance, unrolled over `rounds` halvings."""
+    rows = _judged(returns, trials, benchmark)
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = (s["low"] + s["high"]) / 2
+        enough = sharpe_chance(mid, F.col("n"), F.col("skew"), F.col("kurt"), F.col("at")) >= confidence
+        return F.struct(F.when(enough, s["low"]).otherwise(mid).alias("low"), F.when(enough, mid).otherwise(s["high"]).alias("high"))
+
+    start = F.struct(F.col("at").alias("low"), (F.col("at") + 5.0).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halved, lambda s: (s["low"] + s["high"]) / 2)
+    return rows.select("strategy", "n", (F.col("ratio") * math.sqrt(year)).alias("sharpe"), (F.when(F.col("n") >= 2, found) * math.sqrt(year)).alias("required"))
 
 
 def required_sharpe(n: int, skew: float, kurt: float, at: float, confidence: float = 0.95) -> float:

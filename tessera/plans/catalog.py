@@ -240,12 +240,28 @@ def daily_compounded(tk: DataFrame) -> DataFrame:
     return six(evaluation.to_daily(bars.select(F.col("ticker").alias("strategy"), F.col("d").alias("ts"), ret.alias("ret"))))
 
 
-@query("wx", "wk")
-def psr_dsr(wx: DataFrame, wk: DataFrame) -> DataFrame:
+def books(wx: DataFrame, wk: DataFrame) -> DataFrame:
+    """Returns of three strategies."""
     rows = ledger(wk).select(F.lit("long_short").alias("strategy"), "ret")
     for style in ("long_only", "dynamic_tilt"):
         rows = rows.unionByName(executed(wx, style).select(F.lit(style).alias("strategy"), F.col("net").alias("ret")))
-    return evaluation.deflated_sharpe(rows, 42, year=WEEKS)
+    return rows
+
+
+@query("wx", "wk")
+def psr_dsr(wx: DataFrame, wk: DataFrame) -> DataFrame:
+    return six(evaluation.deflated_sharpe(books(wx, wk), 42, year=WEEKS).withColumn("min_track", F.when(F.col("min_track") < 1e6, F.col("min_track"))))
+
+
+@query("wx", "wk")
+def frozen_benchmark(wx: DataFrame, wk: DataFrame) -> DataFrame:
+    """The strategies against a ratio of 0.05 a week that isn't derived from them."""
+    return six(evaluation.deflated_sharpe(books(wx, wk), 42, year=WEEKS, benchmark=0.05).select("strategy", "n", "sharpe", "psr", "dsr"))
+
+
+@query("wx", "wk")
+def required_ratio(wx: DataFrame, wk: DataFrame) -> DataFrame:
+    return six(evaluation.required_ratios(books(wx, wk), 42, year=WEEKS))
 
 
 # ---- joins along time ----

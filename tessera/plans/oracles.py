@@ -118,7 +118,7 @@ x as (select s.ticker, s.d, s.score, case when s.d = ends.last and ends.last < (
 _MED = "coalesce({t}.{c}, (select quantile_cont(m.{c}, 0.5) from {t} m where m.d = {t}.d), (select quantile_cont({c}, 0.5) from {t})) as {c}"
 
 
-def executed(style: str, restricted: bool = False, cap: float | None = None, aum: float = 1e5) -> str:
+def executed(style: str, restricted: bool = False, cap: float | None = None, aum: float = 1e5, raw: bool = False) -> str:
     calm = {"long_only": "l", "long_short": "l - sh", "dynamic_tilt": "1.3e0 * l - 0.3e0 * sh"}[style]
     panic = "l - sh" if style == "dynamic_tilt" else "0e0"
     fill = ", ".join(_MED.format(t="x", c=c) for c in ("adv", "sigma", "cs"))
@@ -133,6 +133,9 @@ m_{w} as (select *, max(ratio) filter (where held < whole - 1e-12) over (partiti
 k_{w} as (select d, (max(whole) - coalesce(sum(cap) filter (where ratio <= below), 0)) / sum(w) filter (where below is null or ratio > below) as k, max(room) <= max(whole) as fully from m_{w} group by d),
 f_{w} as (select c.* exclude ({w}), case when c.{w} = 0 then 0e0 when k.fully then c.cap_{w} else least(c.cap_{w}, k.k * c.{w}) end as {w} from c_{w} c left join k_{w} k using (d))"""
 
+    shown = ", ".join(["d", *(f"{r6(c)} as {c}" for c in ("gross", "turnover", "trade_cost", "borrow_cost", "net_exposure", "short_gross")), f"{r6('gross - trade_cost - borrow_cost')} as net"])
+    if raw:
+        shown = "d, gross - trade_cost - borrow_cost as net"
     caps, src = "", "bk"
     if cap is not None:
         caps = leg("l", "bk") + ", " + leg("sh", "f_l") + ", "
@@ -152,7 +155,33 @@ fee as (select ticker, d, [25e0, 50e0, 100e0, 200e0][{bucket('round(adv, 6)', 4,
 pr as (select m.*, coalesce(fee.fee, 0e0) as fee, 14.6558e0 + cs + 1e4 * 0.5e0 * sigma * sqrt(abs(dw) * {aum} / adv) as bps from mv2 m left join fee on fee.ticker = m.ticker and fee.d = m.d),
 o as (select d, case when count(*) filter (where wt <> 0) = 0 then 0e0 else sum(wt * fwd) filter (where wt <> 0) end as gross, sum(abs(dw)) as turnover, sum(abs(dw) * bps) / 1e4 as trade_cost,
   sum(case when wt < 0 then -wt * fee else 0 end) / 1e4 / 52 as borrow_cost, sum(wt) as net_exposure, sum(case when wt < 0 then -wt else 0 end) as short_gross from pr group by d)
-select d, {', '.join(f'{r6(c)} as {c}' for c in ('gross', 'turnover', 'trade_cost', 'borrow_cost', 'net_exposure', 'short_gross'))}, {r6('gross - trade_cost - borrow_cost')} as net from o"""
+select {shown} from o"""
+
+
+def _phi(x: str) -> str:
+    """The normal distribution by its series of odd powers, of 8 deviations at most."""
+    x = f"least(greatest({x}, -8e0), 8e0)"
+    terms = f"list_reduce(list_concat([[{x}, {x}]], list_transform(range(1, 150), lambda i: [cast(i as double), 0e0])), lambda a, b: [a[1] * {x} * {x} / (2 * b[1] + 1), a[2] + a[1] * {x} * {x} / (2 * b[1] + 1)])[2]"
+    return f"(0.5e0 + exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {terms})"
+
+
+def _halving(test: str, low: str, high: str, rounds: int) -> str:
+    """The point between low and high above which the test, in terms of `mid`, holds."""
+    mid = "((s[1] + s[2]) / 2)"
+    return f"list_reduce(list_concat([[{low}, {high}]], list_transform(range({rounds}), lambda k: [0e0, 0e0])), lambda s, k: case when {test.replace('mid', mid)} then [s[1], {mid}] else [{mid}, s[2]] end)[1]"
+
+
+def judged(at: str) -> str:
+    """jd: ratio, skew, kurt and at of three strategies; nq: the normal quantiles that the best of 42 tries and the confidence need."""
+    quantiles = ", ".join(f"{_halving(f'{_phi("mid")} >= {p}', '0e0', '6e0', 55)} as {name}" for name, p in (("qa", "1 - 1 / 42e0"), ("qb", "1 - 1 / (42 * exp(1e0))"), ("qc", "0.95e0")))
+    return f"""nq as (select {quantiles}),
+bk as (select 'long_short' as strategy, ret from (with {LEDGER} select ret from lg) union all select 'long_only', net from ({executed("long_only", raw=True)}) union all select 'dynamic_tilt', net from ({executed("dynamic_tilt", raw=True)})),
+mo as (select strategy, count(*) as n, avg(ret) as m, stddev_samp(ret) as sd, stddev_pop(ret) as sp from bk where ret is not null group by strategy),
+mm as (select mo.strategy, any_value(n) as n, any_value(m / sd) as ratio, avg(((ret - m) / sp) ** 3) as skew, avg(((ret - m) / sp) ** 4) as kurt from bk join mo using (strategy) where ret is not null group by mo.strategy),
+jd as (select *, {at} as held, sqrt(greatest(1e-12, 1 - skew * ratio + (kurt - 1) / 4 * ratio * ratio)) as dev from mm, nq)"""
+
+
+_BEST = "(stddev_samp(ratio) over ()) * (0.4227843350984671e0 * qa + 0.5772156649015329e0 * qb)"
 
 
 # ---- features ----
@@ -450,3 +479,11 @@ for _name in ("weights_long_only", "weights_long_short", "weights_dynamic_tilt")
     _panic = "l - sh" if ORACLES[_name] == "dynamic_tilt" else "0e0"
     ORACLES[_name] = f"""with {WX}, {grid('wx')}, {scores()}, {DEC}, {regime('wx')}, {GATE}, b as (select dw.d, case when coalesce(panic, false) then {_panic} else {_calm} end as wt from dw left join gate on gate.d = dw.d)
 select d, {r6('sum(wt)')} as net, {r6('sum(abs(wt))')} as gross, count(*) as names from b group by d"""
+
+ORACLES |= {
+    "psr_dsr": f"""with {judged(_BEST)} select strategy, n, {r6('ratio * sqrt(52e0)')} as sharpe, {r6(_phi('ratio * sqrt(n - 1) / dev'))} as psr, {r6(_phi('(ratio - held) * sqrt(n - 1) / dev'))} as dsr,
+  case when ratio > held and 1 + (dev * qc / (ratio - held)) ** 2 < 1e6 then {r6('1 + (dev * qc / (ratio - held)) ** 2')} end as min_track from jd""",
+    "frozen_benchmark": f"""with {judged('0.05e0')} select strategy, n, {r6('ratio * sqrt(52e0)')} as sharpe, {r6(_phi('ratio * sqrt(n - 1) / dev'))} as psr, {r6(_phi('(ratio - held) * sqrt(n - 1) / dev'))} as dsr from jd""",
+    "required_ratio": f"""with {judged(_BEST)} select strategy, n, {r6('ratio * sqrt(52e0)')} as sharpe,
+  {r6(_halving('(mid - held) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * mid + (kurt - 1) / 4 * mid * mid)) >= qc', 'held', 'held + 5', 60) + ' * sqrt(52e0)')} as required from jd""",
+}

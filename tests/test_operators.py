@@ -9,6 +9,7 @@ from statistics import NormalDist
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import normal
 from tessera.operators import attribution, buffers, corporate, evaluation, features, learning, panel, portfolio, regime, trees
 from tessera.sinks import tables
 from tessera.sources import files
@@ -279,3 +280,28 @@ def test_sinks(spark, tmp_path):
         tables.write_verdicts(rows, f"{tmp_path}/w", 1)
     assert tables.reuse(df, "key", f"{tmp_path}/cache").count() == 2
     assert tables.reuse(df.limit(0), "key", f"{tmp_path}/cache").count() == 2
+
+
+def test_normal_expressions(spark):
+    n = NormalDist()
+    xs = [-38.0, -9.0, -7.08, -7.0, -3.3, -1.0, -1e-9, 0.0, 0.5, 1.96, 5.5, 7.2, 37.0, 100.0]
+    for x, got in spark.createDataFrame([(x,) for x in xs], "x double").select("x", normal.cdf(F.col("x"))).collect():
+        assert got == pytest.approx(n.cdf(x), rel=1e-12, abs=1e-15) or x < -37
+    ps = [1e-300, 1e-16, 1e-9, 0.001, 0.074, 0.075, 0.3, 0.5, 0.92, 0.95, 1 - 1e-9]
+    for p, got in spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal.inverse(F.col("p"))).collect():
+        assert got == pytest.approx(n.inv_cdf(p), rel=1e-12, abs=1e-13)
+    edge = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (None,)], "p double").select(normal.inverse(F.col("p")).alias("v"), normal.cdf(F.col("p")).alias("c")).collect()
+    assert all(r.v is None for r in edge) and edge[3].c is None
+
+
+def test_required_ratios_reach_the_confidence(spark):
+    r = random.Random(11)
+    rows = [(s, r.gauss(m, 0.01)) for s, m in (("a", 0.001), ("b", 0.0)) for _ in range(200)] + [("c", 0.1)]
+    for x in evaluation.required_ratios(spark.createDataFrame(rows, "strategy string, ret double"), 10, year=1, benchmark=0.02).collect():
+        if x.strategy == "c":
+            assert x.required is None
+            continue
+        v = [b for a, b in rows if a == x.strategy]
+        m = sum(v) / len(v)
+        c = [sum((y - m) ** p for y in v) / len(v) for p in (2, 3, 4)]
+        assert evaluation.probabilistic_sharpe(x.required, len(v), c[1] / c[0] ** 1.5, c[2] / c[0] ** 2, 0.02) == pytest.approx(0.95)
