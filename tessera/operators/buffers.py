@@ -47,16 +47,21 @@ def _folded(rows: DataFrame, keys: tuple[str, ...], columns: list[str], step: Ca
     return rows.select(*keys, "d", "ticker", *columns).groupBy(*keys).applyInPandas(fold, schema)
 
 
+def kept(held: list, tickers: list, ranks: list, leaves: list, enter: int) -> list:
+    """The names of a date, from those held before and the date's rows by rank: held ones within their `leave`, the best first, then the best of
+    those within `enter` in the places that are free."""
+    stay = [t for t, r, x in zip(tickers, ranks, leaves, strict=True) if t in held and r <= x][:enter]
+    fresh = [t for t, r in zip(tickers, ranks, strict=True) if r <= enter and t not in stay]
+    return stay + fresh[: enter - len(stay)]
+
+
 def rebalance_buffer(ranked: DataFrame, *, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Holdings with hysteresis from (keys, d, ticker, rank, enter, leave): a held name stays while its rank is within its `leave`, the best
     first; free places go to the best of those within `enter`. Only rows within either band reach Python, and a date of which no
     row is scored empties the book by having none."""
 
     def step(held: list, day: pd.DataFrame) -> list:
-        enter = int(day["enter"].iloc[0])
-        stay = [t for t, r, x in zip(day["ticker"], day["rank"], day["leave"], strict=True) if t in held and r <= x][:enter]
-        fresh = [t for t, r in zip(day["ticker"], day["rank"], strict=True) if r <= enter and t not in stay]
-        return stay + fresh[: enter - len(stay)]
+        return kept(held, day["ticker"].tolist(), day["rank"].tolist(), day["leave"].tolist(), int(day["enter"].iloc[0]))
 
     rows = ranked.where(F.col("rank") <= F.greatest("enter", "leave"))
     return _folded(rows, keys, ["rank", "enter", "leave"], step)

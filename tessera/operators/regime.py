@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
@@ -78,6 +80,68 @@ def vol_tripwire(bars: DataFrame, *, least: int = 252, limit: float = 0.8) -> Da
     return rows.agg(F.corr("gate", "naive").alias("rho"), F.count("*").alias("n")).withColumn("fails", F.col("rho") > limit)
 
 
+@dataclass(frozen=True)
+class States:
+    """A hidden Markov model with Gaussian states: chances at first, of moves (row: from), means and full covariances of each state."""
+
+    start: tuple[float, ...]
+    move: tuple[tuple[float, ...], ...]
+    means: tuple[tuple[float, ...], ...]
+    covs: tuple[tuple[tuple[float, ...], ...], ...]
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        """Rows by states; 0 for rows with a missing value, which tell nothing."""
+        out = np.empty((len(x), len(self.start)))
+        for j, (mean, cov) in enumerate(zip(self.means, self.covs, strict=True)):
+            e = x - np.array(mean)
+            out[:, j] = -0.5 * (np.einsum("ij,jk,ik->i", e, np.linalg.inv(np.array(cov)), e) + np.linalg.slogdet(2 * np.pi * np.array(cov))[1])
+        return np.where(np.isnan(x).any(1)[:, None], 0.0, out)
+
+    def filtered(self, x: np.ndarray, belief: np.ndarray | None = None) -> np.ndarray:
+        """The chances of the states at each row, by the rows up to it; belief: those before the first one (none: the start)."""
+        move, out = np.array(self.move), np.empty((len(x), len(self.start)))
+        for t, row in enumerate(self.log_density(x)):
+            a = (np.array(self.start) if belief is None else belief @ move) * np.exp(row - row.max())
+            belief = out[t] = a / a.sum()
+        return out
+
+    def path(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest sequence of states, by the largest product along it and pointers back; the first state among equals."""
+        with np.errstate(divide="ignore"):
+            start, move = np.log(np.array(self.start)), np.log(np.array(self.move))
+        rows = self.log_density(x)
+        back, best = np.zeros(rows.shape, np.int64), np.zeros(len(start))
+        for t, row in enumerate(rows):
+            ways = (best[:, None] + move) if t else np.broadcast_to(start, move.shape)
+            back[t] = ways.argmax(0)
+            best = ways.max(0) + row
+        out = np.zeros(len(rows), np.int64)
+        for t in range(len(rows) - 1, -1, -1):
+            out[t] = best.argmax() if t == len(rows) - 1 else back[t + 1, out[t + 1]]
+        return out
+
+
+def _along(series: DataFrame, columns: list[str], keys: tuple[str, ...], order: str, name: str, kind: str, of) -> DataFrame:
+    schema = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in (*keys, order)) + f", {name} {kind}"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        return pdf[[*keys, order]].assign(**{name: of(pdf[columns].to_numpy(float, na_value=np.nan))})
+
+    return series.select(*keys, order, *columns).groupBy(*keys).applyInPandas(run, schema)
+
+
+def state_chances(series: DataFrame, columns: list[str], model: States, *keys: str, order: str = "d") -> DataFrame:
+    """keys, order, chances (array<double>): forward filtered chances of the states of a given model along each series, which is one group, a
+    row for each date. Rows with a null carry the belief on by the moves alone."""
+    return _along(series, columns, keys, order, "chances", "array<double>", lambda x: [list(map(float, a)) for a in model.filtered(x)])
+
+
+def state_path(series: DataFrame, columns: list[str], model: States, *keys: str, order: str = "d") -> DataFrame:
+    """keys, order, state (long): the likeliest path of states of each series as a whole. It looks ahead: for study, never for a decision."""
+    return _along(series, columns, keys, order, "state", "long", model.path)
+
+
 def hmm_filter(series: DataFrame, columns: list[str], *, states: int = 2, train: int = 504, test: int = 63, sticky: float = 10.0, rounds: int = 200) -> DataFrame:
     """d, high_state, converged: chance of the state of the highest mean in the last column, by a Gaussian hidden Markov model of full
     covariances, fitted on the `train` rows before each block of `test` and filtered forward through it, never smoothed.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import by_name, expanding_z, r6, trailing
 from tessera.operators import attribution, buffers, corporate, evaluation, learning, panel, portfolio, quantiles, regime, shorting, universe
 from tessera.operators import features as feats
-from tessera.plans.oracles import ORACLES
+from tessera.plans.oracles import ORACLES, given_states
 from tessera.sources.bars import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -469,5 +469,23 @@ def hmm_filter(wx: DataFrame) -> DataFrame:
     return regime.hmm_filter(z, ["mkt_ret", "avg_corr", "log_vol"], train=104, test=26, rounds=60)
 
 
+#: A calm and a stressed state of standardised inputs, as a fit would give them.
+GIVEN = regime.States(
+    (0.6, 0.4), ((0.95, 0.05), (0.1, 0.9)), ((0.1, -0.4, -0.6), (-0.2, 0.6, 0.9)),
+    (((1.0, 0.1, -0.1), (0.1, 0.8, 0.2), (-0.1, 0.2, 0.7)), ((1.6, -0.2, 0.1), (-0.2, 1.1, 0.3), (0.1, 0.3, 1.2))),
+)
+AXES = ["mkt_ret", "avg_corr", "log_vol"]
+
+
+@query("wx")
+def hmm_given(wx: DataFrame) -> DataFrame:
+    found = regime.state_chances(regime.standardised(regime.regime_inputs(wx), WEEKS), AXES, GIVEN)
+    return found.select("d", r6(F.element_at("chances", 2)).alias("high_state"))
+
+
+query("wx", name="viterbi_path")(lambda wx: regime.state_path(regime.standardised(regime.regime_inputs(wx), WEEKS), AXES, GIVEN))
+
+
+ORACLES |= given_states(GIVEN, WEEKS)
 ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}
 FLAGSHIP = QUERIES["long_short_returns"]

@@ -487,3 +487,27 @@ ORACLES |= {
     "required_ratio": f"""with {judged(_BEST)} select strategy, n, {r6('ratio * sqrt(52e0)')} as sharpe,
   {r6(_halving('(mid - held) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * mid + (kurt - 1) / 4 * mid * mid)) >= qc', 'held', 'held + 5', 60) + ' * sqrt(52e0)')} as required from jd""",
 }
+
+
+def given_states(model, least: int) -> dict[str, str]:
+    """The filter and the likeliest path of a model of two states and three axes, by recursion along the dates."""
+    import numpy as np
+
+    def log_density(j: int) -> str:
+        inv, const = np.linalg.inv(np.array(model.covs[j])), float(np.linalg.slogdet(2 * np.pi * np.array(model.covs[j]))[1])
+        e = [f"({c} - ({m!r}))" for c, m in zip("abc", model.means[j], strict=True)]
+        return " - 0.5e0 * (" + " + ".join(f"({float(inv[x, y])!r}) * {e[x]} * {e[y]}" for x in range(3) for y in range(3)) + f" + ({const!r}))"
+
+    (p0, p1), ((m00, m01), (m10, m11)) = model.start, model.move
+    head = f"""with recursive {WX}, {grid('wx')}, {regime('wx')},
+zg as (select d, {_z('mkt_ret', least)} as a, {_z('avg_corr', least)} as b, {_z('log_vol', least)} as c from ri0),
+lp as (select d, row_number() over (order by d) as t, {log_density(0)} as l0, {log_density(1)} as l1 from zg where a is not null and b is not null and c is not null)"""
+    grow = lambda a, b: f"({b}) * exp(l1 - greatest(l0, l1)) / (({a}) * exp(l0 - greatest(l0, l1)) + ({b}) * exp(l1 - greatest(l0, l1)))"
+    return {
+        "hmm_given": f"""{head}, f as (select t, d, {grow(p0, p1)} as high from lp where t = 1 union all
+  select lp.t, lp.d, {grow(f'(1 - high) * {m00} + high * {m10}', f'(1 - high) * {m01} + high * {m11}')} from f join lp on lp.t = f.t + 1) select d, {r6('high')} as high_state from f""",
+        "viterbi_path": f"""{head}, v as (select t, l0 + ln({p0}e0) as v0, l1 + ln({p1}e0) as v1, 0 as b0, 0 as b1 from lp where t = 1 union all
+  select lp.t, l0 + greatest(v0 + ln({m00}e0), v1 + ln({m10}e0)), l1 + greatest(v0 + ln({m01}e0), v1 + ln({m11}e0)), (v1 + ln({m10}e0) > v0 + ln({m00}e0))::int, (v1 + ln({m11}e0) > v0 + ln({m01}e0))::int from v join lp on lp.t = v.t + 1),
+w as (select t, (v1 > v0)::int as s from v where t = (select max(t) from lp) union all select w.t - 1, case when w.s = 0 then v.b0 else v.b1 end from w join v on v.t = w.t where w.t > 1)
+select lp.d, cast(w.s as bigint) as state from w join lp using (t)""",
+    }
