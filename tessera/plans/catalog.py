@@ -54,7 +54,7 @@ query("wx", name="fill_within_name")(panel.filled)
 query("wk", name="calendar_ordinal")(lambda wk: panel.calendar(wk).select("d", "pos"))
 query("wk", name="business_days")(lambda wk: wk.sparkSession.range(1).select(F.explode(panel.business_days("1996-01-01", "1996-12-31")).alias("d")))
 query("wx", name="anti_missing")(panel.missing_cells)
-query("wk", name="panel_count")(lambda wk: panel.digest(wk, ["ticker", "d", "close"]).select("n"))
+query("wk", name="panel_count")(lambda wk: panel.digest(wk.select("ticker", "d", F.round(F.col("close") * 1e6).cast("long").alias("close")), ["ticker", "d", "close"]))
 
 
 # ---- features ----

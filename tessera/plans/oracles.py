@@ -467,7 +467,8 @@ select d, 1e0 as always_on, 0e0 as always_off, case when coalesce(round(leg, 12)
 o as (select avg(s) / stddev_samp(s) * sqrt(52e0) as s, avg(l) / stddev_samp(l) * sqrt(52e0) as l, avg(a) / stddev_samp(a) * sqrt(52e0) as a, count(a) as n from b) select {r6('s')} as short, {r6('l')} as long, {r6('a')} as both_, n, {r6('a - l')} as added from o""",
     "trend_orthogonality": _ortho(),
     "tilt_table": _tilts(),
-    "panel_count": f"with {WK} select count(*) as n from wk",
+    "panel_count": f"""with {WK}, m as (select md5('close=' || cast(round(close * 1e6) as bigint) || '|d=' || d || '|ticker=' || ticker) as h from wk)
+select count(*) as n, cast(sum(cast('0x' || substr(h, 1, 12) as bigint)) as varchar) as digest from m""",
     "reproduction": f"""with {WK}, rf as (select ticker, d, case when ticker like '%1' and d >= date '1995-01-01' then close * 3 else close end as ref from wk),
 j as (select ticker, d, close, ref, close / lag(close) over w - 1 as r, ref / lag(ref) over w - 1 as q, abs((ref / close) / (lag(ref) over w / lag(close) over w) - 1) as lv from wk join rf using (ticker, d) window w as (partition by ticker order by d)),
 k as (select *, abs(r - q) as far from j), o as (select ticker, count(far) as bars, {r6('corr(r, q)')} as corr, {r6('quantile_cont(far, 0.5)')} as median_diff, {r6('max(far)')} as largest_diff, count(*) filter (where round(far, 9) > 0.01) as n_material,

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.evaluation import deflated_sharpe
+from tessera.operators.panel import digest
 from tessera.operators.universe import cost_panel, export
+from tessera.sinks.steps import remove
 
 
 def _fs(spark: SparkSession, path: str):
@@ -75,9 +81,15 @@ def append_union(rows: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small report as one CSV with a header."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, order: list[str], *, comments: list[str] = ()) -> None:
+    """A small report as one CSV with a header, and lines that begin with # before it."""
+    if not comments:
+        df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        return
+    rows = df.select(F.to_csv(F.struct(*df.columns)).alias("value"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(order)])
+    head = df.sparkSession.createDataFrame([(k, f"# {x}") for k, x in enumerate(comments)] + [(len(comments), ",".join(df.columns))], "n int, value string")
+    nth = F.row_number().over(Window.orderBy(*[f"_{k}" for k in range(len(order))])) + len(comments)  # a report's rows
+    head.unionByName(rows.select(nth.cast("int").alias("n"), "value")).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
 
 
 def write_verdicts(ledger: DataFrame, path: str, trials: int, *, year: float = 252, confidence: float = 0.95) -> DataFrame:
@@ -101,10 +113,49 @@ def write_cost_panels(bars: DataFrame, root: str) -> DataFrame:
     return write_checked(cost_panel(bars).select("ticker", "d", "adv", "sigma", "cs", "ar"), f"{root}/cost_panel.parquet")
 
 
+@dataclass
+class Reuse:
+    """Results kept under root by what they are made of. TESSERA_REUSE=0 in the environment turns it off: everything is computed, nothing kept."""
+
+    root: str
+    hits: int = 0
+    misses: int = 0
+
+    def key(self, inputs: dict[str, DataFrame], **parameters) -> str:
+        """A digest of all rows of the inputs, in any order, and of the parameters of the code that makes the result of them."""
+        parts = [repr(sorted((k, repr(v)) for k, v in parameters.items()))]
+        for name, df in sorted(inputs.items()):
+            parts.append(repr((name, sorted(df.dtypes), *digest(df, df.columns).first())))
+        return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
+
+    def get(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The result of the key: the slot's table if it was written whole and can be read, else what `make` returns, written beside and put in place by
+        renaming. Of writers at the same time the first one's table stays, and all read it."""
+        if os.environ.get("TESSERA_REUSE", "1") == "0":
+            return make()
+        path = f"{self.root.rstrip('/')}/{key}"
+        df = None
+        spark = SparkSession.active()
+        if exists(spark, f"{path}/_SUCCESS"):
+            try:
+                df = spark.read.parquet(path)
+                df.write.format("noop").mode("overwrite").save()  # a slot that can't be read to its end is none
+                self.hits += 1
+                return df
+            except Exception:  # whatever is wrong with it, it is made anew  # noqa: BLE001
+                remove(spark, path)
+        self.misses += 1
+        made = make()
+        beside = f"{path}-{uuid.uuid4().hex}"
+        made.write.parquet(beside)
+        fs, at = _fs(spark, path)
+        mine = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        if fs.exists(at) or not fs.rename(mine, at):
+            fs.delete(mine, True)  # another writer was first
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{beside.rsplit('/', 1)[-1]}"), True)  # where a rename went into its table
+        return spark.read.parquet(path)
+
+
 def reuse(df: DataFrame, key: str, root: str) -> DataFrame:
-    """The table of a key under root if it was written whole, else df, written there and read back. The key is a digest of what df is made
-    from (panel.digest)."""
-    spark, path = df.sparkSession, f"{root}/{key}"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        _swap_in(df, path)
-    return spark.read.parquet(path)
+    """The table of a key under root if it was written whole, else df, written there and read back (Reuse, with a key of the caller's own)."""
+    return Reuse(root).get(key, lambda: df)

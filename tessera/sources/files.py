@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,31 +59,46 @@ def cost_panels(spark: SparkSession, root: str, estimator: str = "cs") -> DataFr
     return rows.select("ticker", F.to_date("d").alias("d"), "adv", "sigma", F.col(estimator).alias("half_spread"))
 
 
-def _rows(content: bytes, zipped: bool, columns: dict[str, str]) -> pd.DataFrame | None:
-    """Rows of a CSV, or of the first CSV in an archive, by the names in its header; None if it is broken or lacks a column."""
+def parsed(content: bytes, zipped: bool, layouts: list[dict[str, str]]) -> tuple[pd.DataFrame | None, str | None]:
+    """Rows of a CSV, or of the first CSV in an archive, by the first of the layouts (names in the file to ours) that its header has all names of;
+    or why there are none. Columns of the other layouts are null."""
     try:
         if zipped:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                content = z.read(next(n for n in z.namelist() if n.lower().endswith(".csv")))
-        got = pd.read_csv(io.BytesIO(content), dtype=str, skipinitialspace=True)
-        return got.rename(columns=lambda c: c.strip())[list(columns)].rename(columns=columns)
-    except (zipfile.BadZipFile, KeyError, StopIteration, UnicodeDecodeError, pd.errors.ParserError, pd.errors.EmptyDataError, ValueError):
-        return None
-
-
-def csv_rows(spark: SparkSession, folder: str, columns: dict[str, str], *, glob: str, zipped: bool = False) -> DataFrame:
-    """Rows of CSV files, each bound by its own header: columns maps names in the file to ours (all strings); file is the file's name, row
-    the row's number. A file that is broken or lacks a column gives one row of nulls whose row is -1, to be counted. A file is read
-    by one task."""
-    schema = ", ".join(f"{c} string" for c in dict.fromkeys(columns.values())) + ", file string, row long"
+                inside = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
+                if inside is None:
+                    return None, "no CSV inside"
+                content = z.read(inside)
+        got = pd.read_csv(io.BytesIO(content), dtype=str, skipinitialspace=True).rename(columns=lambda c: c.strip())
+    except zipfile.BadZipFile:
+        return None, "not an archive"
+    except (UnicodeDecodeError, pd.errors.ParserError, pd.errors.EmptyDataError, ValueError, zlib.error) as e:
+        return None, f"not a CSV: {type(e).__name__}"
+    for layout in layouts:
+        if set(layout) <= set(got.columns):
+            return got[list(layout)].rename(columns=layout).reindex(columns=_ours(layouts)), None
+    return None, "unknown header"
+
+
+def _ours(layouts: list[dict[str, str]]) -> list[str]:
+    return list(dict.fromkeys(c for layout in layouts for c in layout.values()))
+
+
+def csv_rows(spark: SparkSession, folder: str, columns: dict[str, str] | list[dict[str, str]], *, glob: str, zipped: bool = False) -> DataFrame:
+    """Rows of CSV files, each bound by its own header: columns maps names in the file to ours (all strings), or are several such layouts,
+    of which the first that a file has is its own; file is the file's name, row the row's number. A file that is broken or lacks a column
+    gives one row of nulls whose row is -1, to be counted. A file is read by one task, once."""
+    layouts = [columns] if isinstance(columns, dict) else columns
+    ours = _ours(layouts)
+    schema = ", ".join(f"{c} string" for c in ours) + ", file string, row long"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                got = _rows(content, zipped, columns)
+                got, _ = parsed(content, zipped, layouts)
                 bad = got is None
-                got = pd.DataFrame([dict.fromkeys(columns.values())]) if bad else got
-                yield got.assign(file=path.rsplit("/", 1)[-1], row=-1 if bad else range(len(got)))[[*columns.values(), "file", "row"]]
+                got = pd.DataFrame([dict.fromkeys(ours)]) if bad else got
+                yield got.assign(file=path.rsplit("/", 1)[-1], row=-1 if bad else range(len(got)))[[*ours, "file", "row"]]
 
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content").mapInPandas(read, schema)
 
@@ -103,11 +119,11 @@ def _last(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def symbol_csv(spark: SparkSession, folder: str, kind: str = "all", *, indices: tuple[str, ...] = ("NIFTY",), glob: str = "*.csv") -> DataFrame:
-    """ticker, ts, prices of one CSV per symbol, the symbol from the file's name; numbers that aren't are null, closes must be positive, and
+    """ticker, ts, prices of one CSV per symbol, the symbol from the file's name up to the dot, or to a frequency such as _15m; numbers that aren't are null, closes must be positive, and
     of rows with one time the last stays. kind: stocks, indices or all."""
     names = ("open", "high", "low", "close", "volume")
     raw = csv_rows(spark, folder, {"timestamp": "timestamp", **{c: c for c in names}}, glob=glob)
-    rows = raw.where("row >= 0").select(F.upper(F.regexp_extract("file", r"^([^_.]+)", 1)).alias("ticker"), F.expr("try_cast(timestamp as timestamp)").alias("ts"), *_numbers(*names), "file", "row")
+    rows = raw.where("row >= 0").select(F.upper(F.regexp_extract("file", r"^([^.]+?)(_[0-9]+m[^.]*)?\.", 1)).alias("ticker"), F.expr("try_cast(timestamp as timestamp)").alias("ts"), *_numbers(*names), "file", "row")
     index = F.col("ticker").rlike("^(" + "|".join(indices) + ")")
     rows = rows if kind == "all" else rows.where(index if kind == "indices" else ~index)
     return _last(rows.where("close > 0 and ts is not null"), "ticker", "ts")
@@ -148,17 +164,20 @@ def exchange_archives(spark: SparkSession, legacy: str | None, udiff: str | None
         parts.append(rows.where("row = -1 or trim(kind) = 'STK'").drop("kind").withColumn("d", _udiff_day()))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     bad = bad_files(rows)
+    return _last(shares(rows.where("row >= 0 and d is not null"), "file", "row"), "d", "isin"), bad
+
+
+def shares(rows: DataFrame, *more: str) -> DataFrame:
+    """Typed rows of ordinary shares from an archive's strings, with d and what else is named."""
     prices = _numbers("open", "high", "low", "close", "close_vwap", "volume", "turnover")
-    rows = rows.where("row >= 0 and d is not null").select("d", *[F.trim(c).alias(c) for c in ("isin", "symbol", "series")], *prices, "file", "row")
-    rows = rows.where("startswith(isin, 'INE') and substring(isin, 8, 2) = '01' and series in ('EQ', 'BE') and close > 0 and volume >= 0")
-    return _last(rows, "d", "isin"), bad
+    rows = rows.select("d", *[F.trim(c).alias(c) for c in ("isin", "symbol", "series")], *prices, *more)
+    return rows.where("startswith(isin, 'INE') and substring(isin, 8, 2) = '01' and series in ('EQ', 'BE') and close > 0 and volume >= 0")
 
 
 def traded_futures(spark: SparkSession, folder: str) -> DataFrame:
     """(d, symbol): underlyings with a stock future in each day's derivatives archive, either layout by its header."""
-    old = csv_rows(spark, folder, {"INSTRUMENT": "kind", "SYMBOL": "symbol"}, glob="*.zip", zipped=True)
-    new = csv_rows(spark, folder, {"FinInstrmTp": "kind", "TckrSymb": "symbol"}, glob="*.zip", zipped=True)
-    rows = old.unionByName(new).where("row >= 0 and upper(trim(kind)) in ('FUTSTK', 'STF')")
+    layouts = [{"INSTRUMENT": "kind", "SYMBOL": "symbol"}, {"FinInstrmTp": "kind", "TckrSymb": "symbol"}]
+    rows = csv_rows(spark, folder, layouts, glob="*.zip", zipped=True).where("row >= 0 and upper(trim(kind)) in ('FUTSTK', 'STF')")
     return rows.select(F.coalesce(_legacy_day(), _udiff_day()).alias("d"), F.upper(F.trim("symbol")).alias("symbol")).distinct()
 
 
