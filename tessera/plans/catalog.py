@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import by_name, expanding_z, r6, trailing
-from tessera.operators import attribution, buffers, corporate, evaluation, learning, panel, portfolio, quantiles, regime, shorting, universe
+from tessera.operators import attribution, buffers, corporate, evaluation, intraday, learning, panel, portfolio, quantiles, regime, shorting, universe
 from tessera.operators import features as feats
 from tessera.plans.oracles import ORACLES, given_states
 from tessera.sources.bars import stored
@@ -187,6 +187,30 @@ def executed(wx: DataFrame, style: str, **options) -> DataFrame:
 
 for _style in ("long_only", "long_short_slb", "dynamic_tilt"):
     query("wx", name=f"execute_{_style}")(lambda wx, s=_style: six(executed(wx, s)))
+def busy_days(tk: DataFrame) -> DataFrame:
+    """A daily gate: days of many ticks, but not every fifth one."""
+    return tk.groupBy(F.to_date("ts").alias("d")).agg((F.count("*") > 300).alias("panic")).where(F.dayofmonth("d") % 5 != 0)
+
+
+def intraday_days(tk: DataFrame, minutes: int, styles: list[str]) -> DataFrame:
+    """The ticks' values, which jump about, as prices that move by some percent."""
+    costs = portfolio.Costs(aum=1e2, bars_per_year=252 * 375 / minutes)
+    calm = tk.where("px > 0").withColumn("px", F.round(100 * F.pow(F.col("px") / 100, F.lit(0.01)), 6))
+    return intraday.execute_bars(calm, minutes, styles, busy_days(tk), share=0.3, costs=costs)
+
+
+for _m in (30, 60):
+    query("tk", name=f"execute_intraday_{_m}m")(lambda tk, m=_m: six(intraday_days(tk, m, ["dynamic_tilt"]).drop("style")))
+
+
+@query("tk")
+def frequency_grid(tk: DataFrame) -> DataFrame:
+    """Every frequency with every style: yearly Sharpe ratios of its days before and after costs, and what a day costs."""
+    cells = [intraday_days(tk, m, list(portfolio.STYLES)).withColumn("minutes", F.lit(m).cast("long")) for m in (30, 60)]
+    days = cells[0].unionByName(cells[1]).where("net is not null")
+    return six(days.groupBy("minutes", "style").agg(evaluation.sharpe("gross", 252).alias("gross_sharpe"), evaluation.sharpe("net", 252).alias("net_sharpe"), F.avg("trade_cost").alias("day_cost"), F.count("*").alias("days")))
+
+
 query("wx", name="execute_capped")(lambda wx: six(executed(wx, "long_only", costs=portfolio.Costs(aum=2e5, bars_per_year=WEEKS), capped_at=0.1)))
 query("wx", name="implicit_exits")(lambda wx: six(portfolio.implicit_exits(scored(wx), "dynamic_tilt", regime.known_before(gate_of(wx)))))
 

@@ -118,7 +118,7 @@ x as (select s.ticker, s.d, s.score, case when s.d = ends.last and ends.last < (
 _MED = "coalesce({t}.{c}, (select quantile_cont(m.{c}, 0.5) from {t} m where m.d = {t}.d), (select quantile_cont({c}, 0.5) from {t})) as {c}"
 
 
-def executed(style: str, restricted: bool = False, cap: float | None = None, aum: float = 1e5, raw: bool = False) -> str:
+def executed(style: str, restricted: bool = False, cap: float | None = None, aum: float = 1e5, raw: bool = False, panel: str | None = None, share: float = 0.1, year: float = 52) -> str:
     calm = {"long_only": "l", "long_short": "l - sh", "dynamic_tilt": "1.3e0 * l - 0.3e0 * sh"}[style]
     panic = "l - sh" if style == "dynamic_tilt" else "0e0"
     fill = ", ".join(_MED.format(t="x", c=c) for c in ("adv", "sigma", "cs"))
@@ -135,14 +135,14 @@ f_{w} as (select c.* exclude ({w}), case when c.{w} = 0 then 0e0 when k.fully th
 
     shown = ", ".join(["d", *(f"{r6(c)} as {c}" for c in ("gross", "turnover", "trade_cost", "borrow_cost", "net_exposure", "short_gross")), f"{r6('gross - trade_cost - borrow_cost')} as net"])
     if raw:
-        shown = "d, gross - trade_cost - borrow_cost as net"
+        shown = "d, gross, turnover, trade_cost, borrow_cost, gross - trade_cost - borrow_cost as net"
     caps, src = "", "bk"
     if cap is not None:
         caps = leg("l", "bk") + ", " + leg("sh", "f_l") + ", "
         src = "f_sh"
-    return f"""with {EXEC_PANEL}, xf as (select ticker, d, score, fwd, shortable, {fill} from x),
+    return f"""with {panel or EXEC_PANEL}, xf as (select ticker, d, score, fwd, shortable, {fill} from x),
 ra as (select *, {short} as ss from xf),
-rk as (select *, greatest(1, floor(round(count(*) over (partition by d) * 0.1, 9))) as k, row_number() over (partition by d order by score desc, ticker) as hi,
+rk as (select *, greatest(1, floor(round(count(*) over (partition by d) * {share}, 9))) as k, row_number() over (partition by d order by score desc, ticker) as hi,
   case when ss is not null then row_number() over (partition by d order by ss nulls last, ticker) end as lo from ra),
 bk as (select *, case when hi <= k then 1e0 / k else 0e0 end as l, case when lo <= k then 1e0 / count(*) filter (where lo <= k) over (partition by d) else 0e0 end as sh from rk),
 {caps}wt as (select b.ticker, b.d, b.fwd, b.adv, b.sigma, b.cs, case when coalesce(gate.panic, false) then {panic} else {calm} end as wt from {src} b left join gate on gate.d = b.d),
@@ -154,10 +154,25 @@ mv2 as (select ticker, d, wt, fwd, dw, {refill} from mv1),
 fee as (select ticker, d, [25e0, 50e0, 100e0, 200e0][{bucket('round(adv, 6)', 4, 'd')}] as fee from mv1 where wt < 0),
 pr as (select m.*, coalesce(fee.fee, 0e0) as fee, 14.6558e0 + cs + 1e4 * 0.5e0 * sigma * sqrt(abs(dw) * {aum} / adv) as bps from mv2 m left join fee on fee.ticker = m.ticker and fee.d = m.d),
 o as (select d, case when count(*) filter (where wt <> 0) = 0 then 0e0 else sum(wt * fwd) filter (where wt <> 0) end as gross, sum(abs(dw)) as turnover, sum(abs(dw) * bps) / 1e4 as trade_cost,
-  sum(case when wt < 0 then -wt * fee else 0 end) / 1e4 / 52 as borrow_cost, sum(wt) as net_exposure, sum(case when wt < 0 then -wt else 0 end) as short_gross from pr group by d)
+  sum(case when wt < 0 then -wt * fee else 0 end) / 1e4 / {year} as borrow_cost, sum(wt) as net_exposure, sum(case when wt < 0 then -wt else 0 end) as short_gross from pr group by d)
 select {shown} from o"""
 
 
+def intraday(minutes: int, style: str) -> str:
+    """Days of a book over the bars of `minutes`, with the gate of the day before."""
+    ticks = TK.replace("value as px, event_id from events", "round(100 * power(value / 100, 0.01e0), 6) as px, event_id from events where value > 0")
+    panel = f"""{ticks}, b0 as ({resample(minutes)}),
+wx as (select ticker, date_diff('day', date '1970-01-01', d) * 4096 + 2048 + bin as d, open, high, low, close, volume, close * volume as turnover from b0), {grid('wx')}, {LIQ}, {SPR},
+s as (select g.ticker, g.d, round(g.close / lag(g.close, 5) over w - 1, 9) as score, first_value(g.close ignore nulls) over (partition by g.ticker order by g.d rows between 1 following and unbounded following) / g.close - 1 as fwd
+  from g window w as (partition by g.ticker order by g.d)),
+x as (select s.ticker, s.d, s.score, s.fwd, lq.adv, lq.sigma, sp.cs, false as shortable from s join lq on lq.ticker = s.ticker and lq.d = s.d join sp on sp.ticker = s.ticker and sp.d = s.d where s.score is not null),
+bz as (select cast(ts as date) as day, count(*) > 300 as panic from events where day(ts) % 5 <> 0 group by 1), bl as (select date_diff('day', date '1970-01-01', day) as k, lag(panic) over (order by day) as panic from bz),
+gate as (select distinct wx.d, coalesce(bl.panic, false) as panic from wx left join bl on bl.k = wx.d // 4096)"""
+    per_bar = executed(style, aum=1e2, raw=True, panel=panel, share=0.3, year=252 * 375 / minutes)
+    return f"""select date '1970-01-01' + cast(d // 4096 as integer) as d, count(*) as bars, product(1 + gross) - 1 as gross, product(1 + net) - 1 as net, sum(turnover) as turnover, sum(trade_cost) as trade_cost, sum(borrow_cost) as borrow_cost
+  from ({per_bar}) group by 1"""
+
+
 def _phi(x: str) -> str:
     """The normal distribution by its series of odd powers, of 8 deviations at most."""
     x = f"least(greatest({x}, -8e0), 8e0)"
@@ -512,3 +527,14 @@ lp as (select d, row_number() over (order by d) as t, {log_density(0)} as l0, {l
 w as (select t, (v1 > v0)::int as s from v where t = (select max(t) from lp) union all select w.t - 1, case when w.s = 0 then v.b0 else v.b1 end from w join v on v.t = w.t where w.t > 1)
 select lp.d, cast(w.s as bigint) as state from w join lp using (t)""",
     }
+
+
+def _six_days(days: str) -> str:
+    return f"select d, bars, {', '.join(f'{r6(c)} as {c}' for c in ('gross', 'net', 'turnover', 'trade_cost', 'borrow_cost'))} from ({days})"
+
+
+_CELLS = " union all ".join(f"select {m} as minutes, '{style}' as style, * from ({intraday(m, style)})" for m in (30, 60) for style in ("long_only", "long_short", "dynamic_tilt"))
+ORACLES |= {f"execute_intraday_{m}m": _six_days(intraday(m, "dynamic_tilt")) for m in (30, 60)} | {
+    "frequency_grid": f"""select minutes, style, {', '.join(f"{r6(f'case when stddev_samp({c}) > 0 then avg({c}) / stddev_samp({c}) * sqrt(252e0) else 0e0 end')} as {c}_sharpe" for c in ('gross', 'net'))}, {r6('avg(trade_cost)')} as day_cost, count(*) as days
+  from ({_CELLS}) where net is not null group by all""",
+}
