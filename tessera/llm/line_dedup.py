@@ -50,32 +50,49 @@ def _gaps(covered: Column) -> Column:
     )
 
 
-def _copies(rows: DataFrame, later: DataFrame, near: tuple[int, int, int]) -> DataFrame:
-    """id, th, oid, oth: the documents that are near copies of the one that most of their repeated windows were first seen in.
+def _key(id_: str = "id", th: str = "th") -> Column:
+    """One number for a document's id and text."""
+    return F.xxhash64(id_, th)
 
-    near = (n, num, den): den * |A & B| >= num * |A | B| of the sets of n-word shingles of both whole texts, words as runs of other than ASCII
-    space, A-Z lower-cased. Each document is compared with one other, which is joined by its id and hash.
+
+def _most_frequent(keys: Column) -> Column:
+    """Of an array of longs the one that is there most often, the largest of those: a run of the sorted array."""
+    start = F.struct(F.lit(None).cast("long").alias("best"), F.lit(0).alias("most"), F.lit(None).cast("long").alias("now"), F.lit(0).alias("n"))
+
+    def step(s: Column, k: Column) -> Column:
+        n = F.when(s["now"].eqNullSafe(k), s["n"] + 1).otherwise(1)
+        better = n >= s["most"]
+        return F.struct(F.when(better, k).otherwise(s["best"]).alias("best"), F.when(better, n).otherwise(s["most"]).alias("most"), k.alias("now"), n.alias("n"))
+
+    return F.aggregate(F.sort_array(keys), start, step, lambda s: s["best"])
+
+
+def _copies(rows: DataFrame, covered: DataFrame, near: tuple[int, int, int]) -> DataFrame:
+    """id, th, kin: the documents that are near copies of the one that most of their repeated windows were first seen in, with the keys of that
+    one and of its other near copies that such windows were first seen in.
+
+    near = (n, num, den): den * |A & B| >= num * |A | B| of the sets of n-word shingles, by hash, of both whole texts, words as runs of other
+    than ASCII space, A-Z lower-cased. Each document is compared with one other, so there is no pair within a group but with its origin.
     """
     n, num, den = near
-    by = later.groupBy("id", "th", F.col("f.id").alias("oid"), F.col("f.th").alias("oth")).agg(F.count("*").alias("c"))
-    most = by.groupBy("id", "th").agg(F.max_by(F.struct("oid", "oth"), F.struct("c", F.struct("oid", "oth"))).alias("o"))
-    pairs = materialize(most.select("id", "th", "o.*").where(~(F.col("id").eqNullSafe(F.col("oid")) & (F.col("th") == F.col("oth")))), "line-origins")
-    named = pairs.select("id", "th").union(pairs.select("oid", "oth")).distinct()
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
-    texts = rows.alias("a").join(named.alias("b"), same("a", "b"), "left_semi").groupBy("id", "th").agg(F.first("text").alias("text"))
+    pairs = covered.select("id", "th", _key().alias("k"), _most_frequent(F.transform("r", lambda x: x["f"])).alias("origin")).where("k <> origin")
+    named = pairs.select(F.explode(F.array("k", "origin")).alias("k")).distinct()
     upper = "".join(map(chr, range(65, 91)))
     words = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit(f"({WORD})"))
-    texts = texts.withColumn("w", words).where(F.size("w") > 0)
+    texts = rows.select(_key().alias("k"), "text").join(named, "k", "left_semi").select("k", words.alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, size))))
-    sets = materialize(texts.select("id", "th", grams.alias("s")), "line-sets")
-    one = pairs.alias("a").join(sets.alias("b"), same("a", "b")).select("a.*", "s")
-    two = sets.select(F.col("id").alias("id2"), F.col("th").alias("th2"), F.col("s").alias("s2"))
-    both = one.join(two, F.col("oid").eqNullSafe(F.col("id2")) & (F.col("oth") == F.col("th2")))
-    shared = F.size(F.array_intersect("s", "s2"))
-    out = materialize(both.where(den * shared >= num * (F.size("s") + F.size("s2") - shared)).select("id", "th", "oid", "oth"), "line-copies")
-    forget(pairs, sets)
-    return out
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.hash(F.slice("w", i, size))))
+    sets = materialize(texts.select("k", grams.alias("s")).groupBy("k").agg(F.first("s").alias("s")), "line-sets")
+    both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("origin"), F.col("s").alias("t")), "origin")
+    shared = F.size(F.array_intersect("s", "t"))
+    out = materialize(both.where(den * shared >= num * (F.size("s") + F.size("t") - shared)).select("id", "th", "k", "origin"), "line-copies")
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+    seen = covered.alias("c").join(out.alias("o"), same("c", "o")).select("o.id", "o.th", "o.k", "o.origin", F.explode(F.array_distinct(F.transform("r", lambda x: x["f"]))).alias("f"))
+    theirs = out.select(F.col("k").alias("f"), F.col("origin").alias("of"))
+    kin = seen.join(theirs, "f", "left").where((F.col("f") == F.col("origin")) | (F.col("of") == F.col("origin")))
+    kin = materialize(kin.groupBy("id", "th").agg(F.collect_set("f").alias("kin")), "line-kin")
+    forget(sets, out)
+    return kin
 
 
 def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAGE, near: tuple[int, int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,14 +117,16 @@ def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAG
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     first = materialize(first, "line-firsts")  # so that a hot window's partition of the join can be split
     later = windows.join(first, ["h1", "h2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("f")))
-    if near is not None:
-        later = materialize(later.select("id", "th", "pos", "last", "f"), "line-later")
-        copies = _copies(rows.select("id", "th", text.cast("string").alias("text")), later, near)
-        of = lambda k: copies.select(F.col("id").alias(f"i{k}"), F.col("th").alias(f"t{k}"), F.struct("oid", "oth").alias(f"o{k}"))
-        later = later.join(of(1), F.col("id").eqNullSafe(F.col("i1")) & (F.col("th") == F.col("t1")), "left").join(of(2), F.col("f.id").eqNullSafe(F.col("i2")) & (F.col("f.th") == F.col("t2")), "left")
-        kin = F.struct(F.col("f.id").alias("oid"), F.col("f.th").alias("oth")).eqNullSafe(F.col("o1")) | F.col("o1").eqNullSafe(F.col("o2"))
-        later = later.where(F.col("t1").isNull() | ~kin)
-    covered = later.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("r"))
+    if near is None:
+        covered = later.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("r"))
+    else:
+        covered = materialize(later.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "last", _key("f.id", "f.th").alias("f")))).alias("r")), "line-covered")
+        copies = _copies(rows.select("id", "th", text.cast("string").alias("text")), covered, near)
+        c, o = covered.alias("c"), copies.alias("o")
+        covered = c.join(o, F.col("c.id").eqNullSafe(F.col("o.id")) & (F.col("c.th") == F.col("o.th")), "left")
+        others = F.when(F.col("kin").isNull(), F.col("r")).otherwise(F.filter("r", lambda x: ~F.array_contains("kin", x["f"])))
+        covered = covered.select("c.id", "c.th", F.transform(others, lambda x: F.struct(x["pos"].alias("pos"), x["last"].alias("last"))).alias("r"))
+        covered = covered.where(F.size("r") > 0)
     c, d = covered.alias("c"), rows.alias("d")
     joined = d.join(c, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th")), "left").select("row", "r")
     joined = joined.withColumn("lines", F.split(text, "\n", -1))
