@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import average_rank, by_name, r6
 from tessera.operators.evaluation import rank_ic, sharpe
+from tessera.operators.portfolio import deciles
 from tessera.operators.quantiles import exact_quantiles
 from tessera.sinks.steps import materialize
 
@@ -85,6 +86,17 @@ def short_leg_value(book: DataFrame, year: float) -> DataFrame:
     return out.withColumn("added", F.col("both") - F.col("long"))
 
 
+def borrowable_short_leg(scored: DataFrame, year: float, share: float = 0.1) -> DataFrame:
+    """One row: yearly Sharpe ratio of the short leg as it would be, of that of names that can be borrowed alone (scored: ticker, d, score, fwd,
+    shortable; as many names as of the whole cross-section), of both books with the long leg, and what the restriction costs each."""
+    rows = scored.withColumn("borrowed", F.when(F.coalesce("shortable", F.lit(False)), F.col("score")))
+    free, bound = deciles(rows, share), deciles(rows, share, short_score="borrowed")
+    legs = lambda df, s: df.groupBy("d").agg(F.sum(F.when(F.col("sh") > 0, -F.col("sh") * F.col("fwd"))).alias(s), F.sum(F.when(F.col("l") != F.col("sh"), (F.col("l") - F.col("sh")) * F.col("fwd"))).alias(f"{s}_book"))
+    both = legs(free, "whole").join(legs(bound, "borrowable"), "d", "full_outer")
+    out = both.agg(*[sharpe(c, year).alias(c) for c in ("whole", "borrowable", "whole_book", "borrowable_book")], F.count("borrowable").alias("n"))
+    return out.withColumns({"leg_cost": F.col("whole") - F.col("borrowable"), "book_cost": F.col("whole_book") - F.col("borrowable_book")})
+
+
 TRENDS = ("mom_12_1", "mom_63", "mom_21", "px_v_200", "sortino_63")
 
 

@@ -95,7 +95,9 @@ def rank_normalised(rows: DataFrame, columns: list[str], *keys: str) -> DataFram
 
 
 def feature_matrix(bars: DataFrame, h: Horizons = Horizons(), mask: DataFrame | None = None) -> DataFrame:
-    """Complete rows of the features, ranked within each date; those of the mask only, if there is one."""
+    """Complete rows of the features, ranked within each date; those of the mask only, if there is one: a mask that no bar is in is an error."""
+    if mask is not None:
+        require_rows(masked(bars.select("ticker", "d"), mask), "the universe mask")
     rows = complete(features(bars, h), h.features, h.labels)
     rows = masked(rows, mask) if mask is not None else rows
     return rank_normalised(rows, h.features).select("ticker", "d", *h.features, *h.labels)

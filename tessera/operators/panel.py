@@ -142,6 +142,18 @@ def disambiguated(names: DataFrame) -> DataFrame:
     return names.withColumn("nth", nth).select("entity", F.when(F.col("nth") > 1, F.concat("name", F.lit("."), F.col("nth").cast("string"))).otherwise(F.col("name")).alias("ticker"))
 
 
+def wide(rows: DataFrame, key: list[str], by: str, values: list, column: str, how: str = "mean", order: str | None = None) -> DataFrame:
+    """A column for each of the values of `by`: the mean, last or first (by order), any, sum or count of the column among the rows of the key. The values
+    are given, so no pass looks for them."""
+    x = lambda v: F.when(F.col(by) == v, F.col(column))
+    at = lambda v: F.when((F.col(by) == v) & F.col(column).isNotNull(), F.col(order)) if order else None
+    ways = {"mean": F.avg, "sum": F.sum, "count": F.count, "any": F.bool_or}
+    pick = {"last": lambda v: F.max_by(x(v), at(v)), "first": lambda v: F.min_by(x(v), at(v))}
+    if how not in ways and (how not in pick or order is None):
+        raise ValueError(f"how must be one of {sorted(ways)}, or first or last with an order, not {how!r}")
+    return rows.groupBy(*key).agg(*[(pick[how](v) if how in pick else ways[how](x(v))).alias(str(v)) for v in values])
+
+
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """Values of a column with their counts and shares."""
     counts = rows.groupBy(column).count()

@@ -43,6 +43,12 @@ def export(bars: DataFrame, mask: DataFrame) -> DataFrame:
     return bars.join(mask.select("ticker").distinct(), "ticker", "left_semi")
 
 
+def names_ever(mask: DataFrame) -> DataFrame:
+    """year, names, dates: exact distinct counts of members (ticker, d) and of dates by year, and over all (year 0)."""
+    rows = mask.select("ticker", "d", F.year("d").cast("long").alias("year"))
+    return rows.rollup("year").agg(F.countDistinct("ticker").alias("names"), F.countDistinct("d").alias("dates")).withColumn("year", F.coalesce("year", F.lit(0).cast("long")))
+
+
 def liquidity(panel: DataFrame, n: int = 21, least: int = 10) -> DataFrame:
     """A dense panel with adv (median of the positive turnovers of the n dates before) and sigma (deviation of returns over them; a date
     without a bar counts as unchanged)."""

@@ -100,6 +100,18 @@ def universe_masked_rank(dy: DataFrame) -> DataFrame:
     return six(feats.rank_normalised(feats.masked(rows, universe.universe(dy, **UNIVERSE)), ["mom_20"]))
 
 
+query("dy", name="universe_names_ever")(lambda dy: universe.names_ever(universe.universe(dy, **UNIVERSE)))
+
+
+@query("wk")
+def wide_marks(wk: DataFrame) -> DataFrame:
+    """By date, columns of two names: mean and last close, and whether any trade moved the bar by a tenth."""
+    rows = wk.withColumn("month", F.trunc("d", "month")).withColumn("moved", F.col("high") > F.col("low") * 1.1).withColumn("close", F.round("close", 2))
+    names = ["Brand#11", "Brand#22"]
+    parts = [panel.wide(rows, ["month"], "ticker", names, c, how, "d").toDF("month", f"{how}_11", f"{how}_22") for c, how in (("close", "mean"), ("close", "last"), ("moved", "any"))]
+    return six(parts[0].join(parts[1], "month").join(parts[2], "month"))
+
+
 query("dy", name="universe_export")(lambda dy: universe.export(dy, universe.universe(dy, **UNIVERSE)).select("ticker", "d", "close"))
 query("wx", name="liquidity_panels")(lambda wx: six(universe.liquidity(panel.densify(wx)).select("ticker", "d", "adv", "sigma")))
 query("wx", name="spread_panels")(lambda wx: six(universe.spreads(panel.densify(wx)).select("ticker", "d", "cs", "ar").dropna()))
@@ -452,6 +464,9 @@ query("wk", name="oracle_scales")(lambda wk: attribution.oracle_scales(attributi
 query("wk", name="short_leg_value")(lambda wk: six(attribution.short_leg_value(_book(wk), WEEKS), both="both_"))
 
 
+query("wk", name="short_leg_borrowable")(lambda wk: six(attribution.borrowable_short_leg(scored(wk).withColumn("shortable", F.substring("ticker", -1, 1).isin("2", "4")).where("score is not null"), WEEKS, 0.3)))
+
+
 def _trends(wk: DataFrame) -> DataFrame:
     return attribution.trend_measures(scored(wk), month=4, quarter=13, long=40, year=WEEKS)
 

@@ -538,3 +538,18 @@ ORACLES |= {f"execute_intraday_{m}m": _six_days(intraday(m, "dynamic_tilt")) for
     "frequency_grid": f"""select minutes, style, {', '.join(f"{r6(f'case when stddev_samp({c}) > 0 then avg({c}) / stddev_samp({c}) * sqrt(252e0) else 0e0 end')} as {c}_sharpe" for c in ('gross', 'net'))}, {r6('avg(trade_cost)')} as day_cost, count(*) as days
   from ({_CELLS}) where net is not null group by all""",
 }
+
+_SHARPE = "avg({c}) / stddev_samp({c}) * sqrt(52e0)"
+_LEGS = ("whole", "borrowable", "whole_book", "borrowable_book")
+ORACLES |= {
+    "universe_names_ever": f"with {DY}, {UNI} select year(d) as year, count(distinct ticker) as names, count(distinct d) as dates from u group by year(d) union all select 0, count(distinct ticker), count(distinct d) from u",
+    "wide_marks": f"""with {WK}, r as (select ticker, d, round(close, 2) as close, cast(date_trunc('month', d) as date) as month, high > low * 1.1 as moved from wk) select month,
+  {', '.join(f"{r6(f"avg(close) filter (where ticker = 'Brand#{k}')")} as mean_{k}, {r6(f"arg_max(close, d) filter (where ticker = 'Brand#{k}')")} as last_{k}, bool_or(moved) filter (where ticker = 'Brand#{k}') as any_{k}" for k in (11, 22))} from r group by month""",
+    "short_leg_borrowable": f"""with {MOM}, e as (select *, case when right(ticker, 1) in ('2', '4') then score end as ss from s where score is not null),
+rk as (select d, fwd, greatest(1, floor(round(count(*) over (partition by d) * 0.3, 9))) as k, row_number() over (partition by d order by score desc, ticker) as hi, row_number() over (partition by d order by score, ticker) as lo,
+  case when ss is not null then row_number() over (partition by d order by ss nulls last, ticker) end as lb from e),
+w as (select d, fwd, case when hi <= k then 1e0 / k else 0e0 end as l, case when lo <= k then 1e0 / k else 0e0 end as sf, case when lb <= k then 1e0 / count(*) filter (where lb <= k) over (partition by d) else 0e0 end as sb from rk),
+b as (select d, sum(-sf * fwd) filter (where sf > 0) as whole, sum(-sb * fwd) filter (where sb > 0) as borrowable, sum((l - sf) * fwd) filter (where l <> sf) as whole_book, sum((l - sb) * fwd) filter (where l <> sb) as borrowable_book from w group by d)
+select {', '.join(f"{r6(_SHARPE.format(c=c))} as {c}" for c in _LEGS)}, count(borrowable) as n, {r6(f"{_SHARPE.format(c='whole')} - {_SHARPE.format(c='borrowable')}")} as leg_cost,
+  {r6(f"{_SHARPE.format(c='whole_book')} - {_SHARPE.format(c='borrowable_book')}")} as book_cost from b""",
+}
