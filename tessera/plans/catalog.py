@@ -106,7 +106,7 @@ query("dy", name="universe_names_ever")(lambda dy: universe.names_ever(universe.
 @query("wk")
 def wide_marks(wk: DataFrame) -> DataFrame:
     """By date, columns of two names: mean and last close, and whether any trade moved the bar by a tenth."""
-    rows = wk.withColumn("month", F.trunc("d", "month")).withColumn("moved", F.col("high") > F.col("low") * 1.1).withColumn("close", F.round("close", 2))
+    rows = wk.withColumn("month", F.trunc("d", "month")).withColumn("moved", F.col("high") > F.col("low") * 1.1).withColumn("close", F.floor(F.col("close") * 4) / 4)
     names = ["Brand#11", "Brand#22"]
     parts = [panel.wide(rows, ["month"], "ticker", names, c, how, "d").toDF("month", f"{how}_11", f"{how}_22") for c, how in (("close", "mean"), ("close", "last"), ("moved", "any"))]
     return six(parts[0].join(parts[1], "month").join(parts[2], "month"))

@@ -543,7 +543,7 @@ _SHARPE = "avg({c}) / stddev_samp({c}) * sqrt(52e0)"
 _LEGS = ("whole", "borrowable", "whole_book", "borrowable_book")
 ORACLES |= {
     "universe_names_ever": f"with {DY}, {UNI} select year(d) as year, count(distinct ticker) as names, count(distinct d) as dates from u group by year(d) union all select 0, count(distinct ticker), count(distinct d) from u",
-    "wide_marks": f"""with {WK}, r as (select ticker, d, round(close, 2) as close, cast(date_trunc('month', d) as date) as month, high > low * 1.1 as moved from wk) select month,
+    "wide_marks": f"""with {WK}, r as (select ticker, d, floor(close * 4) / 4 as close, cast(date_trunc('month', d) as date) as month, high > low * 1.1 as moved from wk) select month,
   {', '.join(f"{r6(f"avg(close) filter (where ticker = 'Brand#{k}')")} as mean_{k}, {r6(f"arg_max(close, d) filter (where ticker = 'Brand#{k}')")} as last_{k}, bool_or(moved) filter (where ticker = 'Brand#{k}') as any_{k}" for k in (11, 22))} from r group by month""",
     "short_leg_borrowable": f"""with {MOM}, e as (select *, case when right(ticker, 1) in ('2', '4') then score end as ss from s where score is not null),
 rk as (select d, fwd, greatest(1, floor(round(count(*) over (partition by d) * 0.3, 9))) as k, row_number() over (partition by d order by score desc, ticker) as hi, row_number() over (partition by d order by score, ticker) as lo,
