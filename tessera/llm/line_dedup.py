@@ -68,7 +68,7 @@ def _most_frequent(keys: Column) -> Column:
 
 
 def _copies(rows: DataFrame, covered: DataFrame, near: tuple[int, int, int]) -> DataFrame:
-    """id, th, kin: the documents that are near copies of the one that most of their repeated windows were first seen in, with the keys of that
+    """id, th, kin: the documents that are near copies, but not exact ones, of the one that most of their repeated windows were first seen in, with the keys of that
     one and of its other near copies that such windows were first seen in.
 
     near = (n, num, den): den * |A & B| >= num * |A | B| of the sets of n-word shingles, by hash, of both whole texts, words as runs of other
@@ -79,11 +79,11 @@ def _copies(rows: DataFrame, covered: DataFrame, near: tuple[int, int, int]) ->
     named = pairs.select(F.explode(F.array("k", "origin")).alias("k")).distinct()
     upper = "".join(map(chr, range(65, 91)))
     words = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit(f"({WORD})"))
-    texts = rows.select(_key().alias("k"), "text").join(named, "k", "left_semi").select("k", words.alias("w")).where(F.size("w") > 0)
+    texts = rows.select(_key().alias("k"), "th", "text").join(named, "k", "left_semi").select("k", "th", words.alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(n))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.hash(F.slice("w", i, size))))
-    sets = materialize(texts.select("k", grams.alias("s")).groupBy("k").agg(F.first("s").alias("s")), "line-sets")
-    both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("origin"), F.col("s").alias("t")), "origin")
+    sets = materialize(texts.select("k", "th", grams.alias("s")).groupBy("k").agg(F.first("th").alias("of"), F.first("s").alias("s")), "line-sets")
+    both = pairs.join(sets.drop("of"), "k").join(sets.select(F.col("k").alias("origin"), "of", F.col("s").alias("t")), "origin").where("th <> of")
     shared = F.size(F.array_intersect("s", "t"))
     out = materialize(both.where(den * shared >= num * (F.size("s") + F.size("t") - shared)).select("id", "th", "k", "origin"), "line-copies")
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
@@ -101,7 +101,7 @@ def dedup_lines(docs: DataFrame, *, n: int = LINES, passage: int | None = PASSAG
     A window is n consecutive lines that hold a word, or fewer of more than `passage` words together (none if it is None). Of the
     windows that are equal, the first by (id, position) stays; the lines from the first to the last of each later one are removed,
     those of overlapping windows once. The earliest copy of any line is therefore never removed. Blank lines are in no window
-    but go with one that spans them. With near = (n, num, den), a near copy by that share of n-word shingles of the document that most
+    but go with one that spans them. With near = (n, num, den), a near copy, but no exact one, by that share of n-word shingles of the document that most
     of its windows were first seen in keeps the windows first seen there, or in another near copy of it: a later join finds the copy whole, while what both
     repeat of others goes from both. Null text: kept as null, no lines. Empty text: one line, kept. Rows with equal id and text are
     one document, from which the same lines go; null ids come first. An empty table gives none. Columns named n_lines or n_removed
