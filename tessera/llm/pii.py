@@ -1,8 +1,8 @@
 """Personal data: labelers vote on candidate spans, expectation-maximisation weighs the labelers, and a span classifier trained on its
-verdicts adds spans to those of the base patterns.
+verdicts adds spans to those of the base patterns. Context words are learned from the neighbourhood of spans, beside fixed lists.
 
-Texts are touched by DataFrame expressions only. The driver sees counts of vote patterns (kinds x 3 to the number of labelers at most)
-and sums per value of a span feature (kinds x features x 8 at most), whatever the input.
+Texts are touched by DataFrame expressions only. The driver sees counts of vote patterns (kinds x 3 to the number of labelers at most),
+sums per value of a span feature (kinds x features x 8 at most) and learned words (kinds x 2 x 64 at most), whatever the input.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -29,25 +29,34 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _AT, _DOT = r"\x20?[\[(]\x20?at\x20?[\])]\x20?", r"\x20?[\[(]\x20?dot\x20?[\])]\x20?"
 SPELT_EMAIL = rf"(?i)(?:\G|(?<!{_LOCAL})){_LOCAL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[\x20-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
-_KEY = r"(?i:pass(?:word|wd|phrase)|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+#: Numbers as they are written within a country: five pairs, three threes that begin with 6 to 9, an area code and one long group.
+PAIRED_PHONE = r"(?<![0-9A-Za-z+.,/-])(?<![0-9]\x20)0[1-9](?:[\x20.-][0-9]{2}){4}(?![0-9A-Za-z]|[\x20.,/-][0-9])"
+TRIPLE_PHONE = r"(?<![0-9A-Za-z+.,/-])(?<![0-9]\x20)[6-9][0-9]{2}[\x20.-][0-9]{3}[\x20.-][0-9]{3}(?![0-9A-Za-z]|[\x20.,/-][0-9])"
+AREA_PHONE = r"(?<![0-9A-Za-z+.,/-])(?<![0-9]\x20)0[1-9][0-9]{1,4}[\x20/-][0-9]{5,8}(?![0-9A-Za-z]|[\x20.,/-][0-9])"
+_KEY = r"(?iu:pass(?:word|wd|phrase|wort)|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|kennwort|mot de passe|mdp|contraseña|contrasena|clave|jeton)"
 _VALUE = r"[A-Za-z0-9](?:[._+/=-]*+[A-Za-z0-9])++"
 SECRET = rf"(?<![A-Za-z0-9]){_KEY}\x20?[:=]\x20?[\"']?{_VALUE}|(?<![A-Za-z0-9._+/=@-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9](?:[_+/=-]*+[A-Za-z0-9]){{11,}}+(?!@)"
 
-# Gazetteers and context words.
-TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "us")
+# Gazetteers and context words, of four languages. A top domain of two letters is a country's.
+TOP_DOMAINS = r"^(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|cloud|online|shop|site|store|tech|xyz)$"
 CARD_LEADS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 RESERVED_NETWORKS = r"^(?:0\.|127\.|22[4-9]\.|2[3-5][0-9]\.)"
 CALLING_CODES = r"^\+?(?:1|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 KEY_PREFIXES = r"^(?:AKIA|ASIA|AIza|gh[pousr]_|sk_live_|xox[abp]-|eyJ)"
 CONTEXT = {
-    "email": "e-?mail|contact|write to|reach", "ip": r"\bip\b|host|server|address|client|login from", "card": "card|visa|mastercard|amex|payment|credit|paid",
-    "phone": "phone|tel|call|mobile|fax|cell|dial|ring", "secret": "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|credential|login|auth",
+    "email": "e-?mail|contact|write to|reach|kontakt|schreib|courriel|écri|correo|escrib|contacte",
+    "ip": r"\bip\b|host|server|address|client|login from|rechner|adresse|serveur|hôte|servidor|dirección|equipo",
+    "card": "card|visa|mastercard|amex|payment|credit|paid|karte|zahlung|bezahl|carte|paiement|payé|tarjeta|pago|pagad",
+    "phone": "phone|tel|call|mobile|fax|cell|dial|ring|telefon|anruf|ruf|handy|mobil|téléphone|appel|portable|teléfono|llam|móvil",
+    "secret": "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|credential|login|auth|passwort|kennwort|schlüssel|mot de passe|jeton|contraseña|clave",
 }
 AGAINST = {
-    "email": r"example of|syntax", "ip": r"version|release|section|\bv$", "card": r"isbn|serial|invoice|order|tracking", "phone": r"isbn|order|serial|invoice|part no|version",
-    "secret": r"commit|checksum|sha-?[0-9]+|md5|digest|version|revision|doi|isbn|uuid|order|invoice|href|src",
+    "email": r"example of|syntax|beispiel|exemple|ejemplo", "ip": r"version|release|section|\bv$|abschnitt|kapitel|chapitre|versión|sección",
+    "card": r"isbn|serial|invoice|order|tracking|rechnung|bestell|sendung|facture|commande|colis|factura|pedido|envío",
+    "phone": r"isbn|order|serial|invoice|part no|version|rechnung|bestell|teile|facture|commande|pièce|factura|pedido|pieza|total|summe|somme|suma|habitants|einwohner|habitantes",
+    "secret": r"commit|checksum|sha-?[0-9]+|md5|digest|version|revision|doi|isbn|uuid|order|invoice|href|src|prüfsumme|bestell|rechnung|empreinte|commande|facture|huella|pedido|factura",
 }
-AFTER_AGAINST = r"^\x20?(?:%|px|kg|km|cm|mm|ms|mb|gb|kb|units|pieces|items)(?![a-z])"
+AFTER_AGAINST = r"^\x20?(?:%|px|kg|km|cm|mm|ms|mb|gb|kb|units|pieces|items|stück|euro|pièces|unités|piezas|unidades|habitants|einwohner|habitantes)(?![a-z])"
 
 #: A labeler votes 1 for, -1 against, or 0 if it can't say.
 LABELERS = ("pattern or checksum", "gazetteer", "words before", "words after", "boundaries")
@@ -55,7 +64,11 @@ LABELERS = ("pattern or checksum", "gazetteer", "words before", "words after", "
 TRUST = (3, 1, 1, 1, 1)
 FEATURES = ("length", "digits", "capitals", "distinct characters", "before", "after", "separators", "context", "key")
 
-_SPAN = "struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,feats:array<int>>"
+#: bare: nothing in a span's form tells it from another number, so the words before it decide the pattern's vote. near and far: the
+#: words before a span, and those after it, which show how common a word is anyway.
+_SPAN = "struct<kind:int,start:int,end:int,base:boolean,votes:array<int>,feats:array<int>,bare:boolean,near:array<string>,far:array<string>>"
+NEAR = 3
+_CONTEXT_LABELER, _CONTEXT_FEATURE = LABELERS.index("words before"), FEATURES.index("context")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -135,7 +148,21 @@ def _features(kind: str, x: _Match) -> list[Column]:
     ]
 
 
-def _matched(text: Column, pattern: str, kind: str, judge: Callable[[_Match], tuple[Column, Column, Column, Column, Column]], value: str | None = None) -> Column:
+def _near(before: Column) -> Column:
+    """The last NEAR words of what stands before a span; its first word, which may be cut, isn't one of them."""
+    words = F.regexp_extract_all(F.lower(before), F.lit(r"\p{L}{2,}"), F.lit(0))
+    cut = F.when(F.length(before) < 40, F.lit(1)).otherwise(F.lit(2))
+    return F.array_distinct(F.slice(words, F.greatest(cut, F.size(words) - NEAR + 1), F.lit(NEAR)))
+
+
+def _far(after: Column) -> Column:
+    """The first NEAR words of what stands after a span; its last word, which may be cut, isn't one of them."""
+    words = F.regexp_extract_all(F.lower(after), F.lit(r"\p{L}{2,}"), F.lit(0))
+    whole = F.size(words) - F.when(F.length(after) < 24, F.lit(0)).otherwise(F.lit(1))
+    return F.array_distinct(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.least(F.lit(NEAR), whole))))
+
+
+def _matched(text: Column, pattern: str, kind: str, judge: Callable[[_Match], tuple[Column, Column, Column, Column, Column]], value: str | None = None, bare: bool = False) -> Column:
     """Spans (_SPAN) of the matches that judge takes; it gives take, base and the votes of pattern, gazetteer and boundaries. value: a
     pattern whose group 1 is the part of a match, up to its end, that is the span; else all of it is. Positions are in code points, ends exclusive."""
 
@@ -155,23 +182,23 @@ def _matched(text: Column, pattern: str, kind: str, judge: Callable[[_Match], tu
         votes = [shape, listed, _vote(low.rlike(CONTEXT[kind]), low.rlike(AGAINST[kind])), _vote(F.lower(x.after).rlike(CONTEXT[kind]), F.lower(x.after).rlike(AFTER_AGAINST)), alone]
         return F.struct(
             take.alias("take"), F.lit(KINDS.index(kind)).alias("kind"), (y["end"] - F.length(x.value)).alias("start"), y["end"].alias("end"), base.alias("base"),
-            F.array(*votes).alias("votes"), F.array(*_features(kind, x)).alias("feats"),
+            F.array(*votes).alias("votes"), F.array(*_features(kind, x)).alias("feats"), F.lit(bare).alias("bare"), _near(x.before).alias("near"), _far(x.after).alias("far"),
         )
 
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
     spans = F.filter(F.transform(_let(_let(found, rows), located), span), lambda s: s["take"])
-    return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base", "votes", "feats")]))
+    return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base", "votes", "feats", "bare", "near", "far")]))
 
 
 def _candidates(text: Column) -> Column:
     yes, no = F.lit(True), F.lit(False)
 
     def email(x: _Match):
-        known = F.lower(F.element_at(F.split(x.text, r"\."), -1)).isin(*TOP_DOMAINS)
+        known = F.lower(F.element_at(F.split(x.text, r"\."), -1)).rlike(TOP_DOMAINS)
         return yes, yes, _vote(yes), _vote(known, ~known), _vote(~x.right.rlike("[@_]"), x.right.rlike("[@_]"))
 
     def spelt(x: _Match):
-        known = F.lower(F.regexp_extract(x.text, "([A-Za-z0-9-]+)$", 1)).isin(*TOP_DOMAINS)
+        known = F.lower(F.regexp_extract(x.text, "([A-Za-z0-9-]+)$", 1)).rlike(TOP_DOMAINS)
         return yes, no, F.lit(0), _vote(known, ~known), _vote(~x.right.rlike("[@_]"), x.right.rlike("[@_]"))
 
     def ip(x: _Match):
@@ -195,6 +222,12 @@ def _candidates(text: Column) -> Column:
         code = ~F.substring(_digits(x.text), 1, 1).isin("0", "1")
         return yes, no, _vote(code, ~code), F.lit(0), _vote(x.right.rlike(r"^[^0-9A-Za-z/_]?$") & ~x.left.rlike("[/_#]"), x.right.rlike("[/_]") | x.left.rlike("[/_#]"))
 
+    def paired_phone(x: _Match):
+        return yes, no, _vote(yes), F.lit(0), _vote(~x.right.rlike("[/_%]") & ~x.left.rlike("[/_#]"), x.right.rlike("[/_%]") | x.left.rlike("[/_#]"))
+
+    def plain_phone(x: _Match):
+        return yes, no, F.lit(0), F.lit(0), _vote(~x.right.rlike("[/_%]") & ~x.left.rlike("[/_#]"), x.right.rlike("[/_%]") | x.left.rlike("[/_#]"))
+
     def secret(x: _Match):
         n, letters = F.length(x.value), x.value.rlike("[A-Za-z]") & x.value.rlike("[0-9]")
         key = F.substring(x.text, F.lit(1), F.length(x.text) - n) != ""
@@ -211,6 +244,8 @@ def _candidates(text: Column) -> Column:
         when(text.contains("@"), _matched(text, EMAIL, "email", email)), when(text.rlike(rf"(?i){_AT}"), _matched(text, SPELT_EMAIL, "email", spelt)),
         when(digit & text.contains("."), _matched(text, IP, "ip", ip)), when(digit, _matched(text, CARD, "card", card)),
         when(digit & text.contains("+"), _matched(text, PHONE, "phone", phone)), when(digit & text.rlike(LOCAL_PHONE), _matched(text, LOCAL_PHONE, "phone", local_phone)),
+        when(digit & text.rlike(PAIRED_PHONE), _matched(text, PAIRED_PHONE, "phone", paired_phone)), when(digit & text.rlike(TRIPLE_PHONE), _matched(text, TRIPLE_PHONE, "phone", plain_phone, bare=True)),
+        when(digit & text.rlike(AREA_PHONE), _matched(text, AREA_PHONE, "phone", plain_phone, bare=True)),
         when(digit | text.rlike(rf"{_KEY}\x20?[:=]"), _matched(text, SECRET, "secret", secret, rf"^(?:{_KEY}\x20?[:=]\x20?[\"']?)?+(.*)$")),
     )
 
@@ -280,15 +315,57 @@ class SpanClassifier:
         return 1 / (1 + F.exp(-F.aggregate(mine, F.get(lits(self.prior), kind), lambda a, b: a + b)))
 
 
+def context_words(spans: DataFrame, *, least: int = 20, ratio: float = 4.0, z: float = 4.0, most: int = 64) -> dict[tuple[int, bool], list[str]]:
+    """Words that announce a kind, and words that announce what only looks like it, learned from spans (kind, base, votes, near, far):
+    (kind, for or against) to words.
+
+    For: from base spans, and from candidates that pattern and gazetteer both take. Against: from candidates that the pattern's check
+    refuses. A word counts if it stands before at least `least` of these spans, `ratio` times as often as after them, by `z` standard
+    deviations; a word of both lists is of neither. Counts cover all spans; a list holds the `most` words of the largest z, so that the
+    model's size is bounded. No spans: no words.
+    """
+    shape, listed = F.get("votes", F.lit(0)), F.get("votes", F.lit(1))
+    side = F.when(F.col("base") | ((shape == 1) & (listed == 1)), F.lit(True)).when(shape == -1, F.lit(False))
+    rows = spans.select("kind", side.alias("side"), "near", "far").where("side is not null")
+    marked = lambda c, on: F.transform(c, lambda w: F.struct(w.alias("word"), F.lit(on).alias("before")))
+    each = rows.select("kind", "side", F.explode(F.concat(marked("near", 1), marked("far", 0))).alias("x")).select("kind", "side", "x.*")
+    n = each.groupBy("kind", "side", "word").agg(F.sum("before").alias("a"), F.sum(1 - F.col("before")).alias("b"))
+    score = (F.col("a") - F.col("b")) / F.sqrt((F.col("a") + F.col("b")).cast("double"))
+    told = n.withColumn("z", score).where((F.col("a") >= least) & (F.col("a") >= ratio * (F.col("b") + 1)) & (F.col("z") >= z))
+    nth = F.row_number().over(Window.partitionBy("kind", "side").orderBy(F.desc("z"), "word"))
+    found: dict[tuple[int, bool], set[str]] = {}
+    for kind, side_, word in told.withColumn("nth", nth).where(F.col("nth") <= most).select("kind", "side", "word").collect():
+        found.setdefault((kind, side_), set()).add(word)
+    return {(kind, s): sorted(words - found.get((kind, not s), set())) for (kind, s), words in found.items()}
+
+
+def _with_context(spans: Column, words: dict[tuple[int, bool], list[str]]) -> Column:
+    """The spans with the vote and the feature of their context by the learned words too, and with the pattern's vote of bare ones."""
+    lists = {s: F.array(*[F.array(*[F.lit(w) for w in words.get((k, s), ())]).cast("array<string>") for k in range(len(KINDS))]) for s in (True, False)}
+    has = lambda x, s: F.coalesce(F.arrays_overlap(x["near"], F.get(lists[s], x["kind"])), F.lit(False))
+
+    def judged(x: Column) -> Column:
+        old, context = F.get(x["votes"], F.lit(_CONTEXT_LABELER)), F.get(x["feats"], F.lit(_CONTEXT_FEATURE))
+        vote = F.when(old != 0, old).when(has(x, True), 1).when(has(x, False), -1).otherwise(0)
+        seen = context.bitwiseOR(has(x, True).cast("int")).bitwiseOR(2 * has(x, False).cast("int"))
+        put = lambda xs, at, new: F.transform(xs, lambda y, i: F.when(i == at, new).otherwise(y))
+        votes = F.when(x["bare"], put(x["votes"], 0, F.when(vote == 1, 1).otherwise(-1))).otherwise(x["votes"])
+        return F.struct(*[x[c].alias(c) for c in ("kind", "start", "end", "base")], put(votes, _CONTEXT_LABELER, vote).alias("votes"), put(x["feats"], _CONTEXT_FEATURE, seen).alias("feats"))
+
+    return F.transform(spans, judged)
+
+
 def find_pii(docs: DataFrame, *, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans, an array of (kind, start, end, base) by kind, then start, for each row of docs.
 
     base: found by the kind's base pattern and check. The others are candidates of wider patterns whose chance by the classifier is at
-    least `least` and that overlap no base span. Null or empty text: no spans. Repeated rows are searched each; an empty table gives
+    least `least` and that overlap no base span. Words before a span vote by fixed lists of four languages and by those of context_words. Null or empty text: no spans. Repeated rows are searched each; an empty table gives
     none; other columns, whatever their names, are ignored. Work grows with the text, and with matches to the power 1.5.
     """
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     found = materialize(text.select("doc_id", _let(_candidates(F.col("t")), _clear_of_base).alias("c")), "pii-candidates")
+    words = context_words(found.select(F.explode("c").alias("x")).select("x.*"))
+    found = found.select("doc_id", _with_context(F.col("c"), words).alias("c"))
     spans = found.select(F.explode("c").alias("x")).select("x.*")
     counted: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for r in sorted(spans.groupBy("kind", "votes").count().collect()):  # kinds x 3 to the number of labelers, at most

@@ -5,9 +5,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, components, decontaminate, langid, line_dedup, mixing, ngram_join, pii, quality_gam, quality_rules, stats, warc
 
+SF = "/root/testdata/sf0.001"
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_words string, size int, n_removed int, words string, c int"
 
@@ -392,6 +394,66 @@ def test_pii_adds_spans_and_rejects_decoys(spark):
     assert len(wrong) <= 0.1 * sum(kind is None for kind, _ in planted.values()), [texts[k] for k in wrong]
 
 
+def test_pii_of_four_languages(spark):
+    """Personal data of each kind beyond the base patterns, with contexts of four languages, in texts cut from documents; and decoys."""
+    r = random.Random(17)
+    digits = lambda n, of="23456789": "".join(r.choice(of) for _ in range(n))
+    mixed = lambda n: "".join(r.choice("abcdefghjkmnpqrstuvwxyz23456789") for _ in range(n - 1)) + "7"
+    area = lambda: f"0{digits(3)} {digits(7)}"
+    triple = lambda: f"6{digits(2)} {digits(3)} {digits(3)}"
+    pairs = lambda: "06 " + " ".join(digits(2) for _ in range(4))
+    spelt = lambda: f"{mixed(6)} [at] post{digits(1)} [dot] {r.choice(('de', 'fr', 'es', 'com', 'org', 'ch'))}"
+    true = {
+        ("de", "phone"): lambda: (r.choice(("Telefon ", "Ruf ", "Handy: ")), area()), ("fr", "phone"): lambda: (r.choice(("téléphone ", "appelez le ")), pairs()),
+        ("es", "phone"): lambda: (r.choice(("teléfono ", "móvil: ", "llame al ")), triple()), ("en", "phone"): lambda: (r.choice(("phone ", "call ")), f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        ("de", "secret"): lambda: ("Passwort: ", mixed(14)), ("fr", "secret"): lambda: ("mot de passe: ", mixed(14)), ("es", "secret"): lambda: (r.choice(("contraseña: ", "clave=")), mixed(14)),
+        ("en", "secret"): lambda: ("password: ", mixed(14)), ("de", "email"): lambda: ("Kontakt ", spelt()), ("fr", "email"): lambda: ("courriel ", spelt()),
+        ("es", "email"): lambda: ("correo ", spelt()), ("en", "email"): lambda: ("contact ", spelt()),
+    }
+    decoys = {
+        "de": lambda: r.choice((f"Rechnung {area()}", f"die Summe {triple()}", f"Version {digits(1)}.{digits(1)}.{digits(1)}")), "fr": lambda: r.choice((f"{triple()} habitants", f"commande {digits(12)}", f"facture {area()}")),
+        "es": lambda: r.choice((f"{triple()} habitantes", f"factura {area()}", f"pedido {digits(12)}")), "en": lambda: r.choice((f"a total of {triple()} units", f"order {digits(12)}", f"invoice {area()}")),
+    }
+    cut = {}
+    for lang, text in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null and not text rlike '[0-9@]'").select("lang", "text").collect():
+        cut.setdefault(lang, []).extend(w for w in (SPLIT.findall(text)[k : k + 8] for k in range(0, 400, 8)) if len(w) == 8)
+    rows, want = [], {}
+    for (lang, kind), make in true.items():
+        for _ in range(25):
+            lead, value = make()
+            head, tail = " ".join(r.choice(cut[lang])), " ".join(r.choice(cut[lang]))
+            want[len(rows)] = (lang, kind, len(head) + 1 + len(lead), len(head) + 1 + len(lead) + len(value))
+            rows.append((len(rows), f"{head} {lead}{value} {tail}", lang, None))
+    for lang, make in decoys.items():
+        for _ in range(50):
+            want[len(rows)] = (lang, None)
+            rows.append((len(rows), f"{' '.join(r.choice(cut[lang]))} {make()} {' '.join(r.choice(cut[lang]))}", lang, None))
+    got = {g.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in g.spans] for g in pii.find_pii(docs(spark, rows)).collect()}
+    caught = {}
+    for k, w in want.items():
+        caught.setdefault(w[:2], []).append(w[1:] in got[k] if w[1] else bool(got[k]))
+    share = {k: sum(v) / len(v) for k, v in caught.items()}
+    print(share)
+    assert all(v >= 0.9 for (_, kind), v in share.items() if kind) and all(v <= 0.1 for (_, kind), v in share.items() if not kind), share
+
+
+def test_pii_learns_context_words(spark):
+    """Words that announce a kind are learned from base spans, whatever the language, and serve candidates that have no base pattern."""
+    r = random.Random(5)
+    digits = lambda n: "".join(r.choice("23456789") for _ in range(n))
+    say = lambda: " ".join(r.choice(["vorto", "frazo", "teksto", "linio", "domo", "arbo"]) for _ in range(6))
+    rows = [(k, f"{say()} sonu numeron +1 659 {digits(3)} {digits(4)} {say()}", None, None) for k in range(60)]
+    rows += [(100 + k, f"{say()} fakturo {digits(15)}1 {say()}", None, None) for k in range(60)]
+    rows += [(200 + k, f"{say()} numeron 6{digits(2)} {digits(3)} {digits(3)} {say()}", None, None) for k in range(20)] + [(300 + k, f"{say()} 6{digits(2)} {digits(3)} {digits(3)} {say()}", None, None) for k in range(20)]
+    spans = docs(spark, rows).select(F.explode(pii._candidates(F.col("text"))).alias("x")).select("x.*")
+    words = pii.context_words(spans)
+    phone, card = pii.KINDS.index("phone"), pii.KINDS.index("card")
+    assert words[phone, True] == ["numeron", "sonu"] and "fakturo" in words[card, False] and not set(words.get((card, True), ())) & {"fakturo"}
+    assert pii.context_words(spans.where("false")) == {}
+    got = {g.doc_id: [s for s in g.spans if s.kind == phone] for g in pii.find_pii(docs(spark, rows)).collect()}
+    assert sum(bool(got[k]) for k in range(200, 220)) >= 18 and sum(bool(got[k]) for k in range(300, 320)) <= 2
+
+
 def test_pii_of_many_matches(spark):
     mail = "a@b.co 10.0.0.1 password=abcdef123456 "
     (g,) = pii.find_pii(docs(spark, [(1, mail * 5000 + "y" * 70 + " [at] mail [dot] com", None, None)])).collect()
