@@ -305,3 +305,44 @@ def test_required_ratios_reach_the_confidence(spark):
         m = sum(v) / len(v)
         c = [sum((y - m) ** p for y in v) / len(v) for p in (2, 3, 4)]
         assert evaluation.probabilistic_sharpe(x.required, len(v), c[1] / c[0] ** 1.5, c[2] / c[0] ** 2, 0.02) == pytest.approx(0.95)
+
+
+def test_gates_of_a_planted_panel(spark):
+    """A is clean, B splits two for one on day 100, C stops on day 150, D nearly doubles on day 120 under a turnover that explains nothing."""
+    close, rows = {}, []
+    for k in range(200):
+        for name in "ABCD":
+            whole = 100 * 1.001**k * (0.999 if k % 2 else 1) * (1.9 if name == "D" and k >= 120 else 1)
+            close[name, k] = whole * (0.5 if name == "B" else 1)
+            raw = whole * (0.5 if name == "B" and k >= 100 else 1)
+            if name != "C" or k < 150:
+                rows.append((name, day(k), raw, 1e6 / raw, 1e8 if name == "D" and k == 120 else 1e6))
+    bars = spark.createDataFrame(rows, "ticker string, d date, close double, volume double, turnover double").cache()
+    frame = lambda rows, schema="ticker string, d date": spark.createDataFrame(rows, schema)
+    same = [(n, day(k), c) for (n, k), c in close.items() if n != "C" or k < 150]
+    members = [(n, d) for n, d, *_ in rows if d >= day(52)]
+
+    def judged(reference, mask, register):
+        got = corporate.gates(bars, frame(reference, "ticker string, d date, close double"), frame(mask), frame(register), lookback=52, every=13)
+        return {(g.gate, g.metric): (round(g.value, 9), g.passes) for g in got.collect()}
+
+    returns = 3 * 199 + 149
+    want = {
+        (1, "share_of_names"): (1, True), (1, "ours_impossible"): (0, True), (1, "disagreement"): (0, True), (2, "names"): (4, None), (2, "left"): (1, None), (2, "suspended"): (0, None),
+        (3, "actions"): (1, None), (3, "to_review"): (0, None), (4, "returns"): (returns, None), (4, "extreme"): (1, None), (5, "returns_changed_by"): (0, True),
+        (5, "members_too_early"): (0, True), (5, "changes_off_selection"): (0, True), (6, "unexplained"): (1, False),
+    }
+    assert judged(same, members, []) == want
+    assert judged(same, members, [("D", day(120))]) == want | {(6, "unexplained"): (0, True)}
+    assert judged(same, [m for m in members if m[0] != "D"], []) == want | {(6, "unexplained"): (0, True)}
+    # A's reference is 3 % off on one day: two of its returns differ
+    off = [(n, d, c * (1.03 if n == "A" and d == day(50) else 1)) for n, d, c in same]
+    assert judged(off, members, []) == want | {(1, "disagreement"): (round(2 / returns, 9), False)}
+    # a reference that misses B's split has an impossible return of its own: B is no judge, the other three pass
+    assert judged([(n, d, c * (2 if n == "B" and d < day(100) else 1)) for n, d, c in same], members, [])[1, "share_of_names"] == (1, True)
+    # a member before the first selection, who leaves between two
+    assert judged(same, [*members, ("A", day(10))], []) == want | {(5, "members_too_early"): (1, False), (5, "changes_off_selection"): (1, False)}
+    # ours jumps where the reference doesn't: D is impossible in ours
+    calm = [(n, d, c / (1.9 if n == "D" and d >= day(120) else 1)) for n, d, c in same]
+    assert judged(calm, members, [])[1, "ours_impossible"] == (1, False)
+    bars.unpersist()
