@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import normal
 from tessera.operators import attribution, buffers, corporate, evaluation, features, learning, panel, portfolio, regime, trees
+from tessera.plans import catalog
 from tessera.sinks import tables
-from tessera.sources import files
+from tessera.sources import bars, files
 
 D = datetime.date(2024, 1, 1)
 
@@ -346,3 +347,22 @@ def test_gates_of_a_planted_panel(spark):
     calm = [(n, d, c / (1.9 if n == "D" and d >= day(120) else 1)) for n, d, c in same]
     assert judged(calm, members, [])[1, "ours_impossible"] == (1, False)
     bars.unpersist()
+
+
+@pytest.mark.parametrize("style", ["long_only", "dynamic_tilt"])
+def test_costs_by_name_are_flat_without_spread_and_rise_with_it(spark, style):
+    """Without spread and impact the costs by name are the flat rate on the turnover; each half-spread stepped in lowers every net return
+    by its part of the turnover, and changes nothing else."""
+    wx = bars.stored(spark, "/root/testdata/sf0.001", "wx")
+    panel_, gate = catalog.execution_panel(wx).withColumn("sigma", F.lit(0.0)), regime.known_before(catalog.gate_of(wx))
+    runs = {s: {r.d: r for r in portfolio.execute(panel_.withColumn("cs", F.lit(s)), style, gate, costs=catalog.COSTS).collect()} for s in (0.0, 4.0, 15.0)}
+    flat, traded = catalog.COSTS.one_way(), 0
+    for d, free in runs[0.0].items():
+        assert free.trade_cost == pytest.approx(free.turnover * flat / 1e4, abs=1e-12)
+        for low, high in ((0.0, 4.0), (4.0, 15.0)):
+            a, b = runs[low][d], runs[high][d]
+            assert (a.gross, a.turnover, a.borrow_cost) == pytest.approx((b.gross, b.turnover, b.borrow_cost), abs=1e-12) if a.gross is not None else b.gross is None
+            if a.net is not None:
+                assert a.net - b.net == pytest.approx(a.turnover * (high - low) / 1e4, abs=1e-9)
+                traded += a.turnover > 0 and b.net < a.net
+    assert traded > 50
