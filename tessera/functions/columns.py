@@ -23,6 +23,14 @@ def median(c: Column | str) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
+def middle(ordered: Column | str) -> Column:
+    """The median of an array that is in order and has no nulls; null if it is empty. Over short arrays it is far cheaper than `median`,
+    which keeps a map of counts for each window or group."""
+    ordered = F.col(ordered) if isinstance(ordered, str) else ordered
+    n = F.size(ordered)
+    return (F.get(ordered, F.shiftright(n - 1, 1)) + F.get(ordered, F.shiftright(n, 1))) / 2
+
+
 def trailing(agg: Agg, value: Column | str, n: int, *, least: int | None = None, lag: int = 0, order: str = "d") -> Column:
     """agg of the value over the name's last n rows, ending `lag` rows before this one; null with fewer than `least` (n) values."""
     value = F.col(value) if isinstance(value, str) else value

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import by_name, median, trailing
+from tessera.functions.columns import by_name, median, middle
 from tessera.operators.panel import calendar, near_in_time, positioned
 
 # Ratios of splits and consolidations (1 to k, k to 1) and of bonus issues (n for m up to 12), none between 1 and 2.
@@ -38,13 +40,28 @@ class ActionRules:
 
 
 def snapped(ratio: Column, tolerance: float) -> Column:
-    """The nearest ratio of the grid in logarithms, the lower one on a tie; null if the value is further from it than the tolerance. A row
-    at a time, from an array literal."""
-    grid = F.array(*[F.lit(x) for x in ratio_grid()])
-    near = F.array_min(F.transform(grid, lambda g: F.struct(F.round(F.abs(F.ln(ratio / g)), 9).alias("far"), g.alias("g"))))["g"]
+    """The nearest ratio of the grid in logarithms, the lower one on a tie; null if the value is further from it than the tolerance.
+
+    Logarithms are cut into slots narrower than any step of the grid, so a slot has one ratio at most: a row looks up its slot in an array
+    literal and is compared with that ratio and those beside it, not with all.
+    """
+    grid = ratio_grid()
+    width = 0.9 * min(math.log(b / a) for a, b in zip(grid, grid[1:]))
+    low = math.log(grid[0]) / width
+    # of each slot the last ratio before it, a little earlier than its edge, which may be computed otherwise elsewhere
+    before = [max(0, bisect_right(grid, math.exp((low + k - 0.01) * width)) - 1) for k in range(math.ceil(math.log(grid[-1]) / width - low) + 1)]
+    slot = F.greatest(F.lit(0), F.least(F.lit(len(before) - 1), F.floor(F.ln(ratio) / width - low))).cast("int")
+    first, ratios = F.get(_literal(before, "int"), slot), _literal(grid, "double")
+    candidates = [F.get(ratios, first + k) for k in range(3)]
+    near = F.least(*[F.when(g.isNotNull(), F.struct(F.round(F.abs(F.ln(ratio / g)), 9).alias("far"), g.alias("g"))) for g in candidates])["g"]
     return F.get(F.transform(F.array(near), lambda x: F.when(F.abs(ratio / x - 1) <= tolerance, x)), F.lit(0))  # near is found once
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array of constants from one string, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def detect_actions(bars: DataFrame, rules: ActionRules = ActionRules()) -> DataFrame:
     """bars (ticker, d, prices, isin if known) with ratio, factor, turnover_ratio, witness: factor is null but on the dates of actions.
 
@@ -54,8 +71,9 @@ def detect_actions(bars: DataFrame, rules: ActionRules = ActionRules()) -> DataF
     w = by_name()
     rows = bars.withColumns({
         "before": F.lag("close").over(w), "gap": F.date_diff("d", F.lag("d").over(w)), "prior": F.row_number().over(w) - 1,
-        "usual": trailing(median, "turnover", rules.window, least=rules.seasoned, lag=1),
+        "usual": F.sort_array(F.collect_list("turnover").over(w.rowsBetween(-rules.window, -1))),
     })
+    rows = rows.withColumn("usual", F.when(F.size("usual") >= rules.seasoned, middle("usual")))
     if "isin" in bars.columns:
         rows = rows.withColumn("reissued", F.coalesce(F.col("isin") != F.lag("isin").over(w), F.lit(False)))
         rows = rows.withColumn("witnessed", F.max("reissued").over(w.rowsBetween(-rules.witness_bars, rules.witness_bars)))

@@ -366,3 +366,23 @@ def test_costs_by_name_are_flat_without_spread_and_rise_with_it(spark, style):
                 assert a.net - b.net == pytest.approx(a.turnover * (high - low) / 1e4, abs=1e-9)
                 traded += a.turnover > 0 and b.net < a.net
     assert traded > 50
+
+
+def test_snapped_is_the_nearest_of_the_grid(spark):
+    """A row is compared with the ratios of its slot, not with all: the same as the whole grid gives, also beside the middles of its steps."""
+    grid = corporate.ratio_grid()
+    middles = [(a * b) ** 0.5 for a, b in zip(grid, grid[1:])]
+    values = [round(x * (1 + e), 9) for x in [*grid, *middles] for e in (0, 1e-3, -1e-3, 1e-8, -1e-8, 0.12, -0.12)] + [0.0, -1.0, 1e-5, 200.0]
+
+    def nearest(r):
+        if r <= 0:
+            return None
+        x = min(grid, key=lambda g: (round(abs(math.log(r / g)), 9), g))
+        return x if abs(r / x - 1) <= 0.1 else None
+
+    df = spark.createDataFrame([(v,) for v in values], "r double")
+    got = df.select("r", corporate.snapped(F.col("r"), 0.1).alias("x"))
+    assert all(x == nearest(r) for r, x in map(tuple, got.collect()))
+    bars = spark.createDataFrame([], "ticker string, d date, isin string, close double, volume double, turnover double")
+    plan = corporate.action_ledger(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_min" not in plan and "percentile" not in plan
