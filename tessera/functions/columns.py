@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 Agg = Callable[[Column], Column]
@@ -38,6 +38,77 @@ def trailing(agg: Agg, value: Column | str, n: int, *, least: int | None = None,
     return F.when(F.count(value).over(w) >= (n if least is None else least), agg(value).over(w))
 
 
+def full_windows(rows: DataFrame, wanted: dict[str, tuple[str, str, int]], order: str = "d") -> DataFrame:
+    """rows with a column for each wanted name: (how, value, n) is the mean, max or sample variance of the value over the name's last n
+    rows, null unless all n have one.
+
+    A frame of n rows costs n steps a row. Here statistics of 2, 4, 8... rows come each from two of half the length, one of them lagged,
+    and n rows are put together from powers of two: some log n lags a row. Sums are pairwise and squares are merged about the means of
+    the parts, so nothing cancels, however long the series. All lags are over the name's own rows: one exchange, one sort.
+    """
+    w = by_name(order)
+    kept, values = rows.columns, sorted({value for _, value, _ in wanted.values()})
+    most = {}  # the longest power of two that a statistic of a value needs
+    for how, value, n in wanted.values():
+        for stat in {"mean": ["sum"], "max": ["max"], "var": ["sum", "sq"]}[how]:
+            most[stat, value] = max(most.get((stat, value), 1), 1 << (n.bit_length() - 1))
+    col = lambda stat, value, size: F.col(f"_{stat}_{value}_{size}")
+    known = {value: F.col(value).cast("double") for value in values}
+    start = {"sum": lambda v: known[v], "max": lambda v: F.col(v), "sq": lambda v: F.when(F.col(v).isNotNull(), F.lit(0.0))}
+    rows = rows.withColumns({f"_{stat}_{value}_1": start[stat](value) for stat, value in most})
+
+    def larger(a: Column, b: Column) -> Column:
+        return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+
+    def squares(a: tuple, b: tuple) -> Column:
+        (n, sum_a, sq_a), (m, sum_b, sq_b) = a, b
+        far = sum_a / n - sum_b / m
+        return sq_a + sq_b + far * far * (n * m / (n + m))
+
+    def lagged(rows: DataFrame, parts: set[tuple[str, str, int, int]]) -> DataFrame:
+        return rows.withColumns({f"_{s}_{v}_{size}_{k}": F.lag(col(s, v, size), k).over(w) for s, v, size, k in sorted(parts)})
+
+    old = lambda s, v, size, k: F.col(f"_{s}_{v}_{size}_{k}") if k else col(s, v, size)
+    size = 1
+    while size < max(most.values(), default=1):
+        grown = [(s, v) for s, v in most if most[s, v] > size]
+        rows = lagged(rows, {(s, v, size, size) for s, v in grown})
+        now = lambda s, v: (col(s, v, size), old(s, v, size, size))  # noqa: B023, E731
+        out = {}
+        for s, v in grown:
+            if s == "sum":
+                out[s, v] = now(s, v)[0] + now(s, v)[1]
+            elif s == "max":
+                out[s, v] = larger(*now(s, v))
+            else:
+                out[s, v] = squares(*[(size, *pair) for pair in zip(now("sum", v), now("sq", v), strict=True)])
+        rows = rows.withColumns({f"_{s}_{v}_{2 * size}": c for (s, v), c in out.items()})
+        size *= 2
+
+    def pieces(n: int) -> list[tuple[int, int]]:
+        """Powers of two that add up to n, each with its lag."""
+        sizes = [1 << b for b in reversed(range(n.bit_length())) if n >> b & 1]
+        return [(p, sum(sizes[:k])) for k, p in enumerate(sizes)]
+
+    need, result = set(), {}
+    for name, (how, value, n) in wanted.items():
+        if how == "max":
+            top = 1 << (n.bit_length() - 1)
+            need.add(("max", value, top, n - top))
+            result[name] = larger(col("max", value, top), old("max", value, top, n - top))
+            continue
+        parts = pieces(n)
+        need |= {(s, value, p, k) for s in (("sum", "sq") if how == "var" else ("sum",)) for p, k in parts}
+        count, total, sq = parts[0][0], old("sum", value, *parts[0]), old("sq", value, *parts[0])
+        for p, k in parts[1:]:
+            if how == "var":
+                sq = squares((count, total, sq), (p, old("sum", value, p, k), old("sq", value, p, k)))
+            count, total = count + p, total + old("sum", value, p, k)
+        result[name] = total / n if how == "mean" else sq / (n - 1)
+    rows = lagged(rows, {x for x in need if x[3]})
+    return rows.select(*kept, *[c.alias(name) for name, c in result.items()])
+
+
 def expanding(agg: Agg, value: Column | str, least: int, w: WindowSpec) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -3,13 +3,14 @@
 import datetime
 import math
 import random
+import statistics
 import zipfile
 from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import normal
+from tessera.functions import columns, normal
 from tessera.operators import attribution, buffers, corporate, evaluation, features, learning, panel, portfolio, regime, trees
 from tessera.plans import catalog
 from tessera.sinks import tables
@@ -386,3 +387,41 @@ def test_snapped_is_the_nearest_of_the_grid(spark):
     bars = spark.createDataFrame([], "ticker string, d date, isin string, close double, volume double, turnover double")
     plan = corporate.action_ledger(bars)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_min" not in plan and "percentile" not in plan
+
+
+def test_full_windows(spark):
+    """Frames put together from powers of two: the same as frames of n rows, null unless all rows have a value, and no frame of n rows."""
+    rng = random.Random(5)
+    rows = [(t, day(k), None if t == "b" and k == 30 else rng.choice([7.0, 1e9 + rng.random(), rng.random()]) if t != "c" else 0.1) for t in "abc" for k in range(70)]
+    df = spark.createDataFrame(rows, "ticker string, d date, x double")
+    wanted = {f"{how}_{n}": (how, "x", n) for how in ("mean", "max", "var") for n in (1, 2, 5, 20, 32, 63) if (how, n) != ("var", 1)}
+    out = columns.full_windows(df, wanted)
+    ways = {"mean": statistics.fmean, "max": max, "var": statistics.variance}
+    series = {t: [x for s, _, x in rows if s == t] for t in "abc"}
+    for r in out.collect():
+        at = (r.d - day(0)).days
+        for name, (how, _, n) in wanted.items():
+            part = series[r.ticker][at - n + 1 : at + 1] if at >= n - 1 else [None]
+            want = None if None in part else ways[how](part)
+            assert r[name] == (want if want is None else pytest.approx(want, rel=1e-12, abs=1e-18)), (r.ticker, at, name)
+    bars = spark.createDataFrame([], "ticker string, d date, high double, low double, close double, volume double")
+    plan = features.features(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "-251" not in plan and "-199" not in plan
+
+
+def test_ranks_in_batches_are_those_of_windows(spark):
+    rng = random.Random(6)
+    rows = [(t, day(k), rng.choice([None, float("nan"), -0.0, 0.0, 1.5, rng.random()]), rng.random()) for k in range(40) for t in range(1 if k == 3 else 2 * k + 1)]
+    df = spark.createDataFrame(rows, "ticker int, d date, x double, y double")
+    want = df.withColumns({c: F.round(c, 9) for c in "xy"})
+    want = sorted(map(tuple, want.select("ticker", "d", *[columns.unit_rank(c, "d").alias(c) for c in "xy"]).collect()))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):  # dates of several batches, batches of several dates
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = features.rank_normalised(df, ["x", "y"])
+            assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
