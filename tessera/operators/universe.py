@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import bucket, by_name, median, trailing
+from tessera.functions.columns import bucket, by_name, median, middle, trailing
 from tessera.operators.panel import calendar, densify, last_known
 from tessera.operators.quantiles import exact_quantiles, spread_out
 from tessera.sinks.steps import materialize
@@ -13,12 +13,17 @@ from tessera.sinks.steps import materialize
 
 def selections(bars: DataFrame, *, top: int = 500, lookback: int = 252, every: int = 63, least: int = 200) -> DataFrame:
     """(r, ticker): at every `every`-th date from `lookback` on, the `top` names by median positive turnover over the `lookback` dates
-    before it, of those with `least` traded ones. A bar goes to the selections that see it by their numbers, without a range join."""
-    cal = calendar(bars)
+    before it, of those with `least` traded ones. A bar goes to the selections that see it by their numbers, without a range join.
+
+    A bar is moved once, to its name; there those that the same selections see become one array, and only arrays go to each selection.
+    """
+    cal = F.broadcast(calendar(bars))  # a row per date
     low, high = F.greatest(F.lit(0), F.floor((F.col("pos") - lookback) / every) + 1), F.least(F.floor(F.col("pos") / every), F.floor((F.col("n") - 1 - lookback) / every))
-    seen = bars.where("turnover > 0").join(cal, "d").where(low <= high)
-    seen = seen.select("ticker", "turnover", F.explode(F.sequence(low, high)).alias("k")).withColumn("r", F.col("k") * every + lookback)
-    medians = seen.groupBy("r", "ticker").agg(F.round(median("turnover"), 6).alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
+    seen = bars.where("turnover > 0").join(cal, "d").where(low <= high).select("ticker", low.alias("low"), high.alias("high"), F.col("turnover").cast("double").alias("turnover"))
+    blocks = seen.repartition("ticker").groupBy("ticker", "low", "high").agg(F.collect_list("turnover").alias("block"))
+    sets = blocks.select("ticker", F.explode(F.sequence("low", "high")).alias("k"), "block").groupBy("ticker", "k").agg(F.flatten(F.collect_list("block")).alias("all"))
+    sets = sets.where(F.size("all") >= least).select((F.col("k") * every + lookback).alias("r"), "ticker", F.sort_array("all").alias("all"))
+    medians = sets.select("r", "ticker", F.round(middle("all"), 6).alias("m"))
     best = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("m"), "ticker"))
     return medians.withColumn("k", best).where(F.col("k") <= top).select("r", "ticker")
 
@@ -32,10 +37,10 @@ def universe(bars: DataFrame, *, every: int = 63, **options: int) -> DataFrame:
 def churn(bars: DataFrame, *, every: int = 63, **options: int) -> DataFrame:
     """Of each selection but the first: how many names it has and how many, and what share, are new."""
     now = selections(bars, every=every, **options)
-    before = now.select((F.col("r") + every).alias("r"), "ticker", F.lit(True).alias("was"))
-    known = now.select((F.col("r") + every).alias("r")).distinct()
-    rows = now.join(known, "r", "left_semi").join(before, ["r", "ticker"], "left")
-    return rows.groupBy(F.col("r").alias("pos")).agg(F.count("*").alias("names"), F.count_if(F.col("was").isNull()).alias("entered"), F.avg(F.col("was").isNull().cast("double")).alias("churn"))
+    both = F.explode(F.array(F.struct("r", F.lit(True).alias("is")), F.struct((F.col("r") + every).alias("r"), F.lit(False).alias("is"))))  # its own and the next one
+    rows = now.select("ticker", both.alias("x")).groupBy("x.r", "ticker").agg(F.bool_or("x.is").alias("now"), F.bool_or(~F.col("x.is")).alias("was"))
+    out = rows.groupBy(F.col("r").alias("pos")).agg(F.count_if("now").alias("names"), F.count_if(F.col("now") & ~F.col("was")).alias("entered"), F.bool_or("was").alias("known"))
+    return out.where("names > 0 and known").select("pos", "names", "entered", (F.col("entered") / F.col("names")).alias("churn"))
 
 
 def export(bars: DataFrame, mask: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns, normal
-from tessera.operators import attribution, buffers, corporate, evaluation, features, learning, panel, portfolio, regime, trees
+from tessera.operators import attribution, buffers, corporate, evaluation, features, learning, panel, portfolio, regime, trees, universe
 from tessera.plans import catalog
 from tessera.sinks import tables
 from tessera.sources import bars, files
@@ -425,3 +425,25 @@ def test_ranks_in_batches_are_those_of_windows(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_selections_with_any_lookback(spark):
+    """Lookbacks that are no multiple of the step; a bar is moved once, before it goes to each selection."""
+    rng = random.Random(7)
+    rows = [(t, day(k), rng.choice([0.0, rng.random(), 2.0])) for t in range(12) for k in range(60) if rng.random() < 0.8]
+    bars = spark.createDataFrame(rows, "ticker int, d date, turnover double")
+    dates = sorted({d for _, d, _ in rows})
+    sets = {}
+    for r in range(17, len(dates), 7):
+        seen = set(dates[r - 17 : r])
+        by = {t: [x for s, d, x in rows if s == t and d in seen and x > 0] for t in range(12)}
+        sets[r] = {t for _, t in sorted((-round(statistics.median(v), 6), t) for t, v in by.items() if len(v) >= 8)[:4]}
+    how = {"top": 4, "lookback": 17, "every": 7, "least": 8}
+    got = {}
+    for r, t in map(tuple, universe.selections(bars, **how).collect()):
+        got.setdefault(r, set()).add(t)
+    assert got == {r: v for r, v in sets.items() if v}
+    churn = {r.pos: (r.names, r.entered, r.churn) for r in universe.churn(bars, **how).collect()}
+    assert churn == {r: (len(v), len(v - sets[r - 7]), len(v - sets[r - 7]) / len(v)) for r, v in sets.items() if v and sets.get(r - 7)}
+    plan = universe.churn(bars, **how)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and plan.count("LogicalRDD") <= 2  # the bars, and their calendar
